@@ -30,6 +30,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")), KINDS)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import digest
+    from tessella.llm.secrets import KINDS, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")), KINDS).drop("n_format")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +55,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
+    "op4_secrets": op4_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_simhash": op10_simhash,
 }
