@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import durable, text_of
-from tessella.llm.spans import spans
+from tessella.llm.spans import quoted, spans
 
 KINDS = ["assign", "access", "hex", "format"]  # format: added by the automata
 
@@ -25,7 +25,7 @@ PATTERNS = [
 _HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"  # shorter matches fail anyhow, and nothing follows a match within its run
 #: Candidates for the automata: runs of token characters with a digit, from 12 characters.
 CANDIDATE = f"(?<!{_VALUE})(?=[A-Za-z+/_.=-]*+[0-9]){_VALUE}{{12,}}+"
-_SECOND = r"""regexp_extract({}, '^(?i:password|passwd|secret|token|api_?key)["\\']?\\x20*[:=]\\x20*["\\']?([A-Za-z0-9+/_.=-]+)', 1)"""
+_SECOND = "regexp_extract({}, " + quoted("^" + PATTERNS[0].replace(_VALUE + "+", f"({_VALUE}+)")) + ", 1)"
 
 #: Credentials of a kind, and candidates, at most that automata are inferred from; the least by hash.
 SAMPLE = 400

@@ -11,7 +11,8 @@ CONTEXT = 48
 _SPAN = "struct<start:int,stop:int,found:string,before:string,next:string>"
 
 
-def _quoted(pattern: str) -> str:
+def quoted(pattern: str) -> str:
+    """A pattern as an SQL string."""
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -25,7 +26,7 @@ def spans(text: str, pattern: str) -> Column:
     them, and one). A match's place follows from the lengths of what lies between the matches, so a text
     is searched once, and once more only if something was found.
     """
-    p = _quoted(pattern)
+    p = quoted(pattern)
     return F.expr(f"""
         transform(array(regexp_extract_all({text}, {p}, 0)), m ->
             if(size(m) = 0, cast(array() as array<{_SPAN}>),
