@@ -37,6 +37,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), KINDS).drop("n_format")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.language import identify, not_held_out, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs, not_held_out()))
+    return found.select("doc_id", (~not_held_out()).alias("held_out"), "lang_pred", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
     "op4_secrets": op4_secrets,
+    "op6_language": op6_language,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_simhash": op10_simhash,
 }
