@@ -37,6 +37,37 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), KINDS).drop("n_format")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.mixing import interleave
+
+    return interleave(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the registered query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.urls import judge, rules_frame
+
+    return judge(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
+
+
+OP9_SQL = """
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+       ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT row_number() OVER () AS nth, page_id,
+       translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT p.nth, r.host || r.path AS rule, r.verdict,
+       row_number() OVER (PARTITION BY p.nth ORDER BY length(r.host || r.path) DESC) AS k
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.nth = f.nth AND f.k = 1
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.language import identify, not_held_out, train
 
@@ -64,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
     "op4_secrets": op4_secrets,
+    "op5_mixing": op5_mixing,
+    "op9_url_filter": op9_url_filter,
     "op6_language": op6_language,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
