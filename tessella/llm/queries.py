@@ -37,6 +37,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), KINDS).drop("n_format")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.mixing import interleave
 
@@ -95,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
     "op4_secrets": op4_secrets,
+    "op3_neighbours": op3_neighbours,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op5_mixing": op5_mixing,
     "op9_url_filter": op9_url_filter,
     "op6_language": op6_language,
