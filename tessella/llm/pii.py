@@ -23,6 +23,7 @@ PATTERNS = [
     (2, True, r"(?=[0-9][\x20-]?[0-9])[0-9]++(?:[\x20-][0-9]++)*+"),
     (3, True, r"\+[0-9][\x20().0-9-]+[0-9]"),
     (0, False, rf"{_WORD}{_LOCAL}{{1,64}}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{{1,63}}+){{1,8}}+"),
+    (2, False, r"(?<![0-9])[0-9]{14,19}+(?![0-9])"),
     (3, False, r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
 ]
 
@@ -40,7 +41,8 @@ AGAINST = [
     "isbn|order|invoice|serial|tracking|part|sku|id",
     "isbn|order|invoice|serial|tracking|fax\\x20?id",
 ]
-ROUNDS, STEPS = 60, 400
+#: Votes of a format's own check at the start; rounds of expectation-maximisation; steps of training.
+CHECK, ROUNDS, STEPS = 4, 60, 400
 
 
 def _digits(x: str) -> str:
@@ -102,9 +104,10 @@ def reliabilities(counts: dict[tuple, int]) -> dict[tuple, float]:
 
     counts: rows of each (kind, v1, v2, v3, v4, size). Each labeler has, for each kind and for true and
     false spans, a distribution of its votes; the M-step counts them with one added, the E-step gives
-    each pattern its posterior. It starts from majority votes.
+    each pattern its posterior. It starts from majority votes, that of the format's own check counting
+    CHECK times.
     """
-    posterior = {x: 1 / (1 + math.exp(-sum(x[1:5]))) for x in counts}
+    posterior = {x: 1 / (1 + math.exp(-sum(x[1:5]) - (CHECK - 1) * x[1])) for x in counts}
     for _ in range(ROUNDS):
         total, vote = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
         for x, n in counts.items():
