@@ -30,12 +30,18 @@ def presence(texts: list[str]) -> np.ndarray:
     seen = np.zeros(len(texts) * FEATURES, bool)
     for n, text in enumerate(texts):
         row = seen[n * FEATURES : (n + 1) * FEATURES]
+        carry = np.array([32], np.uint64)  # what n-grams of the next slice begin with
         for at in range(0, max(1, len(text)), _SLICE):
-            part = text[max(0, at - ORDER) : at + _SLICE].lower()
+            part = text[at : at + _SLICE].lower()
             codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes = np.concatenate([[32], np.where(_letters(codes), codes, 32), [32]]).astype(np.uint64)
-            keep = (codes != 32) | (np.concatenate([[0], codes[:-1]]) != 32)
+            codes = np.concatenate([carry, np.where(_letters(codes), codes, 32).astype(np.uint64)])
+            if at + _SLICE >= len(text):
+                codes = np.append(codes, np.uint64(32))
+            keep = codes != 32
+            keep[0] = True
+            keep[1:] |= codes[:-1] != 32
             codes = codes[keep]
+            carry = codes[1 - ORDER :]
             h = np.zeros(len(codes), np.uint64)
             for k in range(ORDER):
                 if len(codes) <= k:
