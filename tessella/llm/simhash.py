@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import durable
 from tessella.llm.components import connected_components
+from tessella.llm.vectors import groups
 
 BITS = 64
 #: Fingerprints at most that the bit groups and thresholds are estimated from.
@@ -190,17 +192,140 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, radius:
     """
     prints = durable(fingerprints(docs, words, seed))
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(link_fingerprints(nodes, radius))
-    named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    joined = named.where("root is not null")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    named = grouped(nodes, connected_components(link_fingerprints(nodes, radius)))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id (all rows of that id that
-    carry the same fingerprint group; rows without a doc_id stay, as nothing can name them)."""
-    groups = simhash_components(docs, words, radius=radius)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+def grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, least) and (node, root) to (fp, component_id): the least of all that share a root."""
+    named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: Long fingerprints: words of BITS bits; the chance at most that a pair exactly at the similarity meets in no band.
+LONG, MISS = 4, 0.05
+
+
+def long_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> bytes:
+    """LONG * BITS majority bits of the text's shingles: a hash's bits, each joined by exclusive or with the
+    one k places on, for k from 1 to LONG; any two of them are independent."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < words:
+        found, words = [b" ".join(found)], 1
+    digest, total = xxhash.xxh64_intdigest, np.zeros(LONG * BITS, np.int64)
+    last = len(found) - words + 1
+    for at in range(0, last, _CHUNK):
+        end = min(last, at + _CHUNK)
+        h = np.fromiter((digest(b" ".join(s), seed) for s in zip(*(found[at + k : end + k] for k in range(words)), strict=True)), np.uint64, end - at)
+        for k in range(1, LONG + 1):
+            x = h ^ (h << np.uint64(k) | h >> np.uint64(BITS - k))
+            total[(k - 1) * BITS : k * BITS] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > last, bitorder="little").tobytes()
+
+
+def bands_for(rows: int, similarity: float, miss: float = MISS) -> tuple[int, int, float]:
+    """Bits of a band, bands, and the share of bits in which a pair of the Jaccard similarity differs."""
+    width = max(12, min(28, math.ceil(math.log2(max(2, rows))) - 2))
+    flips = math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of one size
+    alike = (1 - flips) ** width
+    return width, max(1, math.ceil(math.log(miss) / math.log(1 - alike))), flips
+
+
+def _forest(near: np.ndarray) -> np.ndarray:
+    """The least row that links join to each row of a square of booleans."""
+    root = np.full(len(near), -1)
+    for start in range(len(near)):
+        if root[start] < 0:
+            reached = np.zeros(len(near), bool)
+            reached[start] = True
+            edge = np.array([start])
+            while len(edge):
+                new = near[edge].any(axis=0) & ~reached
+                reached |= new
+                edge = np.flatnonzero(new)
+            root[reached] = start
+    return root
+
+
+def link_copies(classes: DataFrame, similarity: float = 0.8, block: int = 2048, seed: int = 3) -> DataFrame:
+    """Links (u, v) of classes (fp bigint, long binary) whose long fingerprints say that they have at least the
+    Jaccard similarity of their shingles.
+
+    Pigeonhole over bands: a band is a set of bits, and classes that agree in one are a bucket, in which all
+    are compared, as products of matrices of +1 and -1. A bucket beyond `block` is cut into blocks by hash,
+    and each pair of blocks is a group of its own. A group gives a link for each row at most, to the least
+    row it is joined with; pairs are never listed.
+    """
+    total = classes.count()
+    width, bands, flips = bands_for(total, similarity)
+    rng = np.random.default_rng(seed)
+    places = np.array([rng.permutation(LONG * BITS)[:width] for _ in range(bands)])
+    power = 1 << np.arange(width, dtype=np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.unpackbits(_bytes(batch.column(1)), axis=1, bitorder="little").astype(np.int64)
+                codes = bits[:, places] @ power
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * bands), pa.array(codes.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fp", "long", "codes"])
+
+    rows = durable(classes.select("fp", "long").mapInArrow(cut, "fp bigint, long binary, codes array<int>"))
+    sizes = rows.select(F.posexplode("codes").alias("band", "code")).groupBy("band", "code").count().where("count > 1")
+    sizes = sizes.select("band", "code", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    met = rows.select("fp", "long", F.posexplode("codes").alias("band", "code")).join(sizes, ["band", "code"])
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp", "long"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keys = ["band", "code", "lo", "hi"]
+    dealt = met.select("band", "code", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "long")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    # By a standard deviation more than such a pair is expected to differ in, so few of those above are lost.
+    most = LONG * BITS * flips + math.sqrt(LONG * BITS * flips * (1 - flips))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 4):
+            fp = np.asarray(group.column(5))
+            signs = np.unpackbits(_bytes(group.column(6)), axis=1).astype(np.float32) * 2 - 1
+            near = (LONG * BITS - signs @ signs.T) / 2 <= most
+            if group.column(2)[0].as_py() != group.column(3)[0].as_py():
+                side = np.asarray(group.column(4))
+                near &= side[:, None] != side[None, :]
+            root = _forest(near)
+            some = np.flatnonzero(fp[root] != fp)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[root[some]])], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Binaries of LONG * 8 bytes as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG * 8)
+
+
+def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Documents are linked if their fingerprints over shingles of `near_words` lie within `radius` bits
+    (`link_fingerprints`), or if their long fingerprints over shingles of `words` say that these have the
+    Jaccard similarity (`link_copies`). All rows of the id that stays do; rows without an id stay, as
+    nothing can name them. All columns are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, more = [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                fp.append(fingerprint(text, near_words))
+                more.append(long_fingerprint(text, words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(more, pa.binary())], names=["doc_id", "fp", "long"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    prints = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, long binary"))
+    classes = durable(prints.groupBy("fp", "long").agg(F.min("doc_id").alias("least")))
+    nodes = durable(classes.groupBy("fp").agg(F.min("least").alias("least")))
+    links = durable(link_fingerprints(nodes, radius).union(link_copies(classes, similarity)))
+    groups_ = grouped(nodes, connected_components(links))
+    gone = prints.join(groups_, "fp").where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

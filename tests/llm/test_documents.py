@@ -280,15 +280,60 @@ def test_thresholds():
         assert sum(len(g) for g, _ in plan) <= 64 and plan
 
 
+def jaccard(a, b, words=5):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
 def test_first_of_each(spark):
-    docs = cases.frame(spark)
+    rng = np.random.default_rng(6)
+    word = lambda: "w" + str(rng.integers(0, 5000))
+    rows, near = [], {}
+    for g in range(12):
+        base = [word() for _ in range(300)]
+        rows.append((1000 + 100 * g, " ".join(base)))
+        for k in range(1, 6):  # a few words changed: similarities from 0.85 up
+            copy = list(base)
+            for p in rng.choice(300, 4, replace=False) if k < 5 else ():
+                copy[p] = word()
+            rows.append((1000 + 100 * g + k, " ".join(copy)))
+            near[rows[-1][0]] = rows[-1][1], " ".join(base)
+        rows.append((1000 + 100 * g + 50, " ".join(base[:150] + [word() for _ in range(150)])))  # half is new
+    assert min(jaccard(*x) for x in near.values()) > 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("fp", F.lit("clash")).withColumn("long", F.lit(2))
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns
-    groups = defaultdict(set)
-    for r in simhash.simhash_components(docs).collect():
-        groups[r.component_id].add(r.doc_id)
     ids = {r.doc_id for r in kept.collect()}
-    assert ids - {None} == {g for g in groups if g is not None}
+    assert {i for i, _ in rows if i % 100 in (0, 50)} <= ids and len(ids) <= 24 + 3
+
+
+def test_first_of_each_of_odd_rows(spark):
+    docs = cases.frame(spark)
+    kept = simhash.first_of_each(docs)
+    groups = {r.component_id for r in simhash.simhash_components(docs).collect()}
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and ids - {None} <= groups and None in ids
+    assert simhash.first_of_each(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_copies_in_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(3):
+        centre = rng.integers(0, 2, 256, dtype=np.uint8)
+        for _ in range(40):
+            x = centre.copy()
+            x[rng.choice(256, 6, replace=False)] ^= 1
+            rows.append((len(rows), np.packbits(x).tobytes()))
+    got = simhash.link_copies(spark.createDataFrame(rows, "fp long, long binary"), block=block).collect()
+    linked = {(r.u, r.v) for r in got} | {(r.v, r.u) for r in got}
+    named = components({i: i for i, _ in rows}, lambda a, b: (a, b) in linked)
+    assert [named[i] for i in range(120)] == [i // 40 * 40 for i in range(120)]
 
 
 def test_chain_in_order_of_ids(spark):
