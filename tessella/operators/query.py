@@ -108,7 +108,7 @@ def after(docs: Documents, request: Request, cursor: dict[str, Any], extra: tupl
     else:
         for n, (v, descending) in enumerate(order_keys(docs, request.sort)):
             at, c = cursor[f"k{n}"], v.sort_key()
-            if isinstance(v, VariantValue):
+            if isinstance(at, dict):
                 here = F.struct(F.lit(at["missing"]).alias("missing"), F.lit(at["rank"]).alias("rank"), F.lit(at["num"]).cast("double").alias("num"), F.lit(at["str"]).cast("string").alias("str"))
                 steps.append((c == here, c < here if descending else c > here))
             elif at is None:

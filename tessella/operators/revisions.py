@@ -23,7 +23,7 @@ BULK = 500
 
 
 def generation(c: str = "revision_id") -> Column:
-    return F.substring_index(c, "-", 1).cast("int")
+    return F.substring_index(c, "-", 1).try_cast("int")
 
 
 def leaves(revisions: DataFrame) -> DataFrame:
