@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import EngineError, invalid
 from tessella.functions import pointer
 from tessella.plans.binding import Documents
+from tessella.sources.versions import Versions
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -111,3 +112,38 @@ def search_postings(index: DataFrame, words: list[str], mode: str = "all") -> Da
         return reduce(lambda a, b: a.join(b, "id", "left_semi"), parts)
     found = index.where(F.col("token").isin(*words)).groupBy("id").agg(F.count("*").alias("n"))
     return found.where(F.col("n") >= (1 if mode == "any" else len(set(words)))).select("id")
+
+
+class SearchIndex:
+    """Postings kept as a table in versions, sorted by token, so a query's tokens are found by the scan's
+    statistics. A refresh replaces the postings of changed documents; readers see whole versions only."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: list[str]):
+        self.fields = tuple(pointer.parse(f) for f in fields)
+        self.versions = Versions(spark, path, "postings")
+
+    def _write(self, df: DataFrame, sequence: int) -> None:
+        self.versions.write(df.repartitionByRange(F.col("token"), F.xxhash64("id")).sortWithinPartitions("token", "id"), sequence=sequence)
+
+    def rebuild(self, docs: Documents, sequence: int = 0) -> None:
+        self._write(postings(docs, self.fields), sequence)
+
+    def refresh(self, changed: Documents, sequence: int, deleted: str | None = None) -> None:
+        """changed: the documents that changed up to `sequence`, as they are now; those deleted are marked."""
+        if sequence <= self.versions.state().get("sequence", -1):
+            return
+        ids = changed.df.select(changed.id_column().alias("id")).distinct()
+        live = Documents(changed.df.where(~F.col(deleted)) if deleted else changed.df, changed.id, changed.body, json=changed.json)
+        new, old = postings(live, self.fields), self.versions.read()
+        self._write(new if old is None else old.join(ids, "id", "left_anti").unionByName(new), sequence)
+
+    def search(self, text: str, mode: str = "all") -> DataFrame:
+        """Ids for a mode: all, any, prefix, or phrase by positions."""
+        index = self.versions.read()
+        if index is None:
+            raise EngineError("index_not_found", "the index has not been built")
+        words = query_tokens(index, text)
+        if mode != "phrase":
+            return search_postings(index, words, mode)
+        starts = [index.where(F.col("token") == w).select("id", F.explode("positions").alias("at")).select("id", (F.col("at") - n).alias("start")) for n, w in enumerate(words)]
+        return reduce(lambda a, b: a.join(b, ["id", "start"], "left_semi"), starts).select("id").distinct()

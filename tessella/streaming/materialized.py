@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 import pandas as pd
@@ -14,6 +13,7 @@ from tessella.errors import EngineError, invalid
 from tessella.functions.canonical import digest
 from tessella.operators import views
 from tessella.plans.binding import Documents
+from tessella.sources.versions import Versions
 
 
 def group_id(keys: list[Any]) -> str:
@@ -41,7 +41,8 @@ class MaterializedView:
     """
 
     def __init__(self, spark: SparkSession, path: str, definition: dict[str, Any], group_level: int | None = None, source: str = "source"):
-        self.spark, self.path, self.source = spark, path.rstrip("/"), source
+        self.spark, self.source = spark, source
+        self.versions = Versions(spark, path, "contributions")
         self.view = views.define(definition)
         if (self.view.reducer is None) != (group_level is None):
             raise invalid("group_level goes with a reducer, and only with one")
@@ -49,26 +50,12 @@ class MaterializedView:
             raise invalid("group_level is between 0 and the key's length")
         self.level, self.enabled = group_level, True
 
-    def _fs(self) -> tuple[Any, Any]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path + "/pointer")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
-
     def state(self) -> dict[str, Any]:
-        """version, sequence, history_epoch of what readers see."""
-        fs, jvm = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(self.path + "/pointer")
-        if not fs.exists(at):
-            return {"version": 0, "sequence": 0, "epoch": None}
-        rows = self.spark.read.text(self.path + "/pointer").collect()
-        return json.loads(rows[0].value)
-
-    def _point(self, state: dict[str, Any]) -> None:
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(self.path + "/pointer")
+        """version, sequence, epoch of what readers see."""
+        return {"sequence": 0, "epoch": None} | self.versions.state()
 
     def contributions(self) -> DataFrame | None:
-        version = self.state()["version"]
-        return None if version == 0 else self.spark.read.parquet(f"{self.path}/contributions/{version}")
+        return self.versions.read()
 
     def _keys(self) -> list[str]:
         return [f"key{n}" for n in range(len(self.view.key))]
@@ -95,13 +82,11 @@ class MaterializedView:
         touched = Documents(df, changes.id).df.select(changes.id_column().alias("id")).distinct()
         old = self.contributions()
         kept = new if old is None else old.join(touched, "id", "left_anti").unionByName(new)
-        version = held["version"] + 1
-        kept.write.mode("overwrite").parquet(f"{self.path}/contributions/{version}")
+        version = self.versions.write(kept, sequence=through, epoch=epoch)
         keys = self._keys()[: self.level or 0]
-        written = self.spark.read.parquet(f"{self.path}/contributions/{version}")
+        written = self.spark.read.parquet(self.versions.folder(version))
         mine = written.join(touched, "id", "left_semi").select(*keys, F.lit(1).alias("_one"))
         groups = mine if old is None else mine.union(old.join(touched, "id", "left_semi").select(*keys, F.lit(1).alias("_one")))
-        self._point({"version": version, "sequence": through, "epoch": epoch})
         return groups.distinct().drop("_one") if keys else groups.limit(1).drop("_one")
 
     def documents(self, groups: DataFrame | None = None, exact: bool = False) -> DataFrame:
@@ -152,9 +137,7 @@ class MaterializedView:
 
     def rebuild(self, docs: Documents, through: int, epoch: str | None = None) -> None:
         """From all documents, as one version; then replay what came after."""
-        version = self.state()["version"] + 1
-        views.rows(docs, self.view).write.mode("overwrite").parquet(f"{self.path}/contributions/{version}")
-        self._point({"version": version, "sequence": through, "epoch": epoch})
+        self.versions.write(views.rows(docs, self.view), sequence=through, epoch=epoch)
 
     def changed(self, before: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         """What a batch changes in generated documents `before` (id, body): id, body, action put or delete;

@@ -97,7 +97,7 @@ def test_materialized_view(spark, tmp_path):
 
 
 def _reset(view, log):
-    view._point(view.state() | {"epoch": "old"})
+    view.versions.point(view.state() | {"epoch": "old"})
     view.apply(Documents(log, "id", body="_v"), 9, epoch="new")
 
 

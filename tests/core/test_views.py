@@ -139,6 +139,22 @@ def test_full_text(spark):
     assert {r.id for r in search.search_postings(index, ["ga", "al"], "prefix").collect()} == {"3"}
 
 
+def test_search_index(spark, tmp_path):
+    rows = [("1", {"title": "alpha beta"}), ("2", {"title": "alpha only"}), ("3", {"title": "gamma alpha beta"}), ("4", {"title": "beta alpha"})]
+    index = search.SearchIndex(spark, str(tmp_path), ["/title"])
+    with pytest.raises(EngineError):
+        index.search("alpha")
+    index.rebuild(bodies(spark, rows), 4)
+    find = lambda text, mode: {r.id for r in index.search(text, mode).collect()}
+    assert find("alpha beta", "all") == {"1", "3", "4"} and find("Alpha Beta", "phrase") == {"1", "3"} and find("on ga", "any") == set() and find("be", "prefix") == {"1", "3", "4"}
+    changed = bodies(spark, [("1", {"title": "delta"}), ("5", {"title": "alpha beta"})])
+    index.refresh(changed, 6)
+    index.refresh(bodies(spark, [("2", {"title": "never"})]), 5)
+    assert find("alpha beta", "phrase") == {"3", "5"} and find("delta", "any") == {"1"} and find("never", "any") == set()
+    index.versions.drop_old()
+    assert find("only", "all") == {"2"}
+
+
 @pytest.mark.parametrize("text, tokens", [("  a   b\tc\nd  ", ["a", "b", "c", "d"]), ("a,b;c:d.e!f?g", list("abcdefg")), ("Hello WORLD", ["hello", "world"]), ("café 日本語", ["café", "日本語"]), ("", [])])
 def test_tokens(spark, text, tokens):
     assert spark.range(1).select(search.tokenize(F.lit(text)).alias("t")).first().t == tokens
