@@ -80,6 +80,18 @@ FROM parts p LEFT JOIN fits f ON p.nth = f.nth AND f.k = 1
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+g AS (SELECT vec_id, e, label, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY 1), c AS (SELECT u, min(v) AS c FROM reach GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v LEFT JOIN n ON n.u = v.vec_id JOIN c ON c.u = v.vec_id
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.language import identify, not_held_out, train
 
@@ -91,10 +103,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tessella.llm.bpe import decode, encode
+    from tessella.llm.bpe import encode
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    out = encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -116,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -176,6 +176,8 @@ def test_bpe(spark, encoding):
     out = bpe.decode(bpe.encode(cases.frame(spark), path, pattern), path, pattern).collect()
     want = Counter((i, tuple(tik.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in cases.rows())
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in out) == want
+    both = bpe.encode(cases.frame(spark), path, pattern, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both) == want
     assert bpe.decode(bpe.encode(cases.empty(spark), path, pattern), path, pattern).count() == 0
 
 
