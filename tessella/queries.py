@@ -15,7 +15,9 @@ from tessella.plans.binding import Documents
 from tessella.plans.compile import condition, truth
 from tessella.plans.predicate import parse
 from tessella.sources import documents as source
+from tessella.sources.checkpoints import durable, scratch
 from tessella.streaming import subscription
+from tessella.streaming.materialized import MaterializedView
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -500,6 +502,91 @@ def mv_reduce_incremental(spark, sf_dir):
     return out.select(views.key_value("key0").alias("k"), F.col("count").alias("n"), F.round("sum", 2).alias("total"))
 
 
+@_registered("""
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value FROM events GROUP BY 1)
+SELECT 'g-' || sha256('["' || kind || '"]') AS id, kind AS k, count(*) AS n, min(value) AS least, max(value) AS most FROM l GROUP BY kind""")
+def mv_materialized(spark, sf_dir):
+    """A materialized view that three batches of changes have been applied to, as generated documents."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    definition = {"name": "mv", "key": [{"path": "/event_type"}], "value": {"path": "/value"}, "reducer": "_stats"}
+    view = MaterializedView(spark, scratch(spark, "mv"), definition, group_level=1)
+    last = df.agg(F.max("event_id")).first()[0] + 1
+    for k in range(1, 4):
+        batch = df.where((F.col("event_id") >= last * (k - 1) / 3) & (F.col("event_id") < last * k / 3))
+        view.apply(Documents(batch, "user_id"), k, sequence="event_id", expected=k - 1)
+    get = lambda path, kind: F.get_json_object("body", path).cast(kind)
+    return view.documents().select("id", get("$.key[0]", "string").alias("k"), get("$.value.count", "bigint").alias("n"), get("$.value.min", "double").alias("least"), get("$.value.max", "double").alias("most"))
+
+
+@_registered("""
+SELECT 'm-' || sha256('["orders","' || CAST(o_orderkey AS VARCHAR) || '"]') AS id, o_orderpriority AS k, CAST(o_orderkey AS VARCHAR) AS document, o_custkey AS value FROM orders WHERE o_orderstatus = 'P'""")
+def mv_map_documents(spark, sf_dir):
+    """A map-only materialized view after a rebuild: one generated document for each that matches."""
+    definition = {"name": "m", "selector": {"/o_orderstatus": "P"}, "key": [{"path": "/o_orderpriority"}], "value": {"path": "/o_custkey"}}
+    view = MaterializedView(spark, scratch(spark, "mv"), definition, source="orders")
+    view.rebuild(_docs(spark, sf_dir, "orders"), 1)
+    get = lambda path: F.get_json_object("body", path)
+    return view.documents().select("id", get("$.key[0]").alias("k"), get("$.source_document_id").alias("document"), get("$.value").cast("bigint").alias("value"))
+
+
+@_registered("""
+WITH m AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS sequence, CAST(json_extract(props, '$.k') AS DOUBLE) >= 50 AS now FROM events),
+t AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY id ORDER BY sequence), false) AS was FROM m)
+SELECT CASE WHEN now THEN 'upsert' ELSE 'remove' END AS event_type, sequence, id FROM t WHERE now OR was""")
+def sub_stream(spark, sf_dir):
+    """The change table as a stream, each document's membership as state, until it has caught up."""
+    at = scratch(spark, "sub")
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df.select(F.col("event_id").alias("sequence"), F.col("user_id").cast("string").alias("id"), F.lit("r").alias("revision"), F.lit(False).alias("deleted"), F.col("props").alias("body")).write.parquet(at + "/log")
+    schema = "sequence long, id string, revision string, deleted boolean, body string"
+    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    held = spark.conf.get(key)
+    spark.conf.set(key, wanted)
+    try:
+        events = subscription.stateful(subscription.follow(spark, at + "/log", schema, 100), {"/k": {"$gte": 50}})
+        subscription.publish(events, at + "/out", at + "/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(key, held)
+    return spark.read.schema(subscription.EVENTS).json(at + "/out").select("event_type", "sequence", "id")
+
+
+@_registered(f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' licensed under the ')")
+def fts_index_phrase(spark, sf_dir):
+    """A phrase found in a stored index of positions."""
+    index = search.SearchIndex(spark, scratch(spark, "fts"), ["/text"])
+    index.rebuild(_docs(spark, sf_dir, "documents"))
+    return index.search("licensed under the", "phrase")
+
+
+@_registered("""
+SELECT CAST(event_id AS VARCHAR) AS id, '1-' || sha256('{"attachments":{},"body":' || replace(props, ' ', '') || ',"deleted":false,"document_id":"' || CAST(event_id AS VARCHAR)
+       || '","history_id":"h","parent_revision":null,"version":1}') AS revision_id FROM events""")
+def rev_identify(spark, sf_dir):
+    """Revision ids of documents that are written first."""
+    none = F.lit(None).cast("string")
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").cast("string").alias("document_id"), F.lit("h").alias("history_id"), none.alias("parent_revision"), F.lit(False).alias("deleted"), F.col("props").alias("body"), none.alias("attachments")
+    )
+    return revisions.identify(df).select(F.col("document_id").alias("id"), "revision_id")
+
+
+@_registered(_REVISIONS.replace("WITH n AS", "WITH RECURSIVE n AS", 1) + """, walk AS (SELECT document_id, revision_id AS leaf, revision_id, parent_revision, 0 AS depth FROM w WHERE k = 1
+  UNION ALL SELECT r.document_id, a.leaf, r.revision_id, r.parent_revision, a.depth + 1 FROM walk a JOIN r ON r.document_id = a.document_id AND r.revision_id = a.parent_revision)
+SELECT document_id, leaf, revision_id, depth FROM walk""")
+def rev_chains(spark, sf_dir):
+    """Every winner's chain to its root."""
+    rows = durable(_revisions(spark, sf_dir))
+    return revisions.chains(rows, revisions.winners(rows).select("document_id", "revision_id")).select("document_id", "leaf", "revision_id", "depth")
+
+
+@_registered("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE NOT (o_orderstatus = 'F' OR o_totalprice > 250000)) AS neither, count(*) AS every FROM orders")
+def sel_truth(spark, sf_dir):
+    """A selector's truth as a column."""
+    docs = _docs(spark, sf_dir, "orders")
+    marks = {"finished": {"/o_orderstatus": "F"}, "neither": {"$nor": [{"/o_orderstatus": "F"}, {"/o_totalprice": {"$gt": 250000}}]}, "every": {}}
+    return docs.df.agg(*(F.sum(truth(parse(s), docs).cast("long")).alias(n) for n, s in marks.items()))
+
+
 @_registered("""
 SELECT name, n FROM (SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'part', count(*) FROM part WHERE p_size = 1 OR p_size = 50)""")
 def or_union_dedup(spark, sf_dir):

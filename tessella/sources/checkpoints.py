@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the folder that spark.checkpoint.dir names; rows keep their
     partitions, and a lost executor loses nothing. Only where the session names no folder, as in tests, a
     temporary one is set."""
-    context = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the same shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4()}"
