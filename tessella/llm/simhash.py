@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import durable
 from tessella.llm.components import connected_components
-from tessella.llm.vectors import groups
 
 BITS = 64
 #: Fingerprints at most that the bit groups and thresholds are estimated from.
@@ -204,7 +203,8 @@ def grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Long fingerprints: words of BITS bits; the chance at most that a pair exactly at the similarity meets in no band.
-LONG, MISS = 4, 0.05
+#: Rows of a group at most whose pairs are linked one by one.
+LONG, MISS, SMALL = 4, 0.05, 32
 
 
 def long_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> bytes:
@@ -248,14 +248,47 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return root
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows again, cut only between groups that agree in the first `keys` columns."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        change = np.zeros(batch.num_rows, bool)
+        for n in range(keys):
+            c = np.asarray(batch.column(n))
+            change[1:] |= c[1:] != c[:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+    if held is not None:
+        yield held
+
+
+def _near_rows(group: np.ndarray, small: np.ndarray, words: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a small group that differ in at most `most` bits: each row with the one k rows on."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, SMALL):
+        u = np.flatnonzero((group[:-k] == group[k:]) & small[:-k])
+        if not len(u):
+            break
+        u = u[np.bitwise_count(words[u] ^ words[u + k]).sum(axis=1, dtype=np.int64) <= most]
+        us.append(u)
+        vs.append(u + k)
+    return np.concatenate(us), np.concatenate(vs)
+
+
 def link_copies(classes: DataFrame, similarity: float = 0.8, block: int = 2048, seed: int = 3) -> DataFrame:
     """Links (u, v) of classes (fp bigint, long binary) whose long fingerprints say that they have at least the
     Jaccard similarity of their shingles.
 
     Pigeonhole over bands: a band is a set of bits, and classes that agree in one are a bucket, in which all
     are compared, as products of matrices of +1 and -1. A bucket beyond `block` is cut into blocks by hash,
-    and each pair of blocks is a group of its own. A group gives a link for each row at most, to the least
-    row it is joined with; pairs are never listed.
+    and each pair of blocks is a group of its own. In groups of up to SMALL, pairs are compared directly;
+    a larger one gives a link for each row at most, to the least row it is joined with, and no pairs.
     """
     total = classes.count()
     width, bands, flips = bands_for(total, similarity)
@@ -266,8 +299,8 @@ def link_copies(classes: DataFrame, similarity: float = 0.8, block: int = 2048,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = np.unpackbits(_bytes(batch.column(1)), axis=1, bitorder="little").astype(np.int64)
-                codes = bits[:, places] @ power
+                bits = np.unpackbits(_bytes(batch.column(1)), axis=1, bitorder="little")
+                codes = np.column_stack([bits[:, p] @ power for p in places])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * bands), pa.array(codes.astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fp", "long", "codes"])
 
@@ -283,17 +316,25 @@ def link_copies(classes: DataFrame, similarity: float = 0.8, block: int = 2048,
     most = LONG * BITS * flips + math.sqrt(LONG * BITS * flips * (1 - flips))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 4):
-            fp = np.asarray(group.column(5))
-            signs = np.unpackbits(_bytes(group.column(6)), axis=1).astype(np.float32) * 2 - 1
-            near = (LONG * BITS - signs @ signs.T) / 2 <= most
-            if group.column(2)[0].as_py() != group.column(3)[0].as_py():
-                side = np.asarray(group.column(4))
-                near &= side[:, None] != side[None, :]
-            root = _forest(near)
-            some = np.flatnonzero(fp[root] != fp)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[root[some]])], names=["u", "v"])
+        for some in _whole_groups(batches, 4):
+            key = np.column_stack([np.asarray(some.column(n)) for n in range(4)])
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            size = np.diff(start, append=len(key))
+            fp, long = np.asarray(some.column(5)), _bytes(some.column(6))
+            crossed, side = key[:, 2] != key[:, 3], np.asarray(some.column(4))
+            u, v = _near_rows(np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size), long.view(np.uint64), most)
+            keep = (fp[u] != fp[v]) & ~(crossed[u] & (side[u] == side[v]))
+            ends = [(fp[u[keep]], fp[v[keep]])]
+            for at, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                signs = np.unpackbits(long[at : at + n], axis=1).astype(np.float32) * 2 - 1
+                near = (LONG * BITS - signs @ signs.T) / 2 <= most
+                if crossed[at]:
+                    own = side[at : at + n]
+                    near &= own[:, None] != own[None, :]
+                mine = fp[at : at + n]
+                least = mine[_forest(near)]
+                ends.append((mine[least != mine], least[least != mine]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ends, strict=True)], names=["u", "v"])
 
     return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
 
