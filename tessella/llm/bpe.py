@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: No pair.
 NONE = np.int64(1) << 62
 #: Characters that are encoded together, and words remembered by a Python worker at most; both bound its memory.
-SLICE = 1 << 20
-MEMORY = 600_000
+SLICE = 1 << 19
+MEMORY = 300_000
 #: From this many bytes a piece has a tree of its own; below it, the trees of many pieces move in step.
 LONG = 256
 
@@ -275,8 +275,9 @@ def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs (doc_id, text) to doc_id, ids array<int>: the byte-level BPE tokens of each whole text.
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """docs (doc_id, text) to doc_id, ids array<int>: the byte-level BPE tokens of each whole text; and, if
+    asked for, decoded binary: what these ids decode to.
 
     Every match of the pattern is merged for itself, by ranks, leftmost first among equals; special
     tokens are ordinary text. A text that is null or empty has no ids. The vocabulary, whose size is
@@ -289,7 +290,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         v = shared.value
         if v.encoder is None:  # the worker keeps it from task to task, with the broadcast
             v.encoder = Encoder(v)
-        encoder = v.encoder
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -297,11 +297,20 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 while end < batch.num_rows and (not texts or size < SLICE):
                     texts.append(batch.column(1)[end].as_py() or "")
                     size, end = size + len(texts[-1]), end + 1
-                ids, counts = encoder.encode(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), _lists(pa.array(ids), counts)], names=["doc_id", "ids"])
+                ids, counts = v.encoder.encode(texts)
+                columns, names = [batch.column(0).slice(at, end - at), _lists(pa.array(ids), counts)], ["doc_id", "ids"]
+                if decoded:
+                    columns, names = [*columns, _binaries(*decode_flat(v, ids, counts))], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at = end
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>" + ", decoded binary" * decoded
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -321,9 +330,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids, counts = np.asarray(part.column(1).flatten()).astype(np.int64), all_counts[at:end]
                 if len(ids) and not (0 <= ids.min() and ids.max() < len(v.offsets) - 1):
                     raise ValueError("an id is not in the vocabulary")
-                flat, sizes = decode_flat(v, ids, counts)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+                decoded = _binaries(*decode_flat(v, ids, counts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded], names=["doc_id", "ids", "decoded"])
                 at = end
 
