@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import durable, text_of
+from tessella.llm.common import dealt, durable, text_of
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     # The random-looking last key splits runs of equal rows over partitions.
     small = durable(small.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())))
-    count = max(1, small.rdd.getNumPartitions())
+    count = dealt(docs)
     order = [F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "tie"]
     ranged = durable(small.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
 
