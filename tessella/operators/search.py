@@ -80,12 +80,12 @@ def ranked(docs: Documents, s: Search) -> DataFrame:
     prefixes the words that begin so). Document frequencies and the average length are one row, a scalar
     subquery; nothing is shuffled by term.
     """
-    words = list(dict.fromkeys(query_tokens(docs.df, s.text)))
+    order = query_tokens(docs.df, s.text)
+    words = list(dict.fromkeys(order))
     kept = docs.df.withColumn("_tokens", tokenize(content(docs, s.fields)))
     counts = [F.size(F.filter("_tokens", _test(w, s.mode == "prefix"))).cast("double") for w in words]
     kept = kept.withColumn("_tf", F.array(*counts)).withColumn("_length", F.size("_tokens").cast("double"))
     stats = kept.agg(F.struct(F.count("*").alias("n"), F.avg("_length").alias("avg"), *(F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(words)))).alias("stats"))
-    order = query_tokens(docs.df, s.text)
     hits = kept.where(matching(F.col("_tokens"), order, s.mode)).withColumn("_s", stats.scalar())
     score = F.lit(0.0)
     for k in range(len(words)):

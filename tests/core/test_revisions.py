@@ -138,6 +138,9 @@ def test_changes(spark):
         changes.read(log, 2, 3, floor=4)
     assert e.value.code == "history_truncated"
     assert {r.document_id: r.sequence for r in changes.latest(log).collect()} == {"d0": 9, "d1": 10, "d2": 8}
+    bodies = spark.createDataFrame([("d0", "1-a", "{}")], "document_id string, revision_id string, body string")
+    named = log.selectExpr("*", "if(sequence = 9, '1-a', '1-b') as winning_revision")
+    assert [r.body for r in changes.with_bodies(named, bodies).where("body is not null").collect()] == ["{}"]
     a = [{"session_id": "s", "sequence": 5}, {"session_id": "s", "sequence": 9}]
     assert changes.reconcile(a, [{"session_id": "s", "sequence": 5}, {"session_id": "t", "sequence": 9}]) == 5
     records = changes.Records()
