@@ -16,7 +16,7 @@ from tessella.plans.binding import Documents
 from tessella.plans.compile import truth
 from tessella.plans.predicate import parse
 
-MEMBERS = 500
+MEMBERS, SPANS = 500, 32
 EVENTS = "event_type string, sequence bigint, id string, revision string, body string"
 
 
@@ -41,19 +41,25 @@ def transitions(history: Documents, selector: dict[str, Any], sequence: str, del
 
     A change of a document that matches is an upsert, whether or not it was a member; of a member that no
     longer matches, or is deleted, a remove; otherwise there is none. members (id): who was one before
-    the batch. Each document's changes are ordered by sequence, in a window by id.
+    the batch. What a document was before a change is the state after the change before. To find it, the
+    batch is cut into SPANS runs of sequences: within a span and id a window looks back one row, and the
+    first row there takes the last state of the id's span before, from one row for each id and span. So
+    the changes of a document that holds much of the batch are spread over the spans.
     """
     matches = truth(parse(selector), history)
     if deleted:
         matches = matches & ~F.col(deleted)
     rows = history.df.select(history.id_column().alias("id"), F.col(sequence).cast("bigint").alias("sequence"), matches.alias("now"))
+    cuts = sorted(set(rows.stat.approxQuantile("sequence", [k / SPANS for k in range(1, SPANS)], 0.01)))
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array(F.lit(0.0))
+    rows = rows.withColumn("span", F.size(F.filter(bounds, lambda c: c <= F.col("sequence"))))
+    ends = rows.groupBy("id", "span").agg(F.max_by("now", "sequence").alias("last"))
+    ends = ends.select("id", "span", F.lag("last").over(Window.partitionBy("id").orderBy("span")).alias("earlier"))
     if members is not None:
-        rows = rows.join(members.select("id", F.lit(True).alias("_member")), "id", "left").withColumn("before", F.coalesce("_member", F.lit(False)))
-    else:
-        rows = rows.withColumn("before", F.lit(False))
-    was = F.coalesce(F.lag("now").over(Window.partitionBy("id").orderBy("sequence")), F.col("before"))
-    rows = rows.withColumn("was", was)
-    kind = F.when(F.col("now"), "upsert").when(F.col("was"), "remove")
+        ends = ends.join(members.select("id", F.lit(True).alias("_member")), "id", "left").withColumn("earlier", F.coalesce("earlier", "_member")).drop("_member")
+    rows = rows.withColumn("before", F.lag("now").over(Window.partitionBy("id", "span").orderBy("sequence"))).join(ends, ["id", "span"])
+    was = F.coalesce("before", "earlier", F.lit(False))
+    kind = F.when(F.col("now"), "upsert").when(was, "remove")
     return rows.select(kind.alias("event_type"), "sequence", "id").where("event_type is not null")
 
 
