@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.checkpoints import durable
+
+__all__ = ["dealt", "durable", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone, so any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    The rows keep their partitions, and lost executors lose nothing. Only where the session names no
-    folder, as in tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-    return df.checkpoint()
-
-
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
