@@ -60,7 +60,7 @@ class VariantValue(Value):
         if name == "null":
             return F.is_variant_null(self.v) & self.v.isNotNull()
         if name == "number":
-            return self.kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+            return self.kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | self.kind.startswith("DECIMAL")
         return self.kind.startswith({"boolean": "BOOLEAN", "string": "STRING", "array": "ARRAY", "object": "OBJECT"}[name])
 
     def number(self) -> Column:
