@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable
+from tessella.llm.common import durable, text_of
 from tessella.llm.components import connected_components
+from tessella.llm.vectors import groups
 
 BITS = 64
 #: Fingerprints at most that the bit groups and thresholds are estimated from.
@@ -344,29 +345,122 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG * 8)
 
 
-def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2) -> DataFrame:
+#: Least hashes that a band of `band_keys` joins; classes of a candidate component that are compared in one group at most.
+ROWS, TOGETHER = 4, 512
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles; a text of fewer words is one shingle."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < words:
+        found, words = [b" ".join(found)], 1
+    digest, last = xxhash.xxh64_intdigest, len(found) - words + 1
+    return np.unique(np.fromiter((digest(b" ".join(x), seed) for x in zip(*(found[k : last + k] for k in range(words)), strict=True)), np.uint64, last))
+
+
+def band_count(similarity: float, miss: float) -> int:
+    """Bands with which a pair just at the Jaccard similarity meets in none with a chance of `miss` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log(1 - similarity**ROWS)))
+
+
+def band_keys(shingles: np.ndarray, bands: int, seed: int = 3) -> np.ndarray:
+    """A key for each band, of the least of ROWS hashes over the set."""
+    rng = np.random.default_rng(seed)
+    mask, odd = rng.integers(0, 2**63, (2, bands * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        x = (shingles[at : at + 4096] ^ mask) * odd
+        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(axis=1))
+    return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(bands, ROWS))), np.uint64, bands).view(np.int64)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets have at least the Jaccard similarity, exactly."""
+    size = np.array([len(x) for x in sets], np.float64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[column] > 1  # what only one set has is in no intersection
+    row, column = np.repeat(np.arange(len(sets)), size.astype(int))[keep], (np.cumsum(count > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        some = slice(*np.searchsorted(column, [at, at + 4096]))
+        has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - at)), np.float32)
+        has[row[some], column[some] - at] = 1
+        both += has @ has.T
+    return both / (size[:, None] + size[None, :] - both) >= similarity
+
+
+def verified(members: DataFrame, similarity: float, words: int, block: int = TOGETHER) -> DataFrame:
+    """Links (u, v) of fingerprints, from members (root, cid, fp, text, blocks) of candidate components.
+
+    All classes of a component are compared by their whole shingle sets, and a link is kept only for an exact
+    Jaccard similarity that is high enough. A component beyond `block` is cut by hash and each pair of blocks
+    is a group. A group gives a link for each class at most, to the least that links of the group join it with.
+    """
+    keys = ["root", "lo", "hi"]
+    met = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "fp", "text")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            cid = np.asarray(group.column(4))
+            once = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]]))  # repeated rows
+            own, fp, texts = np.asarray(group.column(3))[once], np.asarray(group.column(5))[once], group.column(6)
+            if len(once) < 2 or (group.column(1)[0] != group.column(2)[0] and len(np.unique(own)) < 2):
+                continue
+            near = alike([shingle_set(texts[int(n)].as_py(), words) for n in once], similarity)
+            if group.column(1)[0] != group.column(2)[0]:
+                near &= own[:, None] != own[None, :]
+            root = fp[_forest(near)]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[root != fp]), pa.array(root[root != fp])], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
+def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2, miss: float = MISS, block: int = TOGETHER) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
 
     Documents are linked if their fingerprints over shingles of `near_words` lie within `radius` bits
-    (`link_fingerprints`), or if their long fingerprints over shingles of `words` say that these have the
-    Jaccard similarity (`link_copies`). All rows of the id that stays do; rows without an id stay, as
-    nothing can name them. All columns are kept.
+    (`link_fingerprints`), or if their sets of shingles of `words` have the Jaccard similarity, exactly.
+    Candidates for the second are texts that agree in a band of least hashes; a pair just at the similarity
+    agrees in none with a chance of `miss` at most. A component of candidates is compared as a whole, from
+    the texts (`verified`). All rows of the id that stays do; rows without an id stay, as nothing can name
+    them. All columns are kept.
     """
+    bands = band_count(similarity, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, more = [], []
+            fp, cid, keys = [], [], []
             for x in batch.column(1):
                 text = x.as_py()
                 fp.append(fingerprint(text, near_words))
-                more.append(long_fingerprint(text, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(more, pa.binary())], names=["doc_id", "fp", "long"])
+                shingles = shingle_set(text, words)
+                cid.append(xxhash.xxh64_intdigest(shingles.tobytes(), fp[-1] & 0xFFFFFFFFFFFFFFFF))
+                keys.append(band_keys(shingles, bands))
+            ends = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * bands)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(np.array(cid, np.uint64).view(np.int64)), lists], names=["doc_id", "crc", "fp", "cid", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    prints = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, long binary"))
-    classes = durable(prints.groupBy("fp", "long").agg(F.min("doc_id").alias("least")))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(text_of()).alias("crc"))
+    prints = durable(texts.mapInArrow(run, f"doc_id {kind}, crc bigint, fp bigint, cid bigint, keys array<bigint>"))
+    # One row, by id and text, stands for all of a class.
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("pick")
+    classes = durable(prints.groupBy("cid", "fp").agg(F.min("doc_id").alias("least"), pick, F.first("keys").alias("keys")))
     nodes = durable(classes.groupBy("fp").agg(F.min("least").alias("least")))
-    links = durable(link_fingerprints(nodes, radius).union(link_copies(classes, similarity)))
+
+    held = classes.select("cid", F.explode("keys").alias("key"))
+    stars = held.groupBy("key").agg(F.min("cid").alias("u"), F.max("cid").alias("w")).where("u != w").select("key", "u")
+    candidates = durable(connected_components(held.join(stars, "key").where("cid != u").select("u", F.col("cid").alias("v")).distinct()))
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    wanted = candidates.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "fp", "pick"), "node")
+    wanted = wanted.select("root", F.col("node").alias("cid"), "fp", "blocks", F.col("pick.doc_id").alias("_id"), F.col("pick.crc").alias("_crc"))
+    members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc"))).select("root", "cid", "fp", "text", "blocks")
+
+    links = durable(link_fingerprints(nodes, radius).union(verified(members, similarity, words, block)))
     groups_ = grouped(nodes, connected_components(links))
     gone = prints.join(groups_, "fp").where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -322,6 +322,25 @@ def test_first_of_each_of_odd_rows(spark):
     assert simhash.first_of_each(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_copies_are_those_of_the_exact_similarity(spark, block):
+    rng = np.random.default_rng(14)
+    word = lambda: "w" + str(rng.integers(0, 5000))
+    rows = []
+    for g in range(60):  # a run of words changed: similarities from 0.7 to 0.85
+        base = [word() for _ in range(200)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            n = int(rng.integers(12, 32))
+            rows.append((10 * g + k, " ".join([*base[:100], *(word() for _ in range(n)), *base[100 + n :]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    near = lambda a, b: a // 10 == b // 10 and (jaccard(texts[a], texts[b]) >= 0.8 or (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() <= 2)
+    want = set(components({i: i for i in texts}, near).values())
+    got = {r.doc_id for r in simhash.first_of_each(docs, block=block).collect()}
+    assert want <= got
+
+
 @pytest.mark.parametrize("block", [8, 2048])
 def test_copies_in_blocks(spark, block):
     rng = np.random.default_rng(9)
