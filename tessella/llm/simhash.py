@@ -345,8 +345,9 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG * 8)
 
 
-#: Least hashes that a band of `band_keys` joins; classes of a candidate component that are compared in one group at most.
-ROWS, TOGETHER = 4, 512
+#: Least hashes that a band of `band_keys` joins; the chance at most that a pair just at the similarity meets in no band;
+#: classes of a candidate component that are compared in one group at most.
+ROWS, LOST, TOGETHER = 4, 1e-6, 512
 
 
 def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -419,7 +420,7 @@ def verified(members: DataFrame, similarity: float, words: int, block: int = TOG
     return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2, miss: float = MISS, block: int = TOGETHER) -> DataFrame:
+def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2, miss: float = LOST, block: int = TOGETHER) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
 
     Documents are linked if their fingerprints over shingles of `near_words` lie within `radius` bits

@@ -341,6 +341,21 @@ def test_copies_are_those_of_the_exact_similarity(spark, block):
     assert want <= got
 
 
+def test_no_copies_just_above_the_similarity_are_lost(spark):
+    rng = np.random.default_rng(15)
+    word = lambda: "w" + str(rng.integers(0, 5000))
+    rows, twins = [], []
+    for g in range(150):
+        base = [word() for _ in range(200)]
+        n = int(rng.integers(12, 18))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:100], *(word() for _ in range(n)), *base[100 + n :]]))]
+        if 0.8 <= jaccard(rows[-2][1], rows[-1][1]) < 0.85:
+            twins.append(2 * g + 1)
+    assert len(twins) > 100
+    got = {r.doc_id for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert not got & set(twins) and {i for i, _ in rows if i % 2 == 0} <= got
+
+
 @pytest.mark.parametrize("block", [8, 2048])
 def test_copies_in_blocks(spark, block):
     rng = np.random.default_rng(9)
