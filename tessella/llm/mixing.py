@@ -4,39 +4,78 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm.common import durable, text_of
 
-#: Bytes of a block; sources with a weight of their own; slots of a hyperperiod; power of a source's bytes that its
-#: weight follows where none is given; buckets of a source at most.
-BLOCK, CLASSES, PERIOD, TEMPER, BUCKETS = 1 << 16, 64, 1000, 0.5, 4096
+#: Bytes of a block; power of a source's bytes that its weight follows where none is given; buckets of a source at most.
+BLOCK, TEMPER, BUCKETS = 1 << 16, 0.5, 4096
+#: Blocks of the schedule in an Arrow batch.
+_BATCH = 1 << 16
 
 
-def schedule(shares: list[int]) -> list[int]:
-    """Who has each slot of one hyperperiod of sum(shares) slots.
+def order(shares: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of each slot, from slot 0 on, in exact whole numbers.
 
-    Block j (from 0) of a source with share n of d slots is released at floor(j d / n) and due at
-    ceil((j + 1) d / n); each slot goes to the released block that is due first. One slot at a time and
-    full use, so every block meets its deadline, and no source is ever a whole block ahead or behind.
+    While sources last, they are served at once in proportion to their shares, each at most for its blocks:
+    that is the target. Block j of a source is released at the floor of when its target starts it and due at
+    the ceiling of when its target ends it; each slot goes to the released block that is due first. As the
+    targets fill every slot, every block meets its deadline, and no source is ever a whole block ahead of its
+    target or behind, whichever sources have ended. Sources without a share come after all others, evenly.
     """
-    d = sum(shares)
-    arrivals = sorted((j * d // n, -(-(j + 1) * d // n), s) for s, n in enumerate(shares) for j in range(n))
-    ready: list[tuple[int, int]] = []
-    out, at = [], 0
-    for t in range(d):
-        while at < len(arrivals) and arrivals[at][0] <= t:
-            heapq.heappush(ready, arrivals[at][1:])
-            at += 1
-        due, s = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a deadline was missed")
-        out.append(s)
-    return out
+    begin = 0
+    for some in ([s for s, n in enumerate(shares) if n > 0], [s for s, n in enumerate(shares) if n <= 0]):
+        some = [s for s in some if blocks[s] > 0]
+        share = {s: shares[s] if shares[s] > 0 else 1 for s in some}
+        # By when they end: at that time, what the first k have had in all, and the shares of those left.
+        ends = sorted(some, key=lambda s: (Fraction(blocks[s], share[s]), s))
+        about = [blocks[s] / share[s] for s in ends]
+        had, left = [0, *accumulate(blocks[s] for s in ends)], [0, *accumulate(share[s] for s in reversed(ends))][::-1]
+
+        def when(s: int, j: int) -> tuple[int, int]:
+            """The time at which the target of s has had j blocks, as a fraction."""
+            n = share[s]
+            k = bisect_right(about, j / n)
+            while k < len(ends) and blocks[ends[k]] * n < j * share[ends[k]]:
+                k += 1
+            while k and blocks[ends[k - 1]] * n >= j * share[ends[k - 1]]:
+                k -= 1
+            return had[k] * n + j * left[k], n
+
+        def window(s: int, j: int) -> tuple[int, int]:
+            start, n = when(s, j)
+            end, _ = when(s, j + 1)
+            return begin + start // n, begin - (-end // n)
+
+        waiting = [(*window(s, 0), s, 0) for s in some]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int, int]] = []
+        total = begin + had[-1]
+        for t in range(begin, total):
+            while waiting and waiting[0][0] <= t:
+                release, due, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, s, j, release))
+            due, s, j, release = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a deadline was missed")
+            yield s, j, release, due
+            if j + 1 < blocks[s]:
+                heapq.heappush(waiting, (*window(s, j + 1), s, j + 1))
+        begin = total
+
+
+def schedule(shares: list[int]) -> list[int]:
+    """Who has each slot of one hyperperiod of sum(shares) slots."""
+    return [s for s, *_ in order(shares, shares)]
 
 
 @dataclass
@@ -54,33 +93,19 @@ class Run:
 
 
 def phases(shares: list[int], blocks: list[int]) -> list[Run]:
-    """The whole schedule: until a source runs out, then of the others with their shares, and so on."""
-    left, done, slot0, runs = list(blocks), [0] * len(blocks), 0, []
-    while active := [s for s, n in enumerate(left) if n > 0]:
-        order = schedule([shares[s] for s in active])
-        d = len(order)
-        offsets: dict[int, list[int]] = {s: [] for s in active}
-        for t, k in enumerate(order):
-            offsets[active[k]].append(t)
-        length = min((left[s] - 1) // shares[s] * d + offsets[s][(left[s] - 1) % shares[s]] for s in active) + 1
-        for s in active:
-            n = length // d * shares[s] + sum(t < length % d for t in offsets[s])
-            if n:
-                runs.append(Run(s, done[s], n, slot0, shares[s], d, offsets[s]))
-            left[s] -= n
-            done[s] += n
-        slot0 += length
-    return runs
-
-
-def whole_shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Weights as whole numbers of slots, one at least, by largest remainders."""
-    total = sum(weights)
-    exact = [w / total * period if total > 0 else period / len(weights) for w in weights]
-    shares = [max(1, math.floor(x)) for x in exact]
-    for s in sorted(range(len(exact)), key=lambda s: (math.floor(exact[s]) - exact[s], s))[: max(0, period - sum(shares))]:
-        shares[s] += 1
-    return shares
+    """The whole schedule of `order`, as one run for each source."""
+    offsets: dict[int, list[int]] = {}
+    for t, (s, *_) in enumerate(order(shares, blocks)):
+        offsets.setdefault(s, []).append(t)
+    return [Run(s, 0, len(o), 0, len(o), sum(blocks), o) for s, o in sorted(offsets.items())]
+
+
+def whole_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights; all 1 if none is above zero."""
+    exact = [Fraction(max(0, w)) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    shares = [int(x * scale) for x in exact]
+    return shares if any(shares) else [1] * len(shares)
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -89,66 +114,54 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     A row weighs the UTF-8 bytes of its text plus one. A source's rows, in the order of their ids' hashes,
     are cut into blocks of `block` bytes: a row belongs to the block in which it starts, and one longer
     than a block uses up those after. Blocks are scheduled for their sources' weights, earliest deadline
-    first (`schedule`); when a source ends, the others keep their proportions, so every row has a slot
-    and, while a source lasts, its blocks never deviate by one from its share. Within a slot, rows are
+    first (`order`); when a source ends, the others keep their proportions, so every row has a slot, and a
+    source's blocks never deviate by one from what its exact weight gives it. Within a slot, rows are
     ordered by start, the bytes of the source before them.
 
-    weights: relative, by source; if none are given, a source's is the square root of its bytes. The
-    CLASSES largest sources (of those given, if any) are scheduled each for itself; all others share one
-    more class, with the weight of their bytes; a null source is one of its own. Only that table of
-    classes reaches the driver. Bytes before a row come from totals of (class, bucket), at most
-    BUCKETS for a class, and a window within each bucket, so a source that holds most rows is spread
-    over many tasks; the schedule returns as one broadcast row for each class and phase. Rows without an
-    id take the order of the table. An empty table gives an empty result. Repeated rows stay.
+    weights: relative, by source, those of others being their mean; if none are given, a source's is the
+    square root of its bytes. Every source is scheduled for itself, however many there are; a null source is
+    one of its own. Sources of weight zero come last. The schedule is made in one task, one block at a time,
+    from the table of sources, which is all that it holds, and joined to rows by source and block. Bytes
+    before a row come from totals of (source, bucket), at most BUCKETS for a source, and a window within each
+    bucket, so a source that holds most rows is spread over many tasks. Rows without an id take the order of
+    the table. An empty table gives an empty result. Repeated rows stay.
     """
     small = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("nth"),
     )
     small = durable(small.withColumn("key", F.when(F.col("doc_id").isNull(), F.xxhash64("nth")).otherwise(F.xxhash64("doc_id"))))
-    named = small.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    if weights:
-        named = named.withColumn("given", F.col("source").isin(*weights)).orderBy(F.desc("given"), F.desc("bytes"), "source")
-    else:
-        named = named.orderBy(F.desc("bytes"), "source")
-    every = named.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
-    top = named.limit(CLASSES).collect()
-    schema = "doc_id {}, source string, size bigint, text_crc32 bigint, block bigint, release bigint, deadline bigint, slot bigint, start bigint".format(dict(docs.dtypes)["doc_id"])
-    if not top:
-        return docs.sparkSession.createDataFrame([], schema)
-    rest = every.bytes - sum(r.bytes for r in top)
-    totals = [r.bytes for r in top] + [rest] * (rest > 0)
-    if weights:
-        unnamed = sum(weights.values()) / max(1, len(weights))
-        wanted = [float(weights.get(r.source, unnamed)) for r in top] + [unnamed] * (rest > 0)
-    else:
-        wanted = [float(t) ** TEMPER for t in totals]
-    runs = phases(whole_shares(wanted), [-(-t // block) for t in totals])
-
-    known = [(r.source, n) for n, r in enumerate(top) if r.source is not None]
-    none = next((n for n, r in enumerate(top) if r.source is None), len(top))
-    lookup = F.create_map(*[F.lit(x) for pair in known for x in pair]) if known else F.expr("cast(map() as map<string,int>)")
-    of = F.when(F.col("source").isNull(), F.lit(none)).otherwise(F.coalesce(lookup[F.col("source")], F.lit(len(top)))).cast("int")
-    buckets = int(min(BUCKETS, max(16, every.rows // 1000)))
-    rows = small.withColumn("cls", of).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).cast("int"))
+    count = small.count()
+    sources = small.groupBy("source").agg(F.sum("size").alias("bytes")).repartition(1).sortWithinPartitions(F.desc("bytes"), "source")
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(s.as_py(), n.as_py()) for b in batches for s, n in zip(b.column(0), b.column(1), strict=True)]
+        if not rows:
+            return
+        if weights:
+            unnamed = sum(weights.values()) / len(weights)
+            wanted = [float(weights.get(s, unnamed)) for s, _ in rows]
+        else:
+            wanted = [float(n) ** TEMPER for _, n in rows]
+        names, slot = pa.array([s for s, _ in rows], pa.string()), 0
+        slots = order(whole_shares(wanted), [-(-n // block) for _, n in rows])
+        while some := list(islice(slots, _BATCH)):
+            s, *numbers = (pa.array(x, pa.int64()) for x in zip(*some, strict=True))
+            yield pa.RecordBatch.from_arrays([names.take(s), *numbers, pa.array(range(slot, slot + len(some)), pa.int64())], names=["_source", "_block", "release", "deadline", "slot"])
+            slot += len(some)
+
+    slots = durable(sources.mapInArrow(plan, "_source string, _block bigint, release bigint, deadline bigint, slot bigint"))
+    buckets = int(min(BUCKETS, max(16, count // 1000)))
+    # With a mark in front, so that a null source has a key as well.
+    key = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit(""))
+    rows = small.withColumn("cls", key("source")).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("cls", "bucket").agg(F.sum("size").alias("bytes"))
     offsets = sums.select("cls", "bucket", F.coalesce(F.sum("bytes").over(Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("cls", "bucket").orderBy("key", "doc_id", "text_crc32", "size", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["cls", "bucket"])
     placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).withColumn("block", F.expr(f"start div {block}"))
-    plan = docs.sparkSession.createDataFrame(
-        [(r.source, r.first, r.first + r.count, r.slot0, r.share, r.period, r.offsets) for r in runs],
-        "cls int, first bigint, beyond bigint, slot0 bigint, share bigint, period bigint, offsets array<int>",
-    )
-    # At most (CLASSES + 1) classes in as many phases, of PERIOD numbers each, whatever the rows.
-    joined = placed.join(F.broadcast(plan), (placed["cls"] == plan["cls"]) & (placed["block"] >= plan["first"]) & (placed["block"] < plan["beyond"]))
-    return joined.select(
-        "doc_id", "source", "size", "text_crc32", "block",
-        F.expr("slot0 + ((block - first) * period) div share").alias("release"),
-        F.expr("slot0 + ((block - first + 1) * period + share - 1) div share").alias("deadline"),
-        F.expr("slot0 + ((block - first) div share) * period + offsets[cast((block - first) % share as int)]").alias("slot"),
-        "start",
-    )
+    slots = slots.select(key("_source").alias("cls"), F.col("_block").alias("block"), "release", "deadline", "slot")
+    return placed.join(slots, ["cls", "block"]).select("doc_id", "source", "size", "text_crc32", "block", "release", "deadline", "slot", "start")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:

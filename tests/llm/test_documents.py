@@ -109,6 +109,18 @@ def test_mixing(spark):
     assert len(given) == len(rows)
 
 
+def test_slots_follow_the_exact_weights(spark):
+    """Weights that no thousandths give, over more slots than rounding to them would stand."""
+    weights = {"a": 0.70044, "b": 0.29906, "c": 0.0005}
+    rows = [(i, "x" * 99, s) for s, n in (("a", 4000), ("b", 1900), ("c", 8)) for i in range(n)]
+    got = mixing.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block=100).collect()
+    order, had = sorted((r.slot, r.source) for r in got), Counter()
+    assert [t for t, _ in order] == list(range(len(rows)))
+    for t, s in order[:5500]:  # all sources last
+        had[s] += 1
+        assert all(abs((t + 1) * w - had[k]) < 1 for k, w in weights.items())
+
+
 def test_mix_keeps_all_rows_in_order(spark):
     docs = cases.frame(spark)
     out = mixing.mix(docs, block=700)
