@@ -121,6 +121,23 @@ def test_slots_follow_the_exact_weights(spark):
         assert all(abs((t + 1) * w - had[k]) < 1 for k, w in weights.items())
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_every_source_has_its_own_share(spark, given):
+    names = [f"s{k:03}" for k in range(150)]
+    blocks = {s: 4 + k % 5 for k, s in enumerate(names)}
+    weights = {s: float(1 + k % 7) for k, s in enumerate(names)}
+    rows = [(1000 * k + i, "x" * 99, s) for k, s in enumerate(names) for i in range(blocks[s])]
+    got = mixing.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights if given else None, block=100).collect()
+    slots = sorted((r.slot, r.source) for r in got)
+    assert [t for t, _ in slots] == list(range(len(rows))) and all(r.release <= r.slot < r.deadline for r in got)
+    share = weights if given else {s: (100 * n) ** 0.5 for s, n in blocks.items()}
+    until = int(min(blocks[s] / share[s] for s in names) * sum(share.values()))  # all sources last
+    had, total = Counter(), sum(share.values())
+    for t, s in slots[:until]:
+        had[s] += 1
+        assert all(abs((t + 1) * share[k] / total - had[k]) < 1 + 1e-9 for k in names)
+
+
 def test_mix_keeps_all_rows_in_order(spark):
     docs = cases.frame(spark)
     out = mixing.mix(docs, block=700)
