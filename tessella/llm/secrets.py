@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ PATTERNS = [
 _HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"  # shorter matches fail anyhow, and nothing follows a match within its run
 #: Candidates for the automata: runs of token characters with a digit, from 12 characters.
 CANDIDATE = f"(?<!{_VALUE})(?=[A-Za-z+/_.=-]*+[0-9]){_VALUE}{{12,}}+"
+WORD = "(?<![^ ])[A-Za-z]{5,24}(?![^ ])"
 _SECOND = "regexp_extract({}, " + quoted("^" + PATTERNS[0].replace(_VALUE + "+", f"({_VALUE}+)")) + ", 1)"
 
-#: Credentials of a kind, and candidates, at most that automata are inferred from; the least by hash.
+#: Credentials of a kind at most that automata are inferred from; the least by hash.
 SAMPLE = 400
 #: Confidence of the tests for merging (smaller merges more), and bits a character by which a format must beat
 #: ordinary tokens.
@@ -173,16 +175,43 @@ class Ordinary:
         return total + self.after.get((last, "$"), self.least)
 
 
+_CODES = bytes((SYMBOLS + "\n").index("\n" if c == "\n" else symbol(c)) for c in map(chr, range(256)))
+
+
+def transitions(tokens: Iterable[str]) -> np.ndarray:
+    """How often each symbol follows each in the tokens, with what is between tokens as the last one."""
+    codes = np.frombuffer("\n".join(["", *tokens, ""]).encode("latin-1", "replace").translate(_CODES), np.uint8).astype(np.int64)
+    n = len(SYMBOLS) + 1
+    return np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
+
+
+def model(counts: np.ndarray) -> Ordinary:
+    """With one added to each count; what was never seen has the least."""
+    last, then = [*SYMBOLS, "^"], [*SYMBOLS, "$"]
+    total = counts.sum(axis=1) + len(SYMBOLS) + 1
+    return Ordinary({(last[a], then[b]): math.log2((counts[a, b] + 1) / total[a]) for a, b in zip(*np.nonzero(counts), strict=True)}, -8.0)
+
+
 def ordinary(tokens: list[str]) -> Ordinary:
-    """With one added to each count."""
-    count, total = defaultdict(lambda: 1), defaultdict(lambda: len(SYMBOLS) + 1)
-    for text in tokens:
-        last = "^"
-        for s in [*map(symbol, text), "$"]:
-            count[last, s] += 1
-            total[last] += 1
-            last = s
-    return Ordinary({k: math.log2(n / total[k[0]]) for k, n in count.items()}, -8.0)
+    return model(transitions(tokens))
+
+
+def _counted(values: DataFrame, found: Callable[[str], list[str]]) -> np.ndarray:
+    """The transitions in what `found` gives for each of values, a column of strings: one row of numbers from each
+    task, of which only the sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(SYMBOLS) + 1,) * 2, np.int64)
+        for batch in batches:
+            total += transitions(t for x in batch.column(0).to_pylist() for t in found(x or ""))
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    out = np.zeros((len(SYMBOLS) + 1) ** 2, np.int64)
+    for r in values.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r.n
+    out[-1] = 0  # between two batches' ends
+    return out.reshape(len(SYMBOLS) + 1, -1)
 
 
 def _base() -> Column:
@@ -197,17 +226,18 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN)
     base: the matches of the definitions, which also label credentials. Of their distinct values, at most
     `sample` of each kind (those of least hash, by a top-k that is combined before the shuffle) reach the
     driver, and an automaton is inferred for each kind. All candidate tokens of all texts are scored;
-    added are those outside base spans whose best format beats ordinary tokens, learnt from as many
-    candidates and words, by `margin` bits a character, and which are no shorter than that format's
-    shortest. Rows with candidates pass through Arrow batches; the scan, the only read of whole texts,
-    stays in the JVM and is checkpointed without the texts. Null texts are empty; without credentials to
+    added are those outside base spans whose best format beats ordinary tokens by `margin` bits a
+    character, and which are no shorter than that format's shortest. How likely an ordinary token is say the
+    transitions within all distinct candidates and those within all words of all texts, whichever is more.
+    Rows with candidates pass through Arrow batches; the scan stays in the JVM and is checkpointed without
+    the texts, which are read once more to count the words. Null texts are empty; without credentials to
     learn from, nothing is added; repeated rows stay; other columns are not read.
     """
     text = "text"
     rows = docs.select("doc_id", text_of().alias(text))
     found = {f"found{k}": spans(text, _HEX if k == 2 else p) for k, p in enumerate(PATTERNS)} | {"tokens": spans(text, CANDIDATE)}
-    rows = rows.select("doc_id", *(c.alias(k) for k, c in found.items()), F.expr("regexp_extract(text, '(?<![^ ])[A-Za-z]{5,24}(?![^ ])', 0)").alias("word"))
-    rows = rows.select("doc_id", "word", _base().alias("base"), F.expr("transform(tokens, c -> named_struct('start', c.start, 'stop', c.stop, 'found', c.found))").alias("tokens"))
+    rows = rows.select("doc_id", *(c.alias(k) for k, c in found.items()))
+    rows = rows.select("doc_id", _base().alias("base"), F.expr("transform(tokens, c -> named_struct('start', c.start, 'stop', c.stop, 'found', c.found))").alias("tokens"))
     outside = "filter(tokens, c -> not exists(base, b -> b.start < c.stop and c.start < b.stop))"
     rows = durable(rows.withColumn("tokens", F.expr(outside)))
 
@@ -216,7 +246,8 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN)
 
     labelled = rows.where("size(base) > 0").select(F.inline("base")).select("kind", F.when(F.col("kind") == 0, F.expr(_SECOND.format("found"))).otherwise(F.col("found")).alias("value"))
     automata = [infer(values) for k in range(3) if (values := least(labelled.where(F.col("kind") == k).select("value")))]
-    usual = ordinary(least(rows.where("size(tokens) > 0").select(F.inline("tokens")).select(F.col("found").alias("value"))) + least(rows.where("word <> ''").select(F.col("word").alias("value"))))
+    distinct = rows.where("size(tokens) > 0").select(F.inline("tokens")).select(F.col("found").alias("value")).distinct()
+    usual = [model(_counted(distinct, lambda x: [x])), model(_counted(docs.select(text_of()), re.compile(WORD).findall))] if automata else []
     slim = "named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop)"
     kept = rows.select("doc_id", F.expr(f"transform(base, x -> {slim})").alias("base"), "tokens")
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -227,7 +258,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, margin: float = MARGIN)
             for tokens in batch.column(2):
                 good = []
                 for t in tokens.as_py() or ():
-                    text, floor = t["found"], usual.bits(t["found"])
+                    text, floor = t["found"], max((u.bits(t["found"]) for u in usual), default=0.0)
                     if any(len(text) >= a.shortest and a.bits(text) - floor > margin * len(text) for a in automata):
                         good.append({"kind": 3, "start": t["start"], "stop": t["stop"]})
                 added.append(good)

@@ -47,6 +47,29 @@ def test_automaton_knows_its_format():
         assert a.bits(bad) - usual.bits(bad) < 0
 
 
+def test_ordinary_tokens_are_those_of_all_documents(spark, monkeypatch):
+    """Every distinct candidate and every word count, past the first of a document and beyond any sample."""
+    import random
+
+    rng, seen = random.Random(3), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [" ".join([word(6), f"{word(9)}-{100 + i}", word(7), word(3), word(8)]) for i in range(1500)]
+    texts += ["password=hunter2hunter2", None, "", texts[0]]
+    monkeypatch.setattr(secrets, "model", lambda counts, model=secrets.model: seen.append(counts) or model(counts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert secrets.find_secrets(docs).count() == len(texts)
+    tokens = {t for x in texts for t in (x or "").split() if "-" in t}
+    words = [w for x in texts for w in (x or "").split() if w.isalpha() and len(w) >= 5]
+    for counts, among in zip(seen, (tokens, words), strict=True):
+        want = {}
+        for t in among:
+            for pair in zip(["^", *map(secrets.symbol, t)], [*map(secrets.symbol, t), "$"], strict=True):
+                want[pair] = want.get(pair, 0) + 1
+        last, then = [*secrets.SYMBOLS, "^"], [*secrets.SYMBOLS, "$"]
+        got = {(last[a], then[b]): n for a, row in enumerate(counts.tolist()) for b, n in enumerate(row) if n}
+        assert got == want
+
+
 def test_redact(spark):
     docs = cases.frame(spark)
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
