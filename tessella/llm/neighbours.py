@@ -16,8 +16,10 @@ from tessella.llm.common import durable
 from tessella.llm.vectors import BLOCK, groups, matrix, valid
 
 #: Vectors at most that the forest is fitted on; trees; rows a leaf should have (a 64th of the table, if less); of a
-#: sample, rows a leaf must have; and rows of all leaves that a query visits, as a share of the table.
+#: sample, rows a leaf must have; and rows of all leaves that a query visits at least, as a share of the table.
 SAMPLE, TREES, LEAF, LEAST, SHARE = 32_768, 2, 512, 8, 1.2
+#: Sampled vectors that recall is measured on, and the mean that it must reach there.
+TRIALS, RECALL = 128, 0.94
 #: Best matches held in a task before they are cut to each query's own best.
 _HELD = 1 << 20
 
@@ -85,6 +87,28 @@ def visits(forest: list[Tree], query: np.ndarray, sizes: list[np.ndarray], budge
     return out
 
 
+def enough(forest: list[Tree], rows: np.ndarray, asked: np.ndarray, asks: np.ndarray, k: int, recall: float) -> float:
+    """The rows that queries must visit, as a share of all, for the recall on average.
+
+    rows: lifted sample; asks: those of its rows that ask, as `asked`. Their true k best of the sample are found by
+    brute force; the best that a query has found grows with the leaves it visits, in the order of its walk.
+    """
+    leaves = [t.leaf_of(rows) for t in forest]
+    sizes = [np.bincount(at, minlength=t.leaves) for t, at in zip(forest, leaves, strict=True)]
+    product = asked @ rows.T
+    product[np.arange(len(asks)), asks] = -np.inf
+    k = min(k, len(rows) - 1)
+    needed = []
+    for query, true in zip(asked, np.argpartition(-product, k - 1, axis=1)[:, :k], strict=True):
+        walk = visits(forest, query, sizes, math.inf)
+        before, total = {}, 0  # a leaf is visited if what was visited before it is less than the budget
+        for place in walk:
+            before[place] = total
+            total += int(sizes[place[0]][place[1]])
+        needed += [min(before[n, int(at[x])] for n, at in enumerate(leaves)) for x in true]
+    return float(np.sort(needed)[math.ceil(recall * len(needed)) - 1] + 1) / len(rows)
+
+
 def best_of(query: np.ndarray, qid: np.ndarray, rows: np.ndarray, rid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, inner product) of each query's k best rows, itself excluded, ties to smaller ids."""
     product = query @ rows.T
@@ -123,7 +147,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
 
     The forest is fitted on at most `sample` vectors, those of least hash, and every row is put into a
     leaf of each tree. A query walks all trees with one priority queue until the leaves visited hold
-    `share` of the table. Rows and queries of a leaf meet in matrix products; leaves with many of
+    `share` of the table, or more where TRIALS vectors of the sample, as queries against brute force, need
+    more for a recall of RECALL (as when some vectors are much longer than others). Rows and queries of a leaf meet in matrix products; leaves with many of
     either are cut into blocks, so a group of equal vectors, however large, is spread. A task keeps its
     queries' k best; scores are recomputed on the original vectors before the k best of all are ranked,
     nearest first, ties to the smaller vec_id. With data of low inner dimension a small share finds
@@ -149,6 +174,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     small = max(LEAST, math.ceil(min(leaf, max(LEAST, top.n / 64)) * len(fit) / top.n))
     rng = np.random.default_rng(seed)
     forest = [Tree(fit, small, rng) for _ in range(trees)]
+    if len(drawn) > 1:
+        # Vectors of least hash are in random order.
+        asks = np.arange(min(TRIALS, len(drawn)))
+        share = max(share, enough(forest, fit, lifted(np.array([drawn[n].embedding for n in asks], np.float64), True), asks, k, RECALL))
     context = vectors.sparkSession.sparkContext
     shared = context.broadcast(forest)
 

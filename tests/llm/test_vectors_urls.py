@@ -113,3 +113,21 @@ def test_url_rules(spark, monkeypatch, opened):
     assert got == Counter((i, *plain(u, rules, "allow")) for i, u in rows)
     assert urls.judge(df.limit(0), urls.rules_frame(spark, rules)).count() == 0
     assert {r.verdict for r in urls.judge(df, urls.rules_frame(spark, rules).limit(0), default="block").collect()} == {"block"}
+
+
+@pytest.mark.parametrize("times", [3.0, 100.0])
+def test_neighbours_with_vectors_of_unequal_lengths(spark, times):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= times
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    product, found = x.astype(float) @ x.astype(float).T, 0
+    for q in range(0, 2000, 20):
+        product[q, q] = -np.inf
+        found += len(got[q] & set(np.argsort(-product[q])[:20].tolist()))
+    assert found / (20 * 100) >= 0.9
