@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Code points of context before a match that are kept with it.
 CONTEXT = 48
+#: Matches that are gathered in one array before it is joined with the others.
+RUN = 256
 
 _SPAN = "struct<start:int,stop:int,found:string,before:string,next:string>"
 
@@ -27,21 +29,27 @@ def spans(text: str, pattern: str) -> Column:
     is searched once, and once more only if something was found.
     """
     p = quoted(pattern)
+    none = f"cast(array() as array<{_SPAN}>)"
+    # Runs of RUN matches are arrays of their own and joined at the end, as to append copies what there is.
     return F.expr(f"""
         transform(array(regexp_extract_all({text}, {p}, 0)), m ->
-            if(size(m) = 0, cast(array() as array<{_SPAN}>),
+            if(size(m) = 0, {none},
                transform(array(split({text}, {p}, -1)), g ->
-                   aggregate(sequence(0, size(m) - 1),
-                       named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-                       (a, i) -> named_struct(
-                           'at', a.at + char_length(g[i]) + char_length(m[i]),
-                           'out', concat(a.out, array(named_struct(
-                               'start', a.at + char_length(g[i]),
-                               'stop', a.at + char_length(g[i]) + char_length(m[i]),
-                               'found', m[i],
-                               'before', right(g[i], {CONTEXT}),
-                               'next', left(g[i + 1], 1))))),
-                       a -> a.out))[0]))[0]""")
+                   aggregate(sequence(0, (size(m) - 1) div {RUN}),
+                       named_struct('at', 0, 'runs', cast(array() as array<array<{_SPAN}>>)),
+                       (b, r) -> transform(array(
+                           aggregate(sequence(cast(r * {RUN} as int), cast(least(size(m) - 1, r * {RUN} + {RUN - 1}) as int)),
+                               named_struct('at', b.at, 'out', {none}),
+                               (a, i) -> named_struct(
+                                   'at', a.at + char_length(g[i]) + char_length(m[i]),
+                                   'out', concat(a.out, array(named_struct(
+                                       'start', a.at + char_length(g[i]),
+                                       'stop', a.at + char_length(g[i]) + char_length(m[i]),
+                                       'found', m[i],
+                                       'before', right(g[i], {CONTEXT}),
+                                       'next', left(g[i + 1], 1))))))
+                           ), x -> named_struct('at', x.at, 'runs', concat(b.runs, array(x.out))))[0],
+                       b -> flatten(b.runs)))[0]))[0]""")
 
 
 def listed(kinds: list[str], array: str) -> Column:

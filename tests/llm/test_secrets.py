@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from tessella.llm import secrets
 from tessella.llm.pii import digest
 from tests.llm import cases
@@ -70,14 +72,97 @@ def test_ordinary_tokens_are_those_of_all_documents(spark, monkeypatch):
         assert got == want
 
 
-def test_redact(spark):
+def plain_masked(text, added=()):
+    out, at = "", 0
+    for start, stop in sorted([(start, stop) for start, _, stop in brute(text)] + list(added)):
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, stop)
+    return out + text[at:]
+
+
+def test_redact_masks_every_row_by_its_own_text(spark):
     docs = cases.frame(spark)
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    out = {r.doc_id: r for r in secrets.redact(once, secrets.find_secrets(once)).collect()}
-    assert len(out) == once.count() and set(docs.columns) == set(secrets.redact(once, secrets.find_secrets(once)).columns)
-    assert out[9].text == "[secret] and token: token=abcdef 0123456789abcdef01234567".replace("token: token=abcdef", "[secret]").replace("0123456789abcdef01234567", "[secret]")
-    assert out[9].n_chars == len(out[9].text)
-    assert out[4].text == cases.TEXTS[4] and out[0].text is None
+    rows = docs.withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0))).collect()
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = {r.doc_id: [(x.start, x.stop) for x in r.added] for r in secrets.find_secrets(by_text).collect()}
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "", r.fp) for r in out.collect())
+    assert any(found.values())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, r.text is None, plain_masked(r.text or "", found.get(r.h, ())), "clash") for r in rows)
+    assert all(r.text is None or r.n_chars is None or r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_redact_without_ids_and_with_shared_ids(spark):
+    shape = "doc_id long, text string, row string, _id long, new string, base int"
+    rows = [(None, "password=hunter2hunter2", "a", 1, "n", 1), (None, "nothing here", "b", 2, "n", 1), (7, "token: abcdef1 é", "c", 3, "n", 1), (7, "nothing here", "d", 4, "n", 1),
+            (7, "token: abcdef1 é", "c", 3, "n", 1), (8, None, None, None, None, None), (9, "", "e", 5, "n", 1), (None, "AKIA" + "Q7" * 9 + "x" * 100_000 + " secret=a1b2c3", "f", 6, "n", 1)]
+    out = secrets.redact(spark.createDataFrame(rows, shape).repartition(3))
+    assert out.columns == ["doc_id", "text", "row", "_id", "new", "base"]
+    want = [(i, t if t is None else plain_masked(t), *more) for i, t, *more in rows]
+    key = lambda r: [(x is None, x if x is not None else 0) for x in r]
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert secrets.redact(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_learnt_probabilities_are_those_of_the_automaton_that_spoke():
+    """A known automaton: up to three digits or letters, nine in ten of them digits, then a dash and again, or the end."""
+    import random
+
+    rng = random.Random(8)
+
+    def speak():
+        out = ""
+        while True:
+            out += rng.choice("0123456789") if rng.random() < 0.9 else rng.choice("xyz")
+            if rng.random() < 0.2:
+                return out
+
+    a = secrets.infer([speak() for _ in range(2000)])
+    first = a.step[0]
+    assert abs(2 ** first["d"][1] - 0.9) < 0.05 and abs(2 ** first["l"][1] - 0.1) < 0.05
+    state = first["d"][0]
+    assert abs(2 ** a.step[state]["d"][1] - 0.72) < 0.05 and abs(2 ** a.step[state]["l"][1] - 0.08) < 0.05 and abs(2 ** a.end[state] - 0.2) < 0.05
+    assert len(a.step) <= 6
+    fixed = secrets.infer(["".join(rng.choice("0123456789") if rng.random() < 0.9 else "z" for _ in range(20)) for _ in range(2000)])
+    state = 0
+    for _ in range(20):
+        assert abs(2 ** fixed.step[state]["d"][1] - 0.9) < 0.05
+        state = fixed.step[state]["d"][0]
+    assert 2 ** fixed.end[state] > 0.9
+
+
+def test_added_spans_on_planted_formats(spark):
+    """Credentials without the words that name them are found; versions, dates, names and numbers are not."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base36 = "abcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: some("etaoinshrdlucmfw", rng.randint(3, 9))
+    number = lambda: str(rng.randint(1, 2030))
+    ordinary = [
+        lambda: f"{word()}-{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{word()}-{number()}-{word()}-{word()}", lambda: f"10.{rng.randint(1000, 9999)}/{number()}.{number()}.{number()}",
+        lambda: f"www.{word()}.org/{word()}/page{number()}", lambda: f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T00.{rng.randint(10, 59)}.{rng.randint(10, 59)}", lambda: f"{word()}.{word()}.v{number()}.{number()}",
+    ]
+    rows, planted = [], {}
+    for i in range(1200):
+        words = [word() for _ in range(30)]
+        if i % 4 == 0:
+            words[5] = f"token={some(base36, 24)}"
+        elif i % 12 == 1:
+            words[9] = planted.setdefault(i, some(base36, 24))
+        else:
+            words[9], words[20] = rng.choice(ordinary)(), rng.choice(ordinary)()
+        rows.append((i, " ".join(words)))
+    hits = wrong = 0
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.doc_id][1]
+        added = [text[x.start : x.stop] for x in r.added]
+        hits += planted.get(r.doc_id) in added
+        wrong += sum(x != planted.get(r.doc_id) for x in added)
+    assert hits >= 0.9 * len(planted) and wrong <= 0.1 * hits
 
 
 def test_empty(spark):

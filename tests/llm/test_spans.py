@@ -65,5 +65,13 @@ def test_expectation_maximisation_finds_the_reliable_labelers():
     assert w["vote", 0, 0, 1] > abs(w["vote", 0, 3, 1])
 
 
+def test_spans_of_many_matches(spark):
+    from tessella.llm.spans import spans
+
+    text = "é 1 " * 2000 + "22"
+    got = spark.createDataFrame([(text,), ("",)], "text string").select(spans("text", "[0-9]+").alias("s")).collect()
+    assert [(x.start, x.stop, x.found) for x in got[0].s] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)] and got[1].s == []
+
+
 def test_empty(spark):
     assert pii.digest(pii.find_pii(cases.empty(spark)), KINDS).count() == 0
