@@ -10,7 +10,7 @@ from tessella.llm.bpe import encode
 from tessella.llm.common import durable, table
 from tessella.llm.language import keep_identified
 from tessella.llm.mixing import mix
-from tessella.llm.secrets import find_secrets, redact
+from tessella.llm.secrets import redact
 from tessella.llm.simhash import first_of_each
 
 #: Share of the best language under which a document is rejected: hardly above that of a guess among the languages.
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    return redact(docs, find_secrets(docs))
+    return redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
