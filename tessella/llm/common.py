@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.sources.checkpoints import durable
 
-__all__ = ["dealt", "durable", "table", "text_of"]
+__all__ = ["dealt", "durable", "fresh", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +23,14 @@ def text_of(column: str = "text") -> Column:
 def dealt(df: DataFrame) -> int:
     """Partitions for state gathered from the whole input: as many as a shuffle has."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column's name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

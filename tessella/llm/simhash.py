@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable, text_of
+from tessella.llm.common import durable, fresh, text_of
 from tessella.llm.components import connected_components
 from tessella.llm.vectors import groups
 
 BITS = 64
 #: Fingerprints at most that the bit groups and thresholds are estimated from.
 SAMPLE = 8192
-#: Members of a bucket from which pairs are not formed: a member's own 65 midpoints are then as cheap.
+#: Fingerprints that own a bucket beyond which no pairs are formed in it: a member's own 65 midpoints are then as cheap.
 HOT = 64
 _CHUNK = 1 << 18
 
@@ -97,7 +97,9 @@ def plan_probes(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[
 
     For every number of groups up to radius + 1, costs are probes (values within the threshold of a
     member's own) plus candidates, estimated from how many sampled pairs agree on the group, and from
-    uniform bits where the sample is too small to show any.
+    uniform bits where the sample is too small to show any. So groups get wider, and thresholds larger, as
+    fingerprints get more, before their buckets get hot: with even bits, the mean bucket of any plan for up
+    to 10^11 fingerprints holds fewer than HOT by their own value.
     """
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for parts in range(1, radius + 2):
@@ -111,7 +113,7 @@ def plan_probes(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[
             row, probes = [0.0], 0.0
             for t in range(radius + 1):
                 probes += float(np.prod([(width - k) / (k + 1) for k in range(t)]))
-                row.append(total * probes + total * total * agree * probes / 2)
+                row.append(total * probes * (1 + total * agree / 2))
             costs.append(row)
         cost, thresholds = allocate(costs, radius)
         if best is None or cost < best[0]:
@@ -139,8 +141,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> D
     """Links (u, v) that join all of distinct (fp bigint) lying within `radius` (at most 2) bits.
 
     Fingerprints within the radius share a bucket: the value of some bit group, within the group's
-    threshold. In a bucket of at most `hot` members, pairs are formed and verified. Members of larger
-    buckets, however large, instead send their 64 one-bit neighbours and themselves to one aggregate:
+    threshold. In a bucket that at most `hot` fingerprints own (by their value itself), each member meets those,
+    and pairs are verified. Members of larger buckets, which a cluster of near copies makes, instead send their 64 one-bit neighbours and themselves to one aggregate:
     two of them are within two bits exactly if they share one of those, and any that share one are, so
     each is linked with the least that shares it. That is exact, 65 rows a member, and never a pair; the
     links joined are then those of all pairs, though not each pair is listed.
@@ -161,15 +163,15 @@ def link_fingerprints(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> D
         for m in _flips(group, most)
     ])
     members = distinct.select("fp", F.inline(probes))
-    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum((~F.col("moved")).cast("long")).alias("owners")).where("n > 1 and owners > 0").drop("n")
     members = durable(members.join(sizes, ["part", "key"]))
 
-    cold = members.where(F.col("n") <= hot)
+    cold = members.where(F.col("owners") <= hot)
     own, others = cold.where("not moved").select("part", "key", F.col("fp").alias("u")), cold.select("part", "key", F.col("fp").alias("v"), "moved")
     # Between two that lie in the bucket by their own value, one order will do.
     pairs = own.join(others, ["part", "key"]).where((F.col("u") != F.col("v")) & (F.col("moved") | (F.col("u") < F.col("v"))) & (_near("u", "v") <= radius)).select("u", "v")
 
-    large = members.where(F.col("n") > hot).select("fp").distinct()
+    large = members.where(F.col("owners") > hot).select("fp").distinct()
     reach = [0, *(1 << b for b in range(BITS))] if radius == 2 else [0]
     if radius == 2:
         middles = large.select(F.col("fp").alias("v"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m))) for m in reach])).alias("middle"))
@@ -203,36 +205,6 @@ def grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: Long fingerprints: words of BITS bits; the chance at most that a pair exactly at the similarity meets in no band.
-#: Rows of a group at most whose pairs are linked one by one.
-LONG, MISS, SMALL = 4, 0.05, 32
-
-
-def long_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> bytes:
-    """LONG * BITS majority bits of the text's shingles: a hash's bits, each joined by exclusive or with the
-    one k places on, for k from 1 to LONG; any two of them are independent."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(found) < words:
-        found, words = [b" ".join(found)], 1
-    digest, total = xxhash.xxh64_intdigest, np.zeros(LONG * BITS, np.int64)
-    last = len(found) - words + 1
-    for at in range(0, last, _CHUNK):
-        end = min(last, at + _CHUNK)
-        h = np.fromiter((digest(b" ".join(s), seed) for s in zip(*(found[at + k : end + k] for k in range(words)), strict=True)), np.uint64, end - at)
-        for k in range(1, LONG + 1):
-            x = h ^ (h << np.uint64(k) | h >> np.uint64(BITS - k))
-            total[(k - 1) * BITS : k * BITS] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > last, bitorder="little").tobytes()
-
-
-def bands_for(rows: int, similarity: float, miss: float = MISS) -> tuple[int, int, float]:
-    """Bits of a band, bands, and the share of bits in which a pair of the Jaccard similarity differs."""
-    width = max(12, min(28, math.ceil(math.log2(max(2, rows))) - 2))
-    flips = math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of one size
-    alike = (1 - flips) ** width
-    return width, max(1, math.ceil(math.log(miss) / math.log(1 - alike))), flips
-
-
 def _forest(near: np.ndarray) -> np.ndarray:
     """The least row that links join to each row of a square of booleans."""
     root = np.full(len(near), -1)
@@ -249,102 +221,6 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows again, cut only between groups that agree in the first `keys` columns."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        change = np.zeros(batch.num_rows, bool)
-        for n in range(keys):
-            c = np.asarray(batch.column(n))
-            change[1:] |= c[1:] != c[:-1]
-        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
-        if last:
-            yield batch.slice(0, last)
-        held = batch.slice(last)
-    if held is not None:
-        yield held
-
-
-def _near_rows(group: np.ndarray, small: np.ndarray, words: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a small group that differ in at most `most` bits: each row with the one k rows on."""
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(1, SMALL):
-        u = np.flatnonzero((group[:-k] == group[k:]) & small[:-k])
-        if not len(u):
-            break
-        u = u[np.bitwise_count(words[u] ^ words[u + k]).sum(axis=1, dtype=np.int64) <= most]
-        us.append(u)
-        vs.append(u + k)
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def link_copies(classes: DataFrame, similarity: float = 0.8, block: int = 2048, seed: int = 3) -> DataFrame:
-    """Links (u, v) of classes (fp bigint, long binary) whose long fingerprints say that they have at least the
-    Jaccard similarity of their shingles.
-
-    Pigeonhole over bands: a band is a set of bits, and classes that agree in one are a bucket, in which all
-    are compared, as products of matrices of +1 and -1. A bucket beyond `block` is cut into blocks by hash,
-    and each pair of blocks is a group of its own. In groups of up to SMALL, pairs are compared directly;
-    a larger one gives a link for each row at most, to the least row it is joined with, and no pairs.
-    """
-    total = classes.count()
-    width, bands, flips = bands_for(total, similarity)
-    rng = np.random.default_rng(seed)
-    places = np.array([rng.permutation(LONG * BITS)[:width] for _ in range(bands)])
-    power = 1 << np.arange(width, dtype=np.int64)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bits = np.unpackbits(_bytes(batch.column(1)), axis=1, bitorder="little")
-                codes = np.column_stack([bits[:, p] @ power for p in places])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * bands), pa.array(codes.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fp", "long", "codes"])
-
-    rows = durable(classes.select("fp", "long").mapInArrow(cut, "fp bigint, long binary, codes array<int>"))
-    sizes = rows.select(F.posexplode("codes").alias("band", "code")).groupBy("band", "code").count().where("count > 1")
-    sizes = sizes.select("band", "code", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    met = rows.select("fp", "long", F.posexplode("codes").alias("band", "code")).join(sizes, ["band", "code"])
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp", "long"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keys = ["band", "code", "lo", "hi"]
-    dealt = met.select("band", "code", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "long")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    # By a standard deviation more than such a pair is expected to differ in, so few of those above are lost.
-    most = LONG * BITS * flips + math.sqrt(LONG * BITS * flips * (1 - flips))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _whole_groups(batches, 4):
-            key = np.column_stack([np.asarray(some.column(n)) for n in range(4)])
-            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            size = np.diff(start, append=len(key))
-            fp, long = np.asarray(some.column(5)), _bytes(some.column(6))
-            crossed, side = key[:, 2] != key[:, 3], np.asarray(some.column(4))
-            u, v = _near_rows(np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size), long.view(np.uint64), most)
-            keep = (fp[u] != fp[v]) & ~(crossed[u] & (side[u] == side[v]))
-            ends = [(fp[u[keep]], fp[v[keep]])]
-            for at, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                signs = np.unpackbits(long[at : at + n], axis=1).astype(np.float32) * 2 - 1
-                near = (LONG * BITS - signs @ signs.T) / 2 <= most
-                if crossed[at]:
-                    own = side[at : at + n]
-                    near &= own[:, None] != own[None, :]
-                mine = fp[at : at + n]
-                least = mine[_forest(near)]
-                ends.append((mine[least != mine], least[least != mine]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ends, strict=True)], names=["u", "v"])
-
-    return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
-
-
-def _bytes(column: pa.Array) -> np.ndarray:
-    """Binaries of LONG * 8 bytes as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG * 8)
-
-
 #: Least hashes that a band of `band_keys` joins; the chance at most that a pair just at the similarity meets in no band;
 #: classes of a candidate component that are compared in one group at most.
 ROWS, LOST, TOGETHER = 4, 1e-6, 512
@@ -421,14 +297,19 @@ def verified(members: DataFrame, similarity: float, words: int, block: int = TOG
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near_words: int = 3, radius: int = 2, miss: float = LOST, block: int = TOGETHER) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
+    """docs with one document of each group of near-duplicates.
 
     Documents are linked if their fingerprints over shingles of `near_words` lie within `radius` bits
     (`link_fingerprints`), or if their sets of shingles of `words` have the Jaccard similarity, exactly.
     Candidates for the second are texts that agree in a band of least hashes; a pair just at the similarity
     agrees in none with a chance of `miss` at most. A component of candidates is compared as a whole, from
-    the texts (`verified`). All rows of the id that stays do; rows without an id stay, as nothing can name
-    them. All columns are kept.
+    the texts (`verified`).
+
+    What goes is decided by row, that is by id and text, and of each group one row stays: the one of least
+    doc_id (rows without an id come last), then of least text checksum; of rows that agree in id and text, any
+    one. So an id that several texts share takes none of them with it, and a text that nothing is near always
+    stays. Null texts, empty ones and those without a word are one group, as they are to the fingerprints. All
+    columns of the row are kept, whatever their names; an empty table gives an empty result.
     """
     bands = band_count(similarity, miss)
 
@@ -450,8 +331,8 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near
     prints = durable(texts.mapInArrow(run, f"doc_id {kind}, crc bigint, fp bigint, cid bigint, keys array<bigint>"))
     # One row, by id and text, stands for all of a class.
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("pick")
-    classes = durable(prints.groupBy("cid", "fp").agg(F.min("doc_id").alias("least"), pick, F.first("keys").alias("keys")))
-    nodes = durable(classes.groupBy("fp").agg(F.min("least").alias("least")))
+    classes = durable(prints.groupBy("cid", "fp").agg(pick, F.first("keys").alias("keys")))
+    nodes = durable(classes.groupBy("fp").agg(F.min("pick").alias("least")))
 
     held = classes.select("cid", F.explode("keys").alias("key"))
     stars = held.groupBy("key").agg(F.min("cid").alias("u"), F.max("cid").alias("w")).where("u != w").select("key", "u")
@@ -461,7 +342,20 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near
     wanted = wanted.select("root", F.col("node").alias("cid"), "fp", "blocks", F.col("pick.doc_id").alias("_id"), F.col("pick.crc").alias("_crc"))
     members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc"))).select("root", "cid", "fp", "text", "blocks")
 
-    links = durable(link_fingerprints(nodes, radius).union(verified(members, similarity, words, block)))
-    groups_ = grouped(nodes, connected_components(links))
-    gone = prints.join(groups_, "fp").where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    links = durable(link_fingerprints(nodes.select("fp"), radius).union(verified(members, similarity, words, block)))
+    stays = grouped(nodes, connected_components(links)).select("component_id.doc_id", "component_id.crc").distinct()
+    again = prints.groupBy("doc_id", "crc").count().where("count > 1").select("doc_id", "crc")
+    id_, crc = fresh(docs, "id", "crc")
+    stays = durable(stays.join(again.withColumn("many", F.lit(True)), stays["doc_id"].eqNullSafe(again["doc_id"]) & (stays["crc"] == again["crc"]), "left").select(stays["doc_id"].alias(id_), stays["crc"].alias(crc), F.coalesce("many", F.lit(False)).alias("many")))
+
+    def rows(which: DataFrame) -> DataFrame:
+        return docs.join(which, docs["doc_id"].eqNullSafe(which[id_]) & (F.xxhash64(text_of()) == which[crc]), "left_semi")
+
+    once = rows(stays.where("not many").select(id_, crc))
+    repeated = stays.where("many").select(id_, crc)
+    if repeated.isEmpty():
+        return once
+    # Combined before the shuffle, so that a row repeated without end is one row for each task.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = rows(repeated).groupBy(F.col("doc_id").alias("i"), F.col("text").alias("t")).agg(F.first(whole).alias("row"))
+    return once.unionByName(one.select("row.*"))

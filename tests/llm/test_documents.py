@@ -346,11 +346,25 @@ def test_first_of_each_of_odd_rows(spark):
     docs = cases.frame(spark)
     kept = simhash.first_of_each(docs)
     groups = {r.component_id for r in simhash.simhash_components(docs).collect()}
-    ids = {r.doc_id for r in kept.collect()}
-    assert kept.columns == docs.columns and ids - {None} <= groups and None in ids
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns and {i for i, _ in got} <= groups and max(got.values()) == 1
     assert simhash.first_of_each(cases.empty(spark)).count() == 0
 
 
+def test_first_of_each_decides_by_row(spark):
+    """Ids that several texts share, ids that are not there and repeated rows: no text is lost, and none stays twice."""
+    rng = np.random.default_rng(2)
+    a, b, c, d, e = (" ".join("w" + str(rng.integers(0, 5000)) for _ in range(120)) for _ in range(5))
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 5), (None, c, 6), (None, c, 7), (None, d, 8), (None, d, 9), (None, e, 10), (8, e + " end", 11), (None, None, 12), (9, "", 13), (None, " ", 14)]
+    for extra in ("id", "crc"):  # names that are used inside
+        out = simhash.first_of_each(spark.createDataFrame(rows, f"doc_id long, text string, {extra} int").repartition(3))
+        assert out.columns == ["doc_id", "text", extra]
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert got == Counter([(3, b), (5, a), (7, c), (None, d), (8, e + " end"), (9, "")])
+    out = simhash.first_of_each(spark.createDataFrame([(None, a, 1)] * 5 + [(1, b, 2)] * 3, "doc_id long, text string, id int"))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(None, a), (1, b)])
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_copies_are_those_of_the_exact_similarity(spark, block):
     rng = np.random.default_rng(14)
@@ -385,22 +399,6 @@ def test_no_copies_just_above_the_similarity_are_lost(spark):
     assert not got & set(twins) and {i for i, _ in rows if i % 2 == 0} <= got
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_copies_in_blocks(spark, block):
-    rng = np.random.default_rng(9)
-    rows = []
-    for g in range(3):
-        centre = rng.integers(0, 2, 256, dtype=np.uint8)
-        for _ in range(40):
-            x = centre.copy()
-            x[rng.choice(256, 6, replace=False)] ^= 1
-            rows.append((len(rows), np.packbits(x).tobytes()))
-    got = simhash.link_copies(spark.createDataFrame(rows, "fp long, long binary"), block=block).collect()
-    linked = {(r.u, r.v) for r in got} | {(r.v, r.u) for r in got}
-    named = components({i: i for i, _ in rows}, lambda a, b: (a, b) in linked)
-    assert [named[i] for i in range(120)] == [i // 40 * 40 for i in range(120)]
-
-
 def test_chain_in_order_of_ids(spark):
     from tessella.llm.components import connected_components
 
