@@ -54,47 +54,73 @@ def test_shards_of_nothing_and_of_a_giant(spark):
 
 def test_schedule_meets_every_deadline():
     for shares in ([1], [1, 1], [3, 2, 5], [1, 7, 11, 1], [500, 300, 199, 1]):
-        out, d, had = mixing.schedule(shares), sum(shares), Counter()
-        for t, s in enumerate(out, 1):
+        d, had = sum(shares), Counter()
+        for t, (s, j, release, due) in enumerate(mixing.order(shares, shares), 1):
+            assert j == had[s] and release < t <= due
             had[s] += 1
             assert all(abs(t * n / d - had[k]) < 1 for k, n in enumerate(shares))
         assert all(had[k] == n for k, n in enumerate(shares))
 
 
-def test_phases_use_every_block_once():
-    shares, blocks = [5, 3, 2], [7, 40, 3]
-    runs = mixing.phases(shares, blocks)
-    slots = {}
-    for r in runs:
-        for i in range(r.count):
-            slot = r.slot0 + i // r.share * r.period + r.offsets[i % r.share]
-            assert slot not in slots
-            slots[slot] = (r.source, r.first + i)
-    assert sorted(slots) == list(range(50)) and Counter(s for s, _ in slots.values()) == {0: 7, 1: 40, 2: 3}
-    for s in range(3):
-        assert [b for t, (k, b) in sorted(slots.items()) if k == s] == list(range(blocks[s]))
-
-
-def plain_mix(rows, block):
-    """The whole operator, a block at a time."""
-    by = defaultdict(list)
-    for i, t, _, s, _ in rows:
-        by[s].append((i, t))
-    totals = {s: sum(size(t) for _, t in v) for s, v in by.items()}
-    names = sorted(by, key=lambda s: (-totals[s], s is not None, s or ""))
-    shares = mixing.whole_shares([totals[s] ** mixing.TEMPER for s in names])
-    slots = {}
-    for r in mixing.phases(shares, [-(-totals[s] // block) for s in names]):
-        for i in range(r.count):
-            slots[names[r.source], r.first + i] = r.slot0 + i // r.share * r.period + r.offsets[i % r.share]
-    return slots
+@pytest.mark.parametrize("segment", [1, 7, 64, 256])
+def test_segments_are_the_schedule_slot_by_slot(spark, segment):
+    """Each segment finds its own beginning: together they are what one queue gives, on weights of all kinds."""
+    rng = np.random.default_rng(segment)
+    trials = [([1], [5]), ([3, 2, 5], [40, 7, 31]), ([0, 0, 2], [3, 4, 5]), ([1, 10**17, 3 * 10**17 + 1], [2, 60, 90]), ([1, 1, 1, 1], [9, 9, 9, 9]), ([7, 0], [20, 0])]
+    for _ in range(4):
+        n = int(rng.integers(2, 9))
+        trials.append((mixing.whole_shares((rng.random(n) ** 3 * [1, 0.01][int(rng.integers(0, 2))] + 1e-4).tolist()), rng.integers(1, 60, n).tolist()))
+    for shares, blocks in trials:
+        got = sorted((r.slot, r.source, r.block, r.release, r.deadline) for r in mixing.slots(spark, shares, blocks, segment).collect())
+        assert got == [(t, *x) for t, x in enumerate(mixing.order(shares, blocks))]
+
+
+def test_shares_are_in_the_proportion_of_the_weights():
+    assert mixing.whole_shares([0.5, 0.25, 0.0]) == [2, 1, 0] and mixing.whole_shares([0.0, 0.0]) == [1, 1] and mixing.whole_shares([3, 2]) == [3, 2]
+    weights = [2.0**0.5, 1e-9, 3.0**0.5, 1e6]
+    shares = mixing.whole_shares(weights)
+    assert sum(shares) <= (1 << mixing.PRECISION) + 4
+    assert all(abs(n / sum(shares) - w / sum(weights)) < 2.0**-52 for n, w in zip(shares, weights, strict=True))
+
+
+def plain_slots(rows, block, weights=None):
+    """The whole operator, done a block at a time: each slot is of the source that is due first by exact fractions."""
+    from fractions import Fraction
+
+    totals = Counter()
+    for _, t, _, s, _ in rows:
+        totals[s] += size(t)
+    names = sorted(totals, key=lambda s: (-totals[s], s is not None, s or ""))
+    mean = sum(weights.values()) / len(weights) if weights else 0
+    weight = {s: Fraction(weights.get(s, mean) if weights else float(totals[s]) ** 0.5) for s in names}
+    blocks = {s: -(-totals[s] // block) for s in names}
+    # When the target of each source has had each number of blocks: shares of what time remains, source by source.
+    begin, had, when = Fraction(0), dict.fromkeys(names, Fraction(0)), {s: [Fraction(0)] for s in names}
+    live = set(names)
+    while live:
+        pace = {s: weight[s] / sum(weight[k] for k in live) for s in live}
+        step = min((len(when[s]) - had[s]) / pace[s] for s in live)  # until some target is whole
+        begin += step
+        for s in live:
+            had[s] += step * pace[s]
+        for s in [s for s in live if had[s] == len(when[s])]:
+            when[s].append(begin)
+            if len(when[s]) > blocks[s]:
+                live.remove(s)
+    out, done = {}, Counter()
+    for t in range(sum(blocks.values())):
+        due = [(-(-when[s][done[s] + 1] // 1), n, s) for n, s in enumerate(names) if done[s] < blocks[s] and when[s][done[s]] // 1 <= t]
+        _, _, s = min(due)
+        out[s, done[s]] = t
+        done[s] += 1
+    return out
 
 
 def test_mixing(spark):
     rows = cases.rows()
     got = mixing.interleave(cases.frame(spark), block=700).collect()
     assert Counter((r.doc_id, r.source, r["size"], r.text_crc32) for r in got) == Counter((i, s, size(t), crc(t)) for i, t, _, s, _ in rows)
-    slots = plain_mix(rows, 700)
+    slots = plain_slots(rows, 700)
     by = defaultdict(list)
     for r in got:
         assert r.block == r.start // 700 and slots[r.source, r.block] == r.slot and r.release <= r.slot < r.deadline
@@ -105,8 +131,9 @@ def test_mixing(spark):
             assert start == at
             at += n
     assert mixing.interleave(cases.empty(spark)).count() == 0
-    given = mixing.interleave(cases.frame(spark), weights={"s1": 3.0, "s2": 1.0}, block=700).collect()
-    assert len(given) == len(rows)
+    weights = {"s1": 3.0, "s2": 1.0}
+    given, slots = mixing.interleave(cases.frame(spark), weights, block=700).collect(), plain_slots(rows, 700, weights)
+    assert len(given) == len(rows) and all(slots[r.source, r.block] == r.slot for r in given)
 
 
 def test_slots_follow_the_exact_weights(spark):
@@ -140,9 +167,32 @@ def test_every_source_has_its_own_share(spark, given):
 
 def test_mix_keeps_all_rows_in_order(spark):
     docs = cases.frame(spark)
+    for name in ("row", "slot", "start", "nth", "cls", "bucket", "block", "_own_size", "_id"):
+        docs = docs.withColumn(name, F.lit("clash"))
     out = mixing.mix(docs, block=700)
     assert out.columns == docs.columns
-    assert Counter((r.doc_id, r.text, r.source, r.fp) for r in out.collect()) == Counter((r.doc_id, r.text, r.source, r.fp) for r in docs.collect())
+    got = out.collect()
+    whole = lambda r: (r.doc_id, r.text, r.source, r.fp, r.slot, r._own_size)
+    assert Counter(map(whole, got)) == Counter(map(whole, docs.collect()))
+    slot = defaultdict(list)
+    for r in mixing.interleave(docs, block=700).collect():
+        slot[r.doc_id, r.text_crc32].append((r.slot, r.start))
+    at = [min(slot[r.doc_id, crc(r.text)]) for r in got if len(slot[r.doc_id, crc(r.text)]) == 1]
+    assert at == sorted(at) and len(at) > 50
+    assert mixing.mix(cases.empty(spark)).count() == 0
+
+
+def test_mixing_with_one_id_for_most_rows(spark, tmp_path):
+    """A third of all rows share an id and a text, and a third have none: they are dealt out, and every byte is counted once."""
+    rows = [(7, "x" * 50, "a")] * 400 + [(None, "y" * 50, "a")] * 400 + [(i, "z" * 50, "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    docs.write.parquet(path := str(tmp_path / "docs"))
+    docs = spark.read.parquet(path)
+    got = mixing.interleave(docs, {"a": 2.0, "b": 1.0}, block=100).collect()
+    for s in "ab":
+        starts = sorted(r.start for r in got if r.source == s)
+        assert starts == [51 * k for k in range(len(starts))] and len(starts) == (800 if s == "a" else 400)
+    assert Counter(map(tuple, mixing.mix(docs, block=100).collect())) == Counter(rows)
 
 
 # Language
