@@ -30,7 +30,7 @@ def normalize(sources: Mapping[str, Documents], request: dict[str, Any]) -> quer
 
 
 def _version(sources: Mapping[str, Documents]) -> str:
-    return digest([[name, d.version] for name, d in sources.items()])
+    return digest([[name, d.snapshot()] for name, d in sources.items()])
 
 
 def union(sources: Mapping[str, Documents], r: query.Request) -> DataFrame:
@@ -65,10 +65,13 @@ def page(sources: Mapping[str, Documents], request: dict[str, Any] | query.Reque
     return df.orderBy(*order, SOURCE, "id").limit(r.limit + extra)
 
 
-def execute(sources: Mapping[str, Documents], request: dict[str, Any]) -> dict[str, Any]:
+def execute(sources: Mapping[str, Documents], request: dict[str, Any], budget: int | None = None) -> dict[str, Any]:
     """A page, has_more and a bookmark that any change of a source's version makes stale. Sort keys must be
-    scalars of one type over all sources if tables are typed."""
+    scalars of one type over all sources if tables are typed. budget: documents at most that may match in all
+    sources together; more are a resource_limit, and nothing is left out. Without one, any number may."""
     r = normalize(sources, request)
+    if budget is not None and union(sources, r).limit(budget + 1).count() > budget:
+        raise EngineError("resource_limit", "too many candidates", limit=budget)
     names = [f"k{n}" for n in range(len(r.sort))]
     df = page(sources, r, 1)
     held = df.withColumn("_cursor", F.to_json(F.struct(*names, SOURCE, "id"), {"ignoreNullFields": "false"})).collect()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Any
 
@@ -66,12 +65,18 @@ def normalize(request: dict[str, Any], allowed: set[str] = _KEYS, most: int = MO
 
 
 def select(docs: Documents, request: Request) -> DataFrame:
-    """All matching documents, unordered, with all columns (full-text: and `rank`)."""
+    """All matching documents, unordered, with all columns (full-text: and `rank`). A full-text search is served by
+    the stored index in docs.extra["search_index"], if that has the fields asked for, and by a scan if not."""
     df = docs.df
     if request.scan_threshold is not None and df.limit(request.scan_threshold).count() >= request.scan_threshold:
         raise EngineError("index_required", "the scan would read too many documents", threshold=request.scan_threshold)
     if request.search:
-        df = search.ranked(docs, request.search)
+        index = docs.extra.get("search_index")
+        if index is None or index.fields != request.search.fields:
+            df = search.ranked(docs, request.search)
+        else:
+            hits = index.ranked(request.search).withColumnRenamed("id", "_hit")
+            df = df.join(hits, docs.id_column() == hits["_hit"]).drop("_hit")
     return df.where(condition(request.predicate, docs))
 
 
@@ -163,24 +168,29 @@ def page(docs: Documents, request: dict[str, Any] | Request, extra: int = 0) ->
     df = select(docs, r)
     if r.bookmark:
         payload = bookmarks.read(r.bookmark)
-        bookmarks.check(payload, r.fingerprint, docs.version)
+        bookmarks.check(payload, r.fingerprint, docs.snapshot())
         df = df.where(after(docs, r, payload["k"]))
     return df.orderBy(*ordering(docs, r)).limit(r.limit + extra)
 
 
 def execute(docs: Documents, request: dict[str, Any]) -> dict[str, Any]:
-    """The whole answer: results (Rows, at most limit), has_more, bookmark, and how it was planned."""
+    """The whole answer: results (Rows, at most limit), has_more, bookmark, how many rows were examined for it (those
+    fetched), and how it was planned. A search of more than CANDIDATES documents is refused, unless the request
+    sets max_candidates itself."""
     r = normalize(request)
+    if r.search and r.search.candidates is None:
+        r.search.candidates = search.CANDIDATES
     found = page(docs, r, 1).withColumn("_cursor", F.to_json(_cursor_of(docs, r), {"ignoreNullFields": "false"}))
     held = project(docs, found, r, keep=("_cursor",)).collect()
+    examined = len(held)
     more, held = len(held) > r.limit, held[: r.limit]
     mark = None
     if more:
         from tessella.functions.canonical import decode
 
-        mark = bookmarks.encode({"f": r.fingerprint, "v": docs.version, "k": decode(held[-1]["_cursor"])})
+        mark = bookmarks.encode({"f": r.fingerprint, "v": docs.snapshot(), "k": decode(held[-1]["_cursor"])})
     results = [{k: x for k, x in row.asDict().items() if k != "_cursor"} for row in held]
-    return {"results": results, "documents": results, "bookmark": mark, "has_more": more, "sequence": docs.version} | plan(docs, r)
+    return {"results": results, "documents": results, "bookmark": mark, "has_more": more, "examined": examined, "sequence": docs.snapshot()} | plan(docs, r)
 
 
 def plan(docs: Documents, request: dict[str, Any] | Request, indexes: list[dict[str, Any]] | None = None) -> dict[str, Any]:
@@ -237,14 +247,14 @@ def get(docs: Documents, ids: list[str]) -> DataFrame:
     if not 0 < len(ids) <= MOST:
         raise invalid(f"1 to {MOST} ids")
     asked = docs.df.sparkSession.createDataFrame([(n, i) for n, i in enumerate(ids)], "position int, asked string")
-    rows = docs.df.withColumn("_id", docs.id_column()).where(F.col("_id").isin(*ids))
-    joined = F.broadcast(asked).join(rows, asked["asked"] == rows["_id"], "left")
+    rows = docs.df.where(docs.among(ids)).withColumn("_id", docs.id_column())
+    joined = asked.join(rows, asked["asked"] == rows["_id"], "left")
     return joined.withColumn("found", F.col("_id").isNotNull()).drop("_id").orderBy("position")
 
 
 def get_one(docs: Documents, id: str) -> Any:
     """Point read: the row, or document_not_found."""
-    row = docs.df.where(docs.id_column() == id).first()
+    row = docs.df.where(docs.among([id])).first()
     if row is None:
         raise EngineError("document_not_found", "no such document", id=id)
     return row
@@ -256,10 +266,4 @@ def scan_page(docs: Documents, after_id: str | None, limit: int) -> DataFrame:
     return df.orderBy(docs.id_column()).limit(limit)
 
 
-def finite(x: float) -> float:
-    if not math.isfinite(x):
-        raise EngineError("resource_limit", "a number is too large")
-    return x
-
-
 __all__ = ["T", "Request", "columns", "execute", "explain", "get", "get_one", "normalize", "page", "plan", "project", "scan_page", "select"]

@@ -13,7 +13,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.errors import EngineError, invalid
 from tessella.functions.canonical import canonical, decode, revision_id
@@ -40,20 +39,30 @@ def winners(revisions: DataFrame) -> DataFrame:
     """A document's winner: of its leaves, a live one first, then the highest generation, then digest."""
     rows = leaves(revisions)
     whole = F.struct(*(F.col(c) for c in rows.columns if c != "document_id"))
-    best = rows.groupBy("document_id").agg(F.max_by(whole, _rank()).alias("w"), F.array_sort(F.collect_list(F.struct("revision_id", "history_id", "deleted"))).alias("leaves"))
-    return best.select("document_id", "w.*", "leaves")
+    return rows.groupBy("document_id").agg(F.max_by(whole, _rank()).alias("w")).select("document_id", "w.*")
 
 
 def conflicts(revisions: DataFrame) -> DataFrame:
-    """Live leaves besides the winner, sorted."""
-    won = winners(revisions)
-    live = F.filter("leaves", lambda x: ~x["deleted"] & (x["revision_id"] != F.col("revision_id")))
-    return won.select("document_id", F.col("revision_id").alias("winner"), F.transform(live, lambda x: x["revision_id"]).alias("conflicts")).where("size(conflicts) > 0")
+    """Live leaves besides the winner, sorted: one aggregate over live leaves, as the winner is live if any leaf is."""
+    live = leaves(revisions).where("not deleted").groupBy("document_id")
+    found = live.agg(F.max_by("revision_id", _rank()).alias("winner"), F.array_sort(F.collect_set("revision_id")).alias("all"))
+    return found.where("size(all) > 1").select("document_id", "winner", F.array_remove("all", F.col("winner")).alias("conflicts"))
 
 
 def documents(revisions: DataFrame) -> DataFrame:
     """The winners that are not deleted: what queries see."""
-    return winners(revisions).where("not deleted").drop("leaves")
+    return winners(revisions).where("not deleted")
+
+
+def read(revisions: DataFrame, document_id: str, revision_id: str | None = None) -> Any:
+    """Point read: a revision, or the winner if none is named and it is not deleted; only the document's rows are read."""
+    own = revisions.where(F.col("document_id") == document_id)
+    row = (winners(own) if revision_id is None else own.where(F.col("revision_id") == revision_id)).first()
+    if row is None and revision_id is not None and not own.isEmpty():
+        raise EngineError("revision_not_found", "the document has no such revision", id=document_id, revision=revision_id)
+    if row is None or (revision_id is None and row.deleted):
+        raise EngineError("document_not_found", "no such document", id=document_id)
+    return row
 
 
 def identify(df: DataFrame) -> DataFrame:
@@ -164,20 +173,24 @@ def merge(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def ancestors(revisions: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    """(document_id, leaf, revision_id, depth) from each start (document_id, revision_id) to its root, by a
-    join for each generation, with a checkpoint after every fourth; `most` bounds the depth."""
-    links = revisions.select("document_id", "revision_id", "parent_revision")
-    step = starts.select("document_id", F.col("revision_id").alias("leaf"), "revision_id", F.lit(0).alias("depth"))
-    found, depth = step, 0
-    while most is None or depth < most:
-        if depth and depth % 4 == 0:
-            step = durable(step)
-            if step.isEmpty():
-                break
-        step = step.join(links, ["document_id", "revision_id"]).where("parent_revision is not null").select("document_id", "leaf", F.col("parent_revision").alias("revision_id"), (F.col("depth") + 1).alias("depth"))
-        step = step.join(links.select("document_id", "revision_id"), ["document_id", "revision_id"], "left_semi")
-        depth += 1
-        found = found.unionByName(step)
+    """(document_id, leaf, revision_id, depth) from each start (document_id, revision_id) to its root, or at most
+    `most` steps.
+
+    By doubling: each round knows, of every revision of the starts' documents, the ancestor so many steps away, adds
+    those of what is found, and squares the steps. So a chain of n generations takes log n rounds of equi-joins, each
+    a checkpoint; a document that holds most revisions is spread over many tasks, as keys are revisions.
+    """
+    own = revisions.select("document_id", "revision_id", "parent_revision").join(starts.select("document_id").distinct(), "document_id", "left_semi")
+    stored = own.select("document_id", F.col("revision_id").alias("parent_revision"))
+    jump = durable(own.where("parent_revision is not null").join(stored, ["document_id", "parent_revision"], "left_semi").select("document_id", "revision_id", F.col("parent_revision").alias("up")).distinct())
+    found, steps = starts.select("document_id", F.col("revision_id").alias("leaf"), "revision_id", F.lit(0).alias("depth")), 1
+    while (most is None or steps <= most) and not jump.isEmpty():
+        more = found.join(jump, ["document_id", "revision_id"]).select("document_id", "leaf", F.col("up").alias("revision_id"), (F.col("depth") + steps).alias("depth"))
+        found = durable(found.unionByName(more if most is None else more.where(F.col("depth") <= most)))
+        steps *= 2
+        if most is None or steps <= most:
+            next_ = jump.select("document_id", F.col("revision_id").alias("up"), F.col("up").alias("further"))
+            jump = durable(jump.join(next_, ["document_id", "up"]).select("document_id", "revision_id", F.col("further").alias("up")))
     return found
 
 
@@ -199,7 +212,7 @@ def compaction(revisions: DataFrame, latest: DataFrame, floor: int, depth: int)
     settled = latest.groupBy("document_id").agg(F.max("sequence").alias("sequence")).where(F.col("sequence") <= floor).select("document_id")
     rows = revisions.join(settled, "document_id", "left_semi")
     won = winners(rows)
-    dead = won.where(F.forall("leaves", lambda x: x["deleted"])).select("document_id", F.lit(True).alias("retired"))
+    dead = won.where("deleted").select("document_id")  # a live leaf would have won
     kept = ancestors(rows, won.select("document_id", "revision_id"), depth).select("document_id", "revision_id").distinct()
     alive = rows.join(dead, "document_id", "left_anti").join(kept, ["document_id", "revision_id"], "left_anti").select("document_id", "revision_id", F.lit("superseded").alias("reason"))
     return alive.unionByName(rows.join(dead, "document_id", "left_semi").select("document_id", "revision_id", F.lit("retired").alias("reason")))
@@ -254,8 +267,3 @@ def check(revisions: DataFrame, changes: DataFrame | None = None, floor: int = 0
     for r in rules[1:]:
         out = out.unionByName(r)
     return out
-
-
-def numbered(revisions: DataFrame) -> DataFrame:
-    """With each revision's place among its document's, by generation."""
-    return revisions.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(generation(), "revision_id")))

@@ -17,6 +17,8 @@ from tessella.sources.versions import Versions
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
+#: Documents that a search may find at most where a whole answer is asked for.
+CANDIDATES = 10_000
 MODES = ("all", "any", "phrase", "prefix")
 NO_TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -76,9 +78,10 @@ def matching(tokens: Column, words: list[str], mode: str) -> Column:
 def ranked(docs: Documents, s: Search) -> DataFrame:
     """Matching documents with `rank`, minus the BM25 score, smaller is better.
 
-    One pass: each document's tokens, its length and its counts of the query's words (each word, or for
+    Without an index: each document's tokens, its length and its counts of the query's words (each word, or for
     prefixes the words that begin so). Document frequencies and the average length are one row, a scalar
-    subquery; nothing is shuffled by term.
+    subquery over a scan of its own; nothing is shuffled by term. `SearchIndex.ranked` gives the same from
+    stored postings, of which it reads the query's words alone.
     """
     order = query_tokens(docs.df, s.text)
     words = list(dict.fromkeys(order))
@@ -87,15 +90,22 @@ def ranked(docs: Documents, s: Search) -> DataFrame:
     kept = kept.withColumn("_tf", F.array(*counts)).withColumn("_length", F.size("_tokens").cast("double"))
     stats = kept.agg(F.struct(F.count("*").alias("n"), F.avg("_length").alias("avg"), *(F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(words)))).alias("stats"))
     hits = kept.where(matching(F.col("_tokens"), order, s.mode)).withColumn("_s", stats.scalar())
+    hits = hits.withColumn("rank", -_bm25([F.col("_tf")[k] for k in range(len(words))], F.col("_length"), F.col("_s"))).drop("_tokens", "_tf", "_length", "_s")
+    return _bounded(hits, s.candidates)
+
+
+def _bm25(counts: list[Column], length: Column, stats: Column) -> Column:
+    """The score from a document's counts of each word, its length and stats (n, avg, df0, df1...)."""
     score = F.lit(0.0)
-    for k in range(len(words)):
-        df = F.col("_s")[f"df{k}"]
-        idf = F.log(1 + (F.col("_s")["n"] - df + 0.5) / (df + 0.5))
-        tf = F.col("_tf")[k]
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_s")["avg"]))
-    hits = hits.withColumn("rank", -score).drop("_tokens", "_tf", "_length", "_s")
-    if s.candidates is not None and hits.limit(s.candidates + 1).count() > s.candidates:
-        raise EngineError("resource_limit", "too many candidates", limit=s.candidates)
+    for k, tf in enumerate(counts):
+        idf = F.log(1 + (stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / stats["avg"]))
+    return score
+
+
+def _bounded(hits: DataFrame, most: int | None) -> DataFrame:
+    if most is not None and hits.limit(most + 1).count() > most:
+        raise EngineError("resource_limit", "too many candidates", limit=most)
     return hits
 
 
@@ -105,6 +115,17 @@ def postings(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
     return rows.groupBy("token", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
 
 
+def entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """The postings, and one more row of each document: the empty token, whose tf is the document's length."""
+    tokens = tokenize(content(docs, fields))
+    places = F.transform(tokens, lambda t, n: F.struct(t.alias("token"), n.alias("at")))
+    length = F.array(F.struct(F.lit("").alias("token"), F.size(tokens).alias("at")))
+    rows = docs.df.select(docs.id_column().alias("id"), F.inline(F.concat(places, length)))
+    out = rows.groupBy("token", "id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
+    own = F.col("token") == ""
+    return out.select("token", "id", F.when(own, F.col("at")[0].cast("long")).otherwise(F.col("n")).alias("tf"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("at")).alias("positions"))
+
+
 def search_postings(index: DataFrame, words: list[str], mode: str = "all") -> DataFrame:
     """Ids that an inverted index gives for a mode (all, any, prefix); pushes the tokens down to its scan."""
     if mode == "prefix":
@@ -115,18 +136,20 @@ def search_postings(index: DataFrame, words: list[str], mode: str = "all") -> Da
 
 
 class SearchIndex:
-    """Postings kept as a table in versions, sorted by token, so a query's tokens are found by the scan's
-    statistics. A refresh replaces the postings of changed documents; readers see whole versions only."""
+    """Postings kept as a table in versions, sorted by token, so a query's words are found by the scan's
+    statistics. A refresh writes the entries of changed documents as a layer over the others; readers see whole
+    versions only."""
 
     def __init__(self, spark: SparkSession, path: str, fields: list[str]):
         self.fields = tuple(pointer.parse(f) for f in fields)
         self.versions = Versions(spark, path, "postings")
+        self.versions.arranged = self._sorted
 
-    def _write(self, df: DataFrame, sequence: int) -> None:
-        self.versions.write(df.repartitionByRange(F.col("token"), F.xxhash64("id")).sortWithinPartitions("token", "id"), sequence=sequence)
+    def _sorted(self, df: DataFrame) -> DataFrame:
+        return df.repartitionByRange(F.col("token"), F.xxhash64("id")).sortWithinPartitions("token", "id")
 
     def rebuild(self, docs: Documents, sequence: int = 0) -> None:
-        self._write(postings(docs, self.fields), sequence)
+        self.versions.write(self._sorted(entries(docs, self.fields)), sequence=sequence)
 
     def refresh(self, changed: Documents, sequence: int, deleted: str | None = None) -> None:
         """changed: the documents that changed up to `sequence`, as they are now; those deleted are marked."""
@@ -134,16 +157,45 @@ class SearchIndex:
             return
         ids = changed.df.select(changed.id_column().alias("id")).distinct()
         live = Documents(changed.df.where(~F.col(deleted)) if deleted else changed.df, changed.id, changed.body, json=changed.json)
-        new, old = postings(live, self.fields), self.versions.read()
-        self._write(new if old is None else old.join(ids, "id", "left_anti").unionByName(new), sequence)
+        self.versions.append(self._sorted(entries(live, self.fields)), ids, sequence=sequence)
 
-    def search(self, text: str, mode: str = "all") -> DataFrame:
-        """Ids for a mode: all, any, prefix, or phrase by positions."""
+    def read(self) -> DataFrame:
         index = self.versions.read()
         if index is None:
             raise EngineError("index_not_found", "the index has not been built")
+        return index
+
+    def search(self, text: str, mode: str = "all") -> DataFrame:
+        """Ids for a mode: all, any, prefix, or phrase by positions."""
+        index = self.read()
         words = query_tokens(index, text)
         if mode != "phrase":
-            return search_postings(index, words, mode)
+            return search_postings(index.where("token <> ''"), words, mode)
         starts = [index.where(F.col("token") == w).select("id", F.explode("positions").alias("at")).select("id", (F.col("at") - n).alias("start")) for n, w in enumerate(words)]
         return reduce(lambda a, b: a.join(b, ["id", "start"], "left_semi"), starts).select("id").distinct()
+
+    def ranked(self, s: Search) -> DataFrame:
+        """id and rank of matching documents, as the function `ranked` has them: from the rows of the query's words,
+        grouped by document, and the lengths of the documents that have any. Words are pushed down to the scan."""
+        index = self.read()
+        order = query_tokens(index, s.text)
+        words = list(dict.fromkeys(order))
+        of = [_test(w, s.mode == "prefix")(F.col("token")) for w in words]
+        rows = index.where("token <> ''").where(reduce(lambda a, b: a | b, of) if s.mode == "prefix" else F.col("token").isin(*words))
+        counts = [F.sum(F.when(test, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{k}") for k, test in enumerate(of)]
+        places = [F.max(F.when(test, F.col("positions"))).alias(f"at{k}") for k, test in enumerate(of)] if s.mode == "phrase" else []
+        hits = rows.groupBy("id").agg(*counts, *places)
+        lengths = index.where("token = ''").select("id", F.col("tf").cast("double").alias("length"))
+        every = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
+        found = hits.agg(*(F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(words))))
+        has = [F.col(f"tf{k}") > 0 for k in range(len(words))]
+        if s.mode == "phrase":
+            at = {w: F.col(f"at{k}") for k, w in enumerate(words)}
+            follow = lambda p: reduce(lambda a, b: a & b, (F.array_contains(at[w], p + n) for n, w in enumerate(order)))
+            hits = hits.where(reduce(lambda a, b: a & b, has) & F.exists(at[order[0]], follow))
+        elif s.mode != "any":
+            hits = hits.where(reduce(lambda a, b: a & b, has))
+        stats = F.struct(F.col("every.n").alias("n"), F.col("every.avg").alias("avg"), *(F.col(f"found.df{k}").alias(f"df{k}") for k in range(len(words))))
+        hits = hits.join(lengths, "id").withColumn("every", every.select(F.struct("n", "avg")).scalar()).withColumn("found", found.select(F.struct(*(f"df{k}" for k in range(len(words))))).scalar())
+        hits = hits.withColumn("s", stats)
+        return _bounded(hits.select("id", (-_bm25([F.col(f"tf{k}") for k in range(len(words))], F.col("length"), F.col("s"))).alias("rank")), s.candidates)

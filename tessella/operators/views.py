@@ -18,6 +18,7 @@ from tessella.plans.compile import condition
 from tessella.plans.predicate import Predicate, parse, type_of
 
 REDUCERS = ("_count", "_sum", "_min", "_max", "_stats")
+CONSISTENCY = ("stale_ok", "update_after", "consistent")
 KEYS, LIMIT, MOST = 8, 50, 500
 _TAG = {"null": 0, "number": 3, "string": 4}
 
@@ -139,11 +140,12 @@ def ranged(df: DataFrame, view: View, options: dict[str, Any]) -> DataFrame:
     return df
 
 
-def reduced(df: DataFrame, view: View, level: int | None = None, exact: bool = False) -> DataFrame:
+def reduced(df: DataFrame, view: View, level: int | None = None, exact: bool = True) -> DataFrame:
     """A row for each key prefix of `level` components (all by default): keys and `count, sum, min, max,
     sumsqr` as far as the reducer needs them. Level 0 is one group, if there are rows.
 
-    _count counts rows, the others only numbers. `exact` sums without rounding, in any order.
+    _count counts rows, the others only numbers. Sums are those of unbounded precision, rounded once, whatever the
+    order of the rows; without `exact`, binary64 sums in the order that rows come in.
     """
     level = len(view.key) if level is None else level
     if isinstance(level, bool) or not 0 <= level <= len(view.key):
@@ -233,19 +235,25 @@ def finite(df: DataFrame) -> DataFrame:
 
 
 def query(docs: Documents, view: View, options: dict[str, Any] | None = None) -> DataFrame:
-    """A view's rows in key order: map rows by key, then id; reduced ones by group key; limited if asked."""
+    """A view's rows in key order: map rows by key, then id; reduced ones by group key; limited if asked.
+
+    An aggregate that is no finite number is a resource_limit. consistency (stale_ok, update_after or consistent) is
+    checked, and makes no difference here, as rows are those of the documents as they are; `MaterializedView.query`
+    is where it does."""
     options = dict(options or {})
+    if options.get("consistency", "stale_ok") not in CONSISTENCY:
+        raise invalid("consistency is one of " + ", ".join(CONSISTENCY))
     if not set(options) <= {"key", "start_key", "end_key", "inclusive_end", "group_level", "limit", "bookmark", "exact", "consistency"}:
         raise invalid("unknown options")
     df = ranged(rows(docs, view), view, options)
     if view.reducer is None:
         names = [f"key{n}" for n in range(len(view.key))] + ["id"]
     else:
-        df = reduced(df, view, options.get("group_level"), options.get("exact", False))
+        df = finite(reduced(df, view, options.get("group_level"), options.get("exact", True)))
         names = [c for c in df.columns if c.startswith("key")]
     if options.get("bookmark"):
         payload = bookmarks.read(options["bookmark"])
-        bookmarks.check(payload, view.digest, docs.version)
+        bookmarks.check(payload, view.digest, docs.snapshot())
         key = [F.struct(F.lit(k["tag"]).alias("tag"), F.lit(k["num"]).cast("double").alias("num"), F.lit(k["str"]).cast("string").alias("str")) for k in payload["k"]]
         out, same = F.lit(False), F.lit(True)
         for name, k in zip(names, [*key, *([F.lit(payload["id"])] if view.reducer is None else [])], strict=True):
@@ -268,7 +276,7 @@ def execute(docs: Documents, view: View, options: dict[str, Any] | None = None)
     if more:
         last = held[-1].asDict(recursive=True)
         names = sorted(k for k in last if k.startswith("key"))
-        mark = bookmarks.encode({"f": view.digest, "v": docs.version, "k": [last[n] for n in names], "id": last.get("id")})
+        mark = bookmarks.encode({"f": view.digest, "v": docs.snapshot(), "k": [last[n] for n in names], "id": last.get("id")})
     return {"rows": held, "has_more": more, "bookmark": mark}
 
 
@@ -281,11 +289,39 @@ def key_value(c: str) -> Column:
 
 
 class Catalog:
-    """Named views and indexes of a database."""
+    """Named views and indexes of a database, and what keeps them: a full-text index's stored postings, a
+    materialized view's contributions."""
 
     def __init__(self) -> None:
         self.views: dict[str, View] = {}
         self.indexes: dict[str, dict[str, Any]] = {}
+        self.stores: dict[tuple[str, str], Any] = {}
+
+    def list_views(self) -> list[dict[str, Any]]:
+        """name, digest, reducer of each, by name, and whether it is stored, up to which sequence."""
+        return [{"name": n, "digest": v.digest, "reducer": v.reducer} | self._stored("view", n) for n, v in sorted(self.views.items())]
+
+    def list_indexes(self) -> list[dict[str, Any]]:
+        return [i | self._stored("index", n) for n, i in sorted(self.indexes.items())]
+
+    def _stored(self, kind: str, name: str) -> dict[str, Any]:
+        store = self.stores.get((kind, name))
+        return {"stored": store is not None, "sequence": store.versions.state().get("sequence") if store else None}
+
+    def keep(self, kind: str, name: str, store: Any) -> None:
+        """store: has `rebuild(docs, sequence)` and `versions`, as SearchIndex and MaterializedView do."""
+        held = {"view": self.views, "index": self.indexes}[kind]
+        if name not in held:
+            raise EngineError(f"{kind}_not_found", f"no such {kind}", name=name)
+        self.stores[kind, name] = store
+
+    def rebuild(self, kind: str, name: str, docs: Documents, sequence: int) -> None:
+        """A kept index or view anew from all documents, as one version. Others need none: they are their definition."""
+        held = {"view": self.views, "index": self.indexes}[kind]
+        if name not in held:
+            raise EngineError(f"{kind}_not_found", f"no such {kind}", name=name)
+        if (kind, name) in self.stores:
+            self.stores[kind, name].rebuild(docs, sequence)
 
     def create_view(self, definition: dict[str, Any]) -> View:
         view = define(definition)
@@ -297,6 +333,7 @@ class Catalog:
         return view
 
     def drop_view(self, name: str) -> None:
+        self.stores.pop(("view", name), None)
         if self.views.pop(name, None) is None:
             raise EngineError("view_not_found", "no such view")
 
@@ -311,5 +348,6 @@ class Catalog:
         return self.indexes.setdefault(index["name"], full)
 
     def drop_index(self, name: str) -> None:
+        self.stores.pop(("index", name), None)
         if self.indexes.pop(name, None) is None:
             raise EngineError("index_not_found", "no such index")

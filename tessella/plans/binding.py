@@ -7,6 +7,7 @@ typed table reach the Parquet scan; only negation (`tessella.plans.compile`) and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import invalid
+from tessella.functions.canonical import digest
 from tessella.functions.pointer import is_index
 from tessella.plans.predicate import SAFE, type_of
 
@@ -266,7 +268,8 @@ class Documents:
 
     body: the VARIANT column that holds the document; or None, and then the columns are its fields.
     id: the column with the document's id. json: string columns that hold JSON. null: SQL NULL means null
-    rather than missing. version: what a bookmark is bound to, such as the largest change sequence.
+    rather than missing. version: what a bookmark is bound to, such as the largest change sequence; if none is
+    given, it follows from the files that the data are read from (`snapshot`).
     """
 
     df: DataFrame
@@ -275,7 +278,7 @@ class Documents:
     revision: str | None = None
     json: tuple[str, ...] = ()
     null: bool = False
-    version: str = "0"
+    version: str | None = None
     name: str = ""
     extra: dict[str, Any] = field(default_factory=dict)
 
@@ -296,6 +299,33 @@ class Documents:
     def id_column(self) -> Column:
         return F.col(f"`{self.id}`").cast("string")
 
+    def among(self, ids: list[str]) -> Column:
+        """Whether the id is one of these, as a filter that the scan can use: they are turned into the column's
+        type. Of a number, an id is its shortest decimal form."""
+        kind = self.df.schema[self.id].dataType
+        c = F.col(f"`{self.id}`")
+        if isinstance(kind, T.StringType):
+            return c.isin(*ids)
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}[type(kind)]
+            whole = [int(i) for i in ids if re.fullmatch("0|-?[1-9][0-9]*", i)]
+            whole = [n for n in whole if -(1 << bits - 1) <= n < 1 << bits - 1]
+            return c.isin(*whole) if whole else F.lit(False)
+        return self.id_column().isin(*ids)
+
+    def snapshot(self) -> str:
+        """What state of the data this is: the version given, or a digest of the names, lengths and times of the files
+        read; "0" for data that are in no file."""
+        if self.version is None:
+            spark, files = self.df.sparkSession, sorted(self.df.inputFiles())
+            seen = []
+            for f in files:
+                at = spark._jvm.org.apache.hadoop.fs.Path(f)
+                status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+                seen.append([f, str(status.getLen()), str(status.getModificationTime())])
+            self.version = digest(seen) if seen else "0"
+        return self.version
+
 
 def integral(v: Value) -> Column:
     """The value as a whole number that binary64 holds exactly; else NULL."""

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import changes, federation, metrics, query, revisions, search, views
+from tessella.errors import EngineError
+from tessella.operators import changes, federation, integrity, metrics, query, revisions, search, views
 from tessella.plans.binding import Documents
 from tessella.plans.compile import condition, truth
 from tessella.plans.predicate import parse
@@ -79,6 +80,43 @@ def sel_prefix_regex(spark, sf_dir):
     return _where(_docs(spark, sf_dir, "part"), selector, "p_name", "p_type")
 
 
+@_registered("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice FROM orders
+WHERE o_orderstatus = 'O' AND (o_totalprice > 100000 AND o_totalprice <= 150000) AND (o_orderpriority = '2-HIGH' OR o_custkey < 100)""")
+def sel_and(spark, sf_dir):
+    selector = {"$and": [{"/o_orderstatus": "O"}, {"$and": [{"/o_totalprice": {"$gt": 100000}}, {"/o_totalprice": {"$lte": 150000}}]}, {"$or": [{"/o_orderpriority": "2-HIGH"}, {"/o_custkey": {"$lt": 100}}]}]}
+    return _where(_docs(spark, sf_dir, "orders"), selector, "o_totalprice")
+
+
+@_registered("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size FROM part WHERE p_size > 40 ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 120")
+def page_default_order(spark, sf_dir):
+    """Without a sort, the order of ids."""
+    return _page(_docs(spark, sf_dir, "part"), {"selector": {"/p_size": {"$gt": 40}}, "limit": 120}, ["/p_size"])
+
+
+@_registered("""
+SELECT 50 AS results, true AS has_more, 51 AS examined, true AS marked, 'bounded_scan' AS plan_kind, (SELECT min(id) FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 LIMIT 50)) AS first""")
+def page_envelope(spark, sf_dir):
+    """What an answer says of itself."""
+    got = query.execute(_docs(spark, sf_dir, "orders"), {"selector": {"/o_orderstatus": "F"}})
+    row = (len(got["results"]), got["has_more"], got["examined"], got["bookmark"] is not None, got["plan_kind"], got["documents"][0]["id"])
+    return spark.createDataFrame([row], "results int, has_more boolean, examined int, marked boolean, plan_kind string, first string")
+
+
+@_registered("""SELECT CAST(event_id AS VARCHAR) AS id, replace(props, ' ', '') AS body FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 90""")
+def project_whole_body(spark, sf_dir):
+    docs = source.variants(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props"), "event_id", "props")
+    r = query.normalize({"selector": {"/k": {"$gte": 90}}})
+    return query.project(docs, query.select(docs, r), r).select("id", F.to_json("body").alias("body"))
+
+
+@_registered("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice FROM orders WHERE o_orderkey = 33")
+def point_read(spark, sf_dir):
+    docs = _docs(spark, sf_dir, "orders")
+    row = query.get_one(docs, "33")
+    return spark.createDataFrame([(str(row.o_orderkey), row.o_totalprice)], "id string, o_totalprice double")
+
+
 @_registered("""
 SELECT CAST(event_id AS VARCHAR) AS id, props FROM events
 WHERE json_exists(props, '$.k') AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
@@ -133,9 +171,10 @@ def sel_type_matrix(spark, sf_dir):
 
 @_registered("""
 WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS prio FROM orders)
-SELECT CAST(o_orderkey AS VARCHAR) AS id, prio FROM o WHERE o_custkey <= 400 ORDER BY prio DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 200""")
+SELECT CAST(o_orderkey AS VARCHAR) AS id, prio, o_orderstatus FROM o ORDER BY prio DESC NULLS FIRST, o_orderstatus DESC, CAST(o_orderkey AS VARCHAR) LIMIT 500""")
 def sort_missing_desc(spark, sf_dir):
-    return _page(_holed(spark, sf_dir), {"selector": {"/o_custkey": {"$lte": 400}}, "sort": [{"path": "/prio", "direction": "desc"}], "limit": 200}, ["/prio"])
+    sort = [{"path": "/prio", "direction": "desc"}, {"path": "/o_orderstatus", "direction": "desc"}]
+    return _page(_holed(spark, sf_dir), {"sort": sort, "limit": 500}, ["/prio", "/o_orderstatus"])
 
 
 @_registered("""
@@ -271,6 +310,25 @@ def view_json_key(spark, sf_dir):
     return df.select(F.col("key0.num").alias("k"), F.col("count").alias("n"))
 
 
+@_registered("""
+SELECT event_type AS k, CAST(sum(CASE event_id % 4 WHEN 0 THEN CAST(10000000000000000 AS HUGEINT) WHEN 1 THEN 1 WHEN 2 THEN -10000000000000000 ELSE 3 END) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1""")
+def view_exact_cancelling(spark, sf_dir):
+    """Sums in which large numbers cancel, and a plain sum of binary64 loses the small ones."""
+    x = F.col("event_id") % 4
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("x", F.when(x == 0, 1e16).when(x == 1, 1.0).when(x == 2, -1e16).otherwise(3.0))
+    df = views.query(Documents(df, "event_id"), _view("x", ["/event_type"], "/x", "_stats"))
+    return df.select(views.key_value("key0").alias("k"), F.col("sum").alias("total"), F.col("count").alias("n"))
+
+
+@_registered("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS k0, o_totalprice AS num FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY k0, id LIMIT 80 OFFSET 80""")
+def view_second_page(spark, sf_dir):
+    """The second page of a view's rows, after the bookmark of the first."""
+    docs, view = _docs(spark, sf_dir, "orders"), _view("p", ["/o_orderstatus"], "/o_totalprice", None, {"/o_orderpriority": "1-URGENT"})
+    first = views.execute(docs, view, {"limit": 80, "consistency": "consistent"})
+    return views.query(docs, view, {"limit": 80, "bookmark": first["bookmark"]}).select("id", F.col("key0.str").alias("k0"), "num")
+
+
 # Federation
 
 
@@ -358,10 +416,10 @@ def fts_bm25_topk(spark, sf_dir):
 
 
 @_registered(f"""
-SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) WHERE starts_with(token, 'th') GROUP BY 1""")
+SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY 1""")
 def fts_postings(spark, sf_dir):
     index = search.postings(_docs(spark, sf_dir, "documents"), (("text",),))
-    return index.where(F.col("token").startswith("th")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @_registered(f"""
@@ -384,6 +442,37 @@ def ir_ndcg_recall_map(spark, sf_dir):
     return df.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "average_precision")))
 
 
+@_registered(ORACLE_SQL["fts_bm25_topk"])
+def fts_index_ranked(spark, sf_dir):
+    """The same from a stored index: rank from the postings of the query's words, and the selected documents by a join."""
+    docs = _docs(spark, sf_dir, "documents")
+    index = search.SearchIndex(spark, scratch(spark, "fts"), ["/text"])
+    index.rebuild(docs)
+    docs.extra["search_index"] = index
+    hits = query.select(docs, query.normalize({"search": {"query": "license under", "fields": ["/text"], "mode": "any"}}))
+    return hits.orderBy(F.round("rank", 9), docs.id_column()).limit(50).select(docs.id_column().alias("id"), F.round(-F.col("rank"), 6).alias("score"))
+
+
+@_registered(f"SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' of the ') AND n_chars > 300")
+def fts_index_refreshed(spark, sf_dir):
+    """A phrase and a selector through an index that was built from old texts and then refreshed."""
+    docs = _docs(spark, sf_dir, "documents")
+    old = Documents(docs.df.withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.lit("of the old")).otherwise(F.col("text"))), "doc_id")
+    index = search.SearchIndex(spark, scratch(spark, "fts"), ["/text"])
+    index.rebuild(old, 1)
+    index.refresh(Documents(docs.df.where("doc_id % 20 = 0"), "doc_id"), 2)
+    docs.extra["search_index"] = index
+    r = query.normalize({"selector": {"/n_chars": {"$gt": 300}}, "search": {"query": "of the", "fields": ["/text"], "mode": "phrase"}})
+    return query.select(docs, r).select(docs.id_column().alias("id"), "lang")
+
+
+@_registered("SELECT DISTINCT sha256(coalesce(text, '')) AS digest FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)")
+def blobs_unreferenced(spark, sf_dir):
+    """Contents that no manifest refers to any more."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return source.unreferenced(rows.select("digest").distinct(), rows.where("doc_id % 3 = 0").select("digest"))
+
+
 # Revisions: each user's events are revisions, two siblings a generation, children of the first
 
 _REVISIONS = """
@@ -442,18 +531,115 @@ def rev_compaction(spark, sf_dir):
     return revisions.compaction(rows, latest, floor, 2)
 
 
-@_registered(_REVISIONS + "SELECT rule, document_id, revision_id FROM (SELECT 'dangling_parent' AS rule, r.document_id, r.revision_id FROM r WHERE event_id % 50 <> 0 AND parent_revision IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r p WHERE p.document_id = r.document_id AND p.revision_id = r.parent_revision AND p.event_id % 50 <> 0))")
+@_registered(_REVISIONS + """, f AS (SELECT document_id, revision_id, deleted, event_id, parent_revision AS was,
+  CASE WHEN parent_revision IS NOT NULL AND event_id % 50 = 0 THEN split_part(parent_revision, '-', 1) || '-' || sha256('none') WHEN parent_revision IS NOT NULL AND event_id % 53 = 0 THEN '9' || parent_revision ELSE parent_revision END AS parent FROM r)
+SELECT 'dangling_parent' AS rule, document_id, revision_id FROM f WHERE parent <> was
+UNION ALL SELECT 'generation', document_id, revision_id FROM f WHERE parent <> was AND event_id % 50 <> 0
+UNION ALL SELECT 'live_without_body', document_id, revision_id FROM f WHERE NOT deleted AND event_id % 77 = 0
+UNION ALL SELECT 'deleted_body', document_id, revision_id FROM f WHERE deleted AND event_id % 77 <> 0""")
 def rev_integrity(spark, sf_dir):
-    return revisions.check(_revisions(spark, sf_dir).where("event_id % 50 <> 0").drop("i", "event_id"))
+    """Every fault planted in the links and bodies of the whole table is found by its rule."""
+    parent, whole = F.col("parent_revision"), F.col("event_id")
+    wrong = F.concat_ws("-", F.substring_index(parent, "-", 1), F.sha2(F.lit("none"), 256))
+    rows = _revisions(spark, sf_dir).withColumn("parent_revision", F.when(parent.isNotNull() & (whole % 50 == 0), wrong).when(parent.isNotNull() & (whole % 53 == 0), F.concat(F.lit("9"), parent)).otherwise(parent))
+    return revisions.check(rows.withColumn("body", F.when(whole % 77 != 0, "{}")).drop("i", "event_id"))
 
 
-@_registered(_REVISIONS + "SELECT (SELECT count(*) FROM r) AS revisions, (SELECT max(event_id) FROM events) AS checkpoint, CAST(0 AS BIGINT) AS missing")
+@_registered(_REVISIONS + "SELECT document_id, revision_id, (SELECT max(event_id) FROM events) AS checkpoint FROM r")
 def rev_replicate(spark, sf_dir):
+    """The target after a pass: the source's revisions, each once, those it had among them, and parents it lacked."""
     rows = _revisions(spark, sf_dir)
     log = rows.select(F.col("event_id").alias("sequence"), "document_id")
     target, checkpoint = changes.replicate(rows, rows.where("event_id % 2 = 0 and i < 2"), log, 0)
-    # A child whose parent the target lacked came with it, so the sets are equal now.
-    return target.agg(F.count("*").alias("revisions")).select("revisions", F.lit(checkpoint).cast("bigint").alias("checkpoint"), F.lit(revisions.missing(rows, target).count()).cast("bigint").alias("missing"))
+    return target.select("document_id", "revision_id", F.lit(checkpoint).cast("bigint").alias("checkpoint"))
+
+
+@_registered(_REVISIONS + "SELECT document_id, revision_id, parent_revision FROM r")
+def rev_merge(spark, sf_dir):
+    """The union of two sets that share revisions, again with itself: each revision once."""
+    rows = _revisions(spark, sf_dir)
+    ours, theirs = rows.where("i < 40"), rows.where("event_id % 3 <> 1 or i < 60 or i >= 60")
+    return revisions.merge(revisions.merge(ours, theirs), theirs).select("document_id", "revision_id", "parent_revision")
+
+
+@_registered(_REVISIONS + """, first AS (SELECT document_id, revision_id, event_id FROM r ORDER BY document_id, i LIMIT 1)
+SELECT document_id, revision_id, event_id FROM first""")
+def rev_point_read(spark, sf_dir):
+    """A revision by its id, whether or not it won."""
+    rows = _revisions(spark, sf_dir)
+    first = rows.orderBy("document_id", "i").first()
+    r = revisions.read(rows, first.document_id, first.revision_id)
+    return spark.createDataFrame([(r.document_id, r.revision_id, r.event_id)], "document_id string, revision_id string, event_id long")
+
+
+def _new(after: DataFrame, before: DataFrame) -> DataFrame:
+    key = ["document_id", "revision_id"]
+    return after.select(*key, "parent_revision", "deleted", "body").join(before.select(*key), key, "left_anti")
+
+
+_ID = """'-' || sha256('{"attachments":{},"body":' || coalesce(body, 'null') || ',"deleted":' || deleted || ',"document_id":"' || document_id || '","history_id":"h","parent_revision":' || coalesce('"' || parent || '"', 'null') || ',"version":1}')"""
+
+
+@_registered(_REVISIONS + f""", live AS (SELECT document_id, revision_id AS parent, deleted AS gone, row_number() OVER (ORDER BY document_id) AS n FROM w WHERE k = 1 AND NOT deleted),
+made AS (SELECT document_id, parent, '{{"v":2}}' AS body, false AS deleted FROM live WHERE n <= 5 UNION ALL SELECT document_id, parent, NULL, true FROM live WHERE n = 6
+         UNION ALL SELECT 'new-' || x, NULL, '{{"a":' || x || '}}', false FROM (VALUES (1), (2)) v(x))
+SELECT document_id, coalesce(CAST(split_part(parent, '-', 1) AS INTEGER), 0) + 1 || {_ID} AS revision_id, parent AS parent_revision, deleted, body FROM made""")
+def rev_write(spark, sf_dir):
+    """A batch of updates, a delete, new documents and a replay: the revisions that it adds."""
+    rows = durable(_revisions(spark, sf_dir).withColumn("body", F.lit('{"v":1}')))
+    live = revisions.winners(rows).where("not deleted").orderBy("document_id").limit(6).collect()
+    batch = [{"id": r.document_id, "if_revision": r.revision_id, "body": {"v": 2}} for r in live[:5]] + [{"id": live[5].document_id, "if_revision": live[5].revision_id, "delete": True}]
+    batch += [{"id": "new-1", "history_id": "h", "body": {"a": 1}}, {"id": "new-2", "history_id": "h", "body": {"a": 2}}, {"id": "new-1", "history_id": "h", "body": {"a": 1}}]
+    return _new(revisions.write(rows, batch)[0], rows)
+
+
+@_registered(_REVISIONS + f""", torn AS (SELECT document_id FROM w WHERE NOT deleted GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 1),
+made AS (SELECT document_id, revision_id AS parent, k > 1 AS deleted, CASE WHEN k = 1 THEN '{{"kept":true}}' END AS body FROM w JOIN torn USING (document_id) WHERE NOT w.deleted)
+SELECT document_id, CAST(split_part(parent, '-', 1) AS INTEGER) + 1 || {_ID} AS revision_id, parent AS parent_revision, deleted, body FROM made""")
+def rev_resolve(spark, sf_dir):
+    """A conflict ended: a child of the leaf that is kept, tombstones of the others."""
+    rows = durable(_revisions(spark, sf_dir).withColumn("body", F.lit('{"v":1}')))
+    torn = revisions.conflicts(rows).orderBy("document_id").first()
+    return _new(revisions.resolve(rows, torn.document_id, [torn.winner, *torn.conflicts], torn.winner, {"kept": True}), rows)
+
+
+@_registered("""
+WITH p AS (SELECT c_custkey, c_custkey * 10 AS safe, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS expires FROM customer WHERE c_custkey >= 7)
+SELECT min(safe) FILTER (WHERE expires IS NULL OR expires > 100) AS candidate_floor, true AS floor_advanced, count(*) FILTER (WHERE expires IS NULL OR expires > 100) AS active_peers FROM p""")
+def rev_frontier(spark, sf_dir):
+    """Up to where history may go, by peers whose lease has not run out."""
+    peers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey >= 7").select((F.col("c_custkey") * 10).alias("safe_sequence"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("expires_ms"))
+    got = revisions.frontier(peers, 10**6, 50, 100)
+    return spark.createDataFrame([(got["candidate_floor"], got["floor_advanced"], got["active_peers"])], "candidate_floor long, floor_advanced boolean, active_peers long")
+
+
+@_registered("""
+SELECT 'attachment_fields' AS rule, doc_id || '/1-x' AS subject FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0
+UNION ALL SELECT 'attachment_without_revision', doc_id || '/1-x' FROM documents WHERE doc_id % 13 = 0
+UNION ALL SELECT 'peer_ahead', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey > 1000
+UNION ALL SELECT 'peer_below_floor', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 10
+UNION ALL SELECT 'peer_epoch', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 100 = 3
+UNION ALL SELECT 'checkpoint_history', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 50 = 1
+UNION ALL SELECT 'revision_below_boundary', doc_id || '/1-x' FROM documents WHERE doc_id % 17 = 0 AND doc_id % 13 <> 0
+UNION ALL SELECT 'metadata_database_uuid', NULL""")
+def rev_integrity_records(spark, sf_dir):
+    """Faults planted in the records beside revisions."""
+    docs, people = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    files = docs.select(
+        name.alias("document_id"), F.lit("1-x").alias("revision_id"), F.when(key % 7 == 0, "zz").otherwise(F.sha2(name, 256)).alias("digest"), F.when(key % 11 == 0, -1).otherwise(F.length(name)).cast("long").alias("length")
+    )
+    stored = docs.where("doc_id % 13 <> 0").select(name.alias("document_id"), F.lit("1-x").alias("revision_id"), F.lit(None).cast("string").alias("parent_revision"))
+    kids = docs.where("doc_id % 13 <> 0").select(name.alias("document_id"), F.lit("2-x").alias("revision_id"), F.lit("1-x").alias("parent_revision"))
+    bounds = docs.where("doc_id % 17 = 0").select(name.alias("document_id"), F.lit(2).alias("minimum_generation"), F.lit(1).alias("compaction_epoch"))
+    c = F.col("c_custkey")
+    peers = people.select(
+        c.cast("string").alias("peer_id"), F.lit("d").alias("database_uuid"), F.when(c % 100 == 3, "old").otherwise("e").alias("history_epoch"), c.alias("safe_sequence"), F.lit(1).alias("compaction_epoch"), F.lit(None).cast("long").alias("expires_ms")
+    )
+    points = people.select(c.cast("string").alias("peer_id"), F.lit(5).alias("safe_sequence"), F.lit(1).alias("compaction_epoch"), F.when(c % 50 == 1, F.array(F.lit(3), F.lit(3))).otherwise(F.array(F.lit(3), F.lit(5))).alias("history"))
+    found = integrity.check(spark, {"database_uuid": "", "history_epoch": "e", "sequence": 1000, "floor": 10, "compaction_epoch": 1}, stored.union(kids), bounds, peers, points, files)
+    # The peers' database is not the one that has no name.
+    return found.where("rule <> 'peer_database'")
 
 
 # Changes, subscriptions
@@ -471,6 +657,45 @@ def chg_latest(spark, sf_dir):
     return changes.latest(log)
 
 
+@_registered(_REVISIONS + "SELECT event_id AS sequence, r.document_id, revision_id AS winning_revision, CASE WHEN event_id % 5 <> 0 THEN '{\"e\":' || event_id || '}' END AS body FROM r")
+def chg_with_bodies(spark, sf_dir):
+    """Changes with the bodies of their revisions; where the revision is gone, without."""
+    rows = _revisions(spark, sf_dir).withColumn("body", F.concat(F.lit('{"e":'), F.col("event_id"), F.lit("}")))
+    log = rows.select(F.col("event_id").alias("sequence"), "document_id", F.col("revision_id").alias("winning_revision"))
+    return changes.with_bodies(log, rows.where("event_id % 5 <> 0")).select("sequence", "document_id", "winning_revision", "body")
+
+
+@_registered("SELECT 'history_truncated' AS below, count(*) AS kept FROM events WHERE event_id > 400")
+def chg_floor(spark, sf_dir):
+    """Below the floor the feed is refused, above it read."""
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("sequence"))
+    try:
+        changes.since(log, 100, floor=400)
+        code = "none"
+    except EngineError as e:
+        code = e.code
+    return changes.since(log, 400, floor=400).agg(F.lit(code).alias("below"), F.count("*").alias("kept"))
+
+
+@_registered("SELECT CAST(c_custkey AS VARCHAR) AS id, 'snapshot' AS event_type, to_json(c_name) AS name FROM customer WHERE c_nationkey < 3 AND c_acctbal > 5000")
+def sub_snapshot(spark, sf_dir):
+    request = {"selector": {"/c_nationkey": {"$lt": 3}, "/c_acctbal": {"$gt": 5000}}, "fields": ["/c_name"]}
+    out = subscription.snapshot(_docs(spark, sf_dir, "customer"), request, members=None)
+    return out.select("id", "event_type", F.col("fields")["/c_name"].alias("name"))
+
+
+@_registered("""
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS last FROM events GROUP BY 1)
+SELECT 0 AS place, 'reset' AS event_type, CAST(200 AS BIGINT) AS sequence, NULL AS id
+UNION ALL SELECT 1, 'snapshot', NULL, CAST(user_id AS VARCHAR) FROM l WHERE kind = 'error'
+UNION ALL SELECT 2, 'caught_up', (SELECT max(event_id) FROM events), NULL""")
+def sub_reset(spark, sf_dir):
+    """A subscriber whose place in the feed is gone: a reset, the members anew, and that it has caught up."""
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id")
+    now = log.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    return subscription.events(Documents(now, "user_id"), Documents(log, "user_id"), {"selector": {"/event_type": "error"}}, 100, "event_id", floor=200, most=None)
+
+
 @_registered("""
 WITH m AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS sequence, event_type <> 'view' AND value >= 20 AS now FROM events),
 t AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY id ORDER BY sequence), false) AS was FROM m)
@@ -484,22 +709,16 @@ def sub_transitions(spark, sf_dir):
 WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value FROM events GROUP BY 1)
 SELECT kind AS k, count(*) AS n, round(sum(value), 2) AS total FROM l GROUP BY 1""")
 def mv_reduce_incremental(spark, sf_dir):
-    """Contributions after three batches of changes, as a materialized view keeps them: the last change of a
+    """A materialized view: most documents at once, then small batches as layers over them; the last change of a
     document replaces its contribution."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    view = _view("mv", ["/event_type"], "/value", "_stats")
-    parts = [df.where(F.col("event_id") % 3 == n) for n in range(3)]
-    held: DataFrame | None = None
-    for part in parts:
-        whole = F.struct("user_id", "event_type", "value", "event_id")
-        batch = part.groupBy("user_id").agg(F.max_by(whole, "event_id").alias("c")).select("c.*")
-        new = views.rows(Documents(batch, "user_id"), view).join(batch.select(F.col("user_id").cast("string").alias("id"), "event_id"), "id")
-        if held is not None:
-            both = held.unionByName(new)
-            new = both.groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in both.columns if c != "id")), "event_id").alias("c")).select("id", "c.*")
-        held = new
-    out = views.reduced(held, view)
-    return out.select(views.key_value("key0").alias("k"), F.col("count").alias("n"), F.round("sum", 2).alias("total"))
+    view = MaterializedView(spark, scratch(spark, "mv"), {"name": "mv", "key": [{"path": "/event_type"}], "value": {"path": "/value"}, "reducer": "_stats"}, group_level=1)
+    last = df.agg(F.max("event_id")).first()[0] + 1
+    for k, (start, end) in enumerate([(0, 0.96), (0.96, 0.98), (0.98, 1)], 1):
+        batch = df.where((F.col("event_id") >= int(last * start)) & (F.col("event_id") < (int(last * end) if end < 1 else last)))
+        view.apply(Documents(batch, "user_id"), k, sequence="event_id", expected=k - 1)
+    get = lambda path, kind: F.get_json_object("body", path).cast(kind)
+    return view.documents().select(get("$.key[0]", "string").alias("k"), get("$.value.count", "bigint").alias("n"), F.round(get("$.value.sum", "double"), 2).alias("total"))
 
 
 @_registered("""

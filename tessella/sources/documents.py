@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.plans.binding import Documents
 
 
-def table(spark: SparkSession, path: str, id: str, json: tuple[str, ...] = (), null: bool = False, version: str = "0") -> Documents:
+def table(spark: SparkSession, path: str, id: str, json: tuple[str, ...] = (), null: bool = False, version: str | None = None) -> Documents:
     """A Parquet table as documents; its columns are the fields, and filters on them reach the scan."""
     return Documents(spark.read.parquet(path), id, json=json, null=null, version=version)
 
@@ -25,7 +25,7 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.try_parse_json("value").isNull())
 
 
-def variants(df: DataFrame, id: str, body: str, revision: str | None = None, version: str = "0") -> Documents:
+def variants(df: DataFrame, id: str, body: str, revision: str | None = None, version: str | None = None) -> Documents:
     """A frame whose body column is JSON text, as documents."""
     return Documents(df.withColumn("body", F.parse_json(body)), id, body="body", revision=revision, version=version)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -33,9 +34,9 @@ def _component(k: Any) -> Any:
 class MaterializedView:
     """A view's contributions, in versions of a Parquet table, and the documents they give.
 
-    A batch of changes replaces the contributions of its documents, by an anti-join and a union, and only
-    groups that lost or gained a contribution are reduced again, so minima need no inverse. Each batch
-    writes a new version and then moves a pointer, with the sequence it went up to: a batch that was
+    A batch of changes replaces the contributions of its documents: it writes these alone, as a layer over
+    those there are (`Versions`), and only groups that lost or gained a contribution are reduced again, so
+    minima need no inverse. Each batch is a new version, with the sequence it went up to: a batch that was
     applied already changes nothing, and readers never see half of one. Views with a reducer name a
     group_level, others do not.
     """
@@ -80,16 +81,16 @@ class MaterializedView:
         live = df.where(~F.col(deleted)) if deleted else df
         new = views.rows(Documents(live, changes.id, changes.body, changes.revision, changes.json, changes.null), self.view)
         touched = Documents(df, changes.id).df.select(changes.id_column().alias("id")).distinct()
-        old = self.contributions()
-        kept = new if old is None else old.join(touched, "id", "left_anti").unionByName(new)
-        version = self.versions.write(kept, sequence=through, epoch=epoch)
+        state = self.versions.append(new, touched, sequence=through, epoch=epoch)
         keys = self._keys()[: self.level or 0]
-        written = self.spark.read.parquet(self.versions.folder(version))
-        mine = written.join(touched, "id", "left_semi").select(*keys, F.lit(1).alias("_one"))
-        groups = mine if old is None else mine.union(old.join(touched, "id", "left_semi").select(*keys, F.lit(1).alias("_one")))
+        own, before = state["layer"], self.versions.read(state["before"])
+        written, touched = self.versions.rows(own), self.versions.ids(own)
+        groups = written.select(*keys, F.lit(1).alias("_one"))
+        if before is not None:
+            groups = groups.union(before.join(touched, "id", "left_semi").select(*keys, F.lit(1).alias("_one")))
         return groups.distinct().drop("_one") if keys else groups.limit(1).drop("_one")
 
-    def documents(self, groups: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    def documents(self, groups: DataFrame | None = None, exact: bool = True) -> DataFrame:
         """The generated documents, id and body (JSON text): a group's key and value, or a document's key,
         value and source. groups: only these; groups without contributions are not there."""
         rows = self.contributions()
@@ -115,7 +116,7 @@ class MaterializedView:
         keys = self._keys()[: self.level]
         if groups is not None and keys:
             rows = rows.join(groups, keys, "left_semi")
-        reduced = views.reduced(rows, self.view, self.level, exact)
+        reduced = views.finite(views.reduced(rows, self.view, self.level, exact))
         reducer, held = self.view.reducer, keys
 
         def group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,6 +136,24 @@ class MaterializedView:
         columns = F.struct(*reduced.columns)
         return reduced.select(F.pandas_udf(group, "id string, body string")(columns).alias("d")).select("d.*")
 
+    def query(self, consistency: str = "stale_ok", current: int | None = None, update: Callable[[], object] | None = None) -> DataFrame:
+        """The generated documents, as fresh as asked for: stale_ok, those there are; update_after, the same, and
+        `update`, which applies what is new, runs for later readers; consistent, those up to the sequence `current`,
+        after an update if they lag, or view_not_caught_up if they still do then."""
+        if consistency not in views.CONSISTENCY:
+            raise invalid("consistency is one of " + ", ".join(views.CONSISTENCY))
+        if consistency == "consistent":
+            if current is None:
+                raise invalid("consistent needs the current sequence")
+            if self.state()["sequence"] < current and update:
+                update()
+            if self.state()["sequence"] < current:
+                raise EngineError("view_not_caught_up", "the view has not caught up", at=self.state()["sequence"])
+        out = self.documents()  # of the version that there is now
+        if consistency == "update_after" and update:
+            update()
+        return out
+
     def rebuild(self, docs: Documents, through: int, epoch: str | None = None) -> None:
         """From all documents, as one version; then replay what came after."""
         self.versions.write(views.rows(docs, self.view), sequence=through, epoch=epoch)

@@ -63,6 +63,34 @@ def transitions(history: Documents, selector: dict[str, Any], sequence: str, del
     return rows.select(kind.alias("event_type"), "sequence", "id").where("event_type is not null")
 
 
+def events(docs: Documents, history: Documents, request: dict[str, Any], cursor: int | None, sequence: str, floor: int = 0, deleted: str | None = None, members: DataFrame | None = None, most: int | None = MEMBERS) -> DataFrame:
+    """What a subscriber at a cursor is sent next: place, event_type, sequence, id, in the order of place, sequence, id.
+
+    Without a cursor, the members now, as snapshot events; from a cursor, the transitions since. Where the history
+    below the floor is gone and the cursor with it, first a reset, which voids what the subscriber holds, and then a
+    new snapshot. In every case caught_up comes last, with the last sequence of the history. docs: the documents as
+    they are; history: changes (`transitions`), of which those after the cursor are read; members: who was one then.
+    """
+    last = history.df.agg(F.coalesce(F.max(sequence), F.lit(0)).cast("bigint").alias("last"))
+    spark = docs.df.sparkSession
+    none = F.lit(None).cast("string")
+    done = last.select(F.lit(2).alias("place"), F.lit("caught_up").alias("event_type"), F.col("last").alias("sequence"), none.alias("id"))
+    if cursor is not None and cursor >= floor:
+        later = Documents(history.df.where(F.col(sequence) > cursor), history.id, history.body, history.revision, history.json, history.null)
+        out = transitions(later, request.get("selector", {}), sequence, deleted, members).select(F.lit(1).alias("place"), "event_type", "sequence", "id")
+        return out.unionByName(done).orderBy("place", "sequence", "id")
+    out = snapshot(docs, request, most).select(F.lit(1).alias("place"), "event_type", F.lit(None).cast("bigint").alias("sequence"), "id").unionByName(done)
+    if cursor is not None:
+        reset = spark.range(1).select(F.lit(0).alias("place"), F.lit("reset").alias("event_type"), F.lit(floor).cast("bigint").alias("sequence"), none.alias("id"))
+        out = reset.unionByName(out)
+    return out.orderBy("place", "sequence", "id")
+
+
+def error_event(error: EngineError) -> dict[str, Any]:
+    """What a subscriber is sent before its stream ends with an error."""
+    return {"event_type": "error", "code": error.code, "message": error.message, "retryable": error.retryable}
+
+
 def members_after(history: Documents, selector: dict[str, Any], sequence: str, deleted: str | None = None) -> DataFrame:
     """Who is a member after the last change of each document."""
     matches = truth(parse(selector), history)

@@ -129,7 +129,7 @@ def test_integrity(spark):
     assert {"identity", "dangling_parent", "duplicate", "deleted_body", "live_without_body", "root_generation", "change_below_floor", "duplicate_sequence"} <= found
 
 
-def test_changes(spark):
+def test_changes(spark, tmp_path):
     log = spark.createDataFrame([(k, f"d{k % 3}") for k in range(1, 11)], "sequence long, document_id string")
     page = changes.read(log, 2, 3)
     assert [r.sequence for r in page["results"]] == [3, 4, 5] and page["last_sequence"] == 5 and page["has_more"]
@@ -143,10 +143,70 @@ def test_changes(spark):
     assert [r.body for r in changes.with_bodies(named, bodies).where("body is not null").collect()] == ["{}"]
     a = [{"session_id": "s", "sequence": 5}, {"session_id": "s", "sequence": 9}]
     assert changes.reconcile(a, [{"session_id": "s", "sequence": 5}, {"session_id": "t", "sequence": 9}]) == 5
-    records = changes.Records()
-    assert records.put("n", "k", 1, 0) == 1 and records.get("n", "k") == (1, 1)
     with pytest.raises(EngineError):
-        records.put("n", "k", 2, 0)
+        changes.read(log, 2, 501)
+    records = changes.Records(spark, str(tmp_path))
+    assert records.get("n", "k") == (0, None) and records.put("n", "k", {"at": 1}, 0) == 1
+    again = changes.Records(spark, str(tmp_path))
+    assert again.get("n", "k") == (1, {"at": 1}) and again.put("n", "k", {"at": 2}, 1) == 2
+    with pytest.raises(EngineError) as e:
+        records.put("n", "k", {"at": 3}, 1)
+    assert e.value.code == "checkpoint_conflict" and records.get("n", "k") == (2, {"at": 2})
+
+
+def test_continuous_replication(spark, tmp_path):
+    rows = chain("a", 3) + chain("b", 2)
+    source, log = str(tmp_path / "source"), str(tmp_path / "log")
+    shape = "sequence long, document_id string"
+    records = changes.Records(spark, str(tmp_path / "records"))
+    for n, (some, changed) in enumerate([(rows[:2], [(1, "a"), (2, "a")]), (rows[2:], [(3, "a"), (4, "b")])], 1):
+        frame(spark, some).write.mode("append").parquet(source)
+        spark.createDataFrame(changed, shape).coalesce(1).write.mode("append").parquet(log)
+        for _ in range(2):  # again, it finds nothing
+            stream = spark.readStream.schema(shape).parquet(log)
+            changes.follow(stream, lambda: spark.read.parquet(source), str(tmp_path / "target"), records, "copy", str(tmp_path / "cp")).awaitTermination(120)
+        assert records.get("replication", "copy")[1]["sequence"] == 2 * n
+    got = spark.read.parquet(str(tmp_path / "target")).collect()
+    assert sorted(r.revision_id for r in got) == sorted(r[1] for r in rows)
+
+
+def test_point_reads_of_revisions(spark):
+    rows = chain("a", 3) + chain("gone", 2, deleted_last=True)
+    df = frame(spark, rows)
+    assert revisions.read(df, "a").revision_id == rows[2][1] and revisions.read(df, "a", rows[0][1]).revision_id == rows[0][1] and revisions.read(df, "gone", rows[4][1]).deleted
+    for asked, code in ((("a", "1-x"), "revision_not_found"), (("none", "1-x"), "document_not_found"), (("gone",), "document_not_found"), (("none",), "document_not_found")):
+        with pytest.raises(EngineError) as e:
+            revisions.read(df, *asked)
+        assert e.value.code == code
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(revisions, "durable", lambda df: rounds.append(1) or df.checkpoint())
+    spark.range(1).sparkSession.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    links = [("d", f"{n}-r", f"{n - 1}-r" if n > 1 else None) for n in range(1, 101)] + [("e", "5-x", "4-gone")]
+    df = spark.createDataFrame(links, "document_id string, revision_id string, parent_revision string")
+    starts = spark.createDataFrame([("d", "100-r"), ("d", "40-r"), ("e", "5-x")], "document_id string, revision_id string")
+    got = {(r.leaf, r.revision_id): r.depth for r in revisions.ancestors(df, starts).collect()}
+    assert got == {("100-r", f"{n}-r"): 100 - n for n in range(1, 101)} | {("40-r", f"{n}-r"): 40 - n for n in range(1, 41)} | {("5-x", "5-x"): 0}
+    assert len(rounds) <= 16
+    assert {(r.leaf, r.depth) for r in revisions.ancestors(df, starts, 3).collect()} == {(leaf, k) for leaf in ("100-r", "40-r") for k in range(4)} | {("5-x", 0)}
+
+
+def test_integrity_of_records(spark):
+    from tessella.operators import integrity
+
+    good = {"database_uuid": "d", "history_epoch": "e", "sequence": 9, "floor": 3, "compaction_epoch": 2}
+    assert integrity.check(spark, good).count() == 0
+    assert integrity.metadata(good | {"floor": 10}) == ["floor_above_sequence"] and integrity.metadata({}) == [f"metadata_{k}" for k in ("database_uuid", "history_epoch", "sequence", "floor", "compaction_epoch")]
+    peers = spark.createDataFrame([("ok", "d", "e", 5, 1, None), ("old", "d", "e", 1, 1, 10), ("low", "d", "e", 1, 1, 99), ("other", "x", "f", 50, 7, None)], "peer_id string, database_uuid string, history_epoch string, safe_sequence long, compaction_epoch long, expires_ms long")
+    points = spark.createDataFrame([("ok", 5, 1, [1, 2]), ("none", 5, 1, []), ("back", 5, 1, [2, 1]), ("far", 50, 9, [1])], "peer_id string, safe_sequence long, compaction_epoch long, history array<int>")
+    pending = spark.createDataFrame([("0" * 64, 1), ("Z" * 64, 1), ("1" * 64, -1), (None, 1)], "digest string, length long")
+    found = {(r.rule, r.subject) for r in integrity.check(spark, good, peers=peers, checkpoints=points, pending=pending, now_ms=50).collect()}
+    assert found == {
+        ("peer_below_floor", "low"), *((r, "other") for r in ("peer_database", "peer_epoch", "peer_ahead", "peer_compaction")), ("checkpoint_history", "back"), ("checkpoint_ahead", "far"), ("checkpoint_compaction", "far"),
+        ("pending_blob", "Z" * 64), ("pending_blob", "1" * 64), ("pending_blob", ""),
+    }
 
 
 # Known answers of RFC 8785, appendix B and section 3.2

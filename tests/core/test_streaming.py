@@ -97,10 +97,88 @@ def test_materialized_view(spark, tmp_path):
 
 
 def _reset(view, log):
-    view.versions.point(view.state() | {"epoch": "old"})
+    state = view.state()
+    view.versions.point(state | {"epoch": "old", "version": state["version"] + 1})
     view.apply(Documents(log, "id", body="_v"), 9, epoch="new")
 
 
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(5000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    view = MaterializedView(spark, str(tmp_path / "mv"), DEFINITION, group_level=1)
+    view.rebuild(Documents(docs, "id"), 1)
+    batch = docs.where("v % 100 = 0").withColumn("v", F.lit(10**6))
+    for n in range(2, 5):
+        view.apply(Documents(batch, "id"), n)
+    layers = view.state()["layers"]
+    assert [x["rows"] for x in layers] == [5000, 50, 50, 50]
+    now = docs.withColumn("v", F.when(F.col("v") % 100 == 0, 10**6).otherwise(F.col("v")))
+    again = MaterializedView(spark, str(tmp_path / "again"), DEFINITION, group_level=1)
+    again.rebuild(Documents(now, "id"), 4)
+    assert values(view) == values(again)
+    view.apply(Documents(docs.where("v < 3000"), "id"), 5)  # more than half: a new base
+    assert len(view.state()["layers"]) == 1 and view.contributions().count() == 5000
+    view.versions.drop_old()
+    assert view.contributions().count() == 5000
+
+
+def test_a_crash_or_another_writer_loses_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, k string, v int")
+    view = MaterializedView(spark, str(tmp_path / "mv"), DEFINITION, group_level=1)
+    view.rebuild(Documents(docs, "id"), 1)
+    held = values(view)
+    changed = Documents(spark.createDataFrame([("a", "y", 9)], docs.schema), "id")
+
+    def fails(state):
+        raise OSError("the driver dies before the pointer is there")
+
+    with monkeypatch.context() as m:
+        m.setattr(view.versions, "point", fails)
+        with pytest.raises(OSError):
+            view.apply(changed, 2)
+    assert values(view) == held and view.state()["sequence"] == 1
+    other, before = MaterializedView(spark, str(tmp_path / "mv"), DEFINITION, group_level=1), view.versions.state()
+    view.apply(changed, 2)
+    with monkeypatch.context() as m:  # another writer that began before
+        m.setattr(other.versions, "state", lambda: before)
+        with pytest.raises(EngineError) as e:
+            other.versions.append(view.contributions(), docs.select("id"), sequence=2, epoch=None)
+        assert e.value.code == "checkpoint_conflict"
+    assert values(other) == values(view) == {group_id(["y"]): {"key": ["y"], "value": {"count": 2, "sum": 11, "min": 2, "max": 9, "sumsqr": 85}}}
+
+
+def test_consistency_of_a_materialized_view(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x", 1)], "id string, k string, v int")
+    view = MaterializedView(spark, str(tmp_path / "mv"), DEFINITION, group_level=1)
+    view.rebuild(Documents(docs, "id"), 1)
+    update = lambda: view.apply(Documents(spark.createDataFrame([("b", "x", 5)], docs.schema), "id"), 2)
+    count = lambda df: json.loads(df.first().body)["value"]["count"]
+    assert count(view.query()) == 1
+    with pytest.raises(EngineError) as e:
+        view.query("consistent", 2)
+    assert e.value.code == "view_not_caught_up"
+    assert count(view.query("update_after", update=update)) == 1 and view.state()["sequence"] == 2
+    assert count(view.query("consistent", 2, update)) == 2
+    for bad in (("sometimes", 1), ("consistent", None)):
+        with pytest.raises(EngineError):
+            view.query(*bad)
+
+
+def test_events_end_with_caught_up(spark):
+    from pyspark.sql import functions as F
+
+    log = spark.createDataFrame(CHANGES, LOG).withColumn("v", F.try_parse_json("body"))
+    now = log.groupBy("id").agg(F.max_by(F.struct("deleted", "v"), "sequence").alias("c")).select("id", "c.*").where("not deleted")
+    docs, history = Documents(now, "id", body="v"), Documents(log, "id", body="v")
+    got = lambda cursor, **more: [(r.event_type, r.sequence, r.id) for r in subscription.events(docs, history, {"selector": {"/k": "x"}}, cursor, "sequence", deleted="deleted", **more).collect()]
+    members = [("snapshot", None, "a"), ("snapshot", None, "c")]
+    assert got(None) == [*members, ("caught_up", 7, None)]
+    assert got(0) == [*WANTED, ("caught_up", 7, None)] and got(4) == [("upsert", 6, "a"), ("caught_up", 7, None)]
+    assert got(2, floor=5) == [("reset", 5, None), *members, ("caught_up", 7, None)]
+    assert subscription.error_event(EngineError("history_truncated", "gone")) == {"event_type": "error", "code": "history_truncated", "message": "gone", "retryable": False}
+
+
 def test_map_only_view_follows_a_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     view = MaterializedView(spark, str(tmp_path / "mv"), {"name": "m", "key": [{"path": "/k"}], "value": {"path": "/v"}}, source="src")

@@ -17,10 +17,10 @@ def bodies(spark, rows):
     return Documents(df.select("id", F.parse_json("text").alias("body")), "id", body="body")
 
 
-ROWS = [("a", {"kind": "x", "slot": 1, "score": 2}), ("b", {"kind": "x", "slot": 1.0, "score": "no"}), ("c", {"kind": None, "slot": 2, "score": 5}), ("d", {"kind": [1], "slot": 2, "score": 5}), ("e", {"slot": 1}), ("f", {"kind": False, "slot": 1}), ("g", {"kind": "y", "slot": 3, "score": -1.5})]
+ROWS = [("a", {"breed": "x", "pen": 1, "score": 2}), ("b", {"breed": "x", "pen": 1.0, "score": "no"}), ("c", {"breed": None, "pen": 2, "score": 5}), ("d", {"breed": [1], "pen": 2, "score": 5}), ("e", {"pen": 1}), ("f", {"breed": False, "pen": 1}), ("g", {"breed": "y", "pen": 3, "score": -1.5})]
 
 
-def view(key=("/kind", "/slot"), value="/score", reducer=None):
+def view(key=("/breed", "/pen"), value="/score", reducer=None):
     return views.define({"name": "v", "key": [{"path": k} for k in key], "value": {"path": value}, "reducer": reducer})
 
 
@@ -67,11 +67,11 @@ def test_view_pages(spark, reducer):
 
 def test_exact_sums(spark):
     rng = random.Random(3)
-    lists = {"big": [1e16, 1.0, -1e16], "tiny": [5e-324] * 3, "mixed": [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(200)], "third": [0.1] * 10, "zero": [0.0], "powers": [2.0**k for k in range(-60, 60)]}
-    rows = [(f"{k}{n}", {"kind": k, "slot": 1, "score": x}) for k, xs in lists.items() for n, x in enumerate(xs)]
-    df = spark.createDataFrame([(i, b["kind"], float(b["score"])) for i, b in rows], "id string, kind string, score double").repartition(4)
+    lists = {"big": [1e16, 1.0, -1e16], "tiny": [5e-324] * 3, "mixed": [rng.uniform(-1, 1) * 10 ** rng.randint(-150, 150) for _ in range(200)], "third": [0.1] * 10, "zero": [0.0], "powers": [2.0**k for k in range(-60, 60)]}
+    rows = [(f"{k}{n}", {"breed": k, "pen": 1, "score": x}) for k, xs in lists.items() for n, x in enumerate(xs)]
+    df = spark.createDataFrame([(i, b["breed"], float(b["score"])) for i, b in rows], "id string, breed string, score double").repartition(4)
     docs = Documents(df, "id")
-    got = {r.key0.str: r for r in views.query(docs, view(key=("/kind",), reducer="_stats"), {"exact": True}).collect()}
+    got = {r.key0.str: r for r in views.query(docs, view(key=("/breed",), reducer="_stats"), {}).collect()}
     from fractions import Fraction
 
     for k, xs in lists.items():
@@ -80,8 +80,35 @@ def test_exact_sums(spark):
         if k != "mixed":
             assert got[k].sumsqr == float(square)
     with pytest.raises(Exception, match="resource_limit"):
-        huge = Documents(spark.createDataFrame([("a", "k", 1e308), ("b", "k", 1e308)], "id string, kind string, score double"), "id")
-        views.finite(views.query(huge, view(key=("/kind",), reducer="_sum"))).collect()
+        huge = Documents(spark.createDataFrame([("a", "k", 1e308), ("b", "k", 1e308)], "id string, breed string, score double"), "id")
+        views.query(huge, view(key=("/breed",), reducer="_sum")).collect()
+
+
+def test_consistency_is_checked(spark):
+    docs = bodies(spark, ROWS)
+    for mode in views.CONSISTENCY:
+        assert views.query(docs, view(), {"consistency": mode}).count() == 5
+    with pytest.raises(EngineError):
+        views.query(docs, view(), {"consistency": "sometimes"})
+
+
+def test_catalog_lists_and_rebuilds(spark, tmp_path):
+    catalog = views.Catalog()
+    catalog.create_index({"name": "text", "type": "full_text", "fields": ["/title"]})
+    catalog.create_index({"name": "pen", "type": "structured", "fields": ["/pen"]})
+    catalog.create_view({"name": "v", "key": [{"path": "/pen"}]})
+    index = search.SearchIndex(spark, str(tmp_path), ["/title"])
+    catalog.keep("index", "text", index)
+    docs = bodies(spark, [("1", {"title": "alpha"})])
+    catalog.rebuild("index", "text", docs, 4)
+    catalog.rebuild("view", "v", docs, 4)
+    assert [(i["name"], i["stored"], i["sequence"]) for i in catalog.list_indexes()] == [("pen", False, None), ("text", True, 4)]
+    assert [v["name"] for v in catalog.list_views()] == ["v"] and {r.id for r in index.search("alpha").collect()} == {"1"}
+    with pytest.raises(EngineError):
+        catalog.rebuild("view", "w", docs, 4)
+    catalog.drop_index("text")
+    with pytest.raises(EngineError):
+        catalog.keep("index", "text", index)
 
 
 def test_definitions():
@@ -111,6 +138,9 @@ def test_federation(spark):
             break
     assert got == [("a", "a"), ("b", "b"), ("a", "z"), ("b", "a")]
     first = federation.execute(sources, request | {"limit": 1})["bookmark"]
+    with pytest.raises(EngineError) as e:
+        federation.execute(sources, request, budget=3)
+    assert e.value.code == "resource_limit" and len(federation.execute(sources, request, budget=4)["results"]) == 4
     sources["a"].version = "9"
     with pytest.raises(EngineError) as e:
         federation.execute(sources, request | {"limit": 1, "bookmark": first})
