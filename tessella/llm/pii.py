@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import durable, text_of
-from tessella.llm.spans import listed, spans
+from tessella.llm.spans import disjoint, listed, spans
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -39,8 +40,14 @@ AGAINST = [
     "example|noreply|placeholder",
     "version|release|build|section|chapter",
     "isbn|order|invoice|serial|tracking|part|sku|id",
-    "isbn|order|invoice|serial|tracking|fax\\x20?id",
+    "isbn|order|invoice|serial|tracking|fax ?id",
 ]
+#: Classes that the word before a candidate is hashed to; the first is for none.
+WORDS = 16
+#: What the classifier sees of a candidate: votes, from -1, and then how long it is, what it is made of, the word before it
+#: and what follows; and how many values each has.
+FIELDS = ["v1", "v2", "v3", "v4", "size", "shape", "behind", "ahead"]
+VALUES = [3, 3, 3, 3, 4, 3, WORDS, 4]
 #: Votes of a format's own check at the start; rounds of expectation-maximisation; steps of training.
 CHECK, ROUNDS, STEPS = 4, 60, 400
 
@@ -67,7 +74,7 @@ def _valid(kind: int, x: str) -> str:
 
 
 def _votes(kind: int, base: bool) -> list[str]:
-    """Four labelers' votes on candidate c: 1 for, -1 against, 0 none."""
+    """FIELDS of candidate c: four labelers' votes (1 for, -1 against, 0 none), and its other features."""
     f, n = "c.found", f"length({_digits('c.found')})"
     regex = [
         "case when c.found rlike '@[^.]+([.][^.]+)*[.][A-Za-z]{2,24}$' then 1 else -1 end" if base else "0",
@@ -84,17 +91,21 @@ def _votes(kind: int, base: bool) -> list[str]:
     context = f"case when lower(c.before) rlike '(?<![a-z])({AGAINST[kind]})[^a-z]{{0,12}}$' then -1 when lower(c.before) rlike '(?<![a-z])({CUES[kind]})(?![a-z])' then 1 else 0 end"
     edge = "if(c.before rlike '[A-Za-z0-9]$' or c.next rlike '[A-Za-z0-9@]', -1, 1)"
     long = f"case when {n} = 0 then 0 when {n} < 10 then 1 when {n} < 14 then 2 else 3 end"
-    return [regex, gazetteer, context, edge, long]
+    shape = "case when c.found rlike '[ ()]' then 2 when c.found rlike '[^A-Za-z0-9]' then 1 else 0 end"
+    word = "lower(regexp_extract(c.before, '([\\\\p{L}]+)[^\\\\p{L}]*$', 1))"
+    behind = f"if({word} = '', 0, 1 + cast(pmod(xxhash64({word}), {WORDS - 1}) as int))"
+    ahead = "case when c.next = '' then 0 when c.next rlike '\\\\s' then 1 when c.next rlike '[\\\\p{L}0-9]' then 2 else 3 end"
+    return [regex, gazetteer, context, edge, long, shape, behind, ahead]
 
 
 def _candidates() -> Column:
-    """array<struct<kind, start, stop, base, v1..v4, size>> of a text."""
+    """array<struct<kind, start, stop, base, FIELDS>> of a text."""
     parts = []
     for n, (kind, base, _) in enumerate(PATTERNS):
         votes = _votes(kind, base)
         kept = f"({_valid(kind, 'c.found')})" if base else "false"
         enough = {1: "true", 2: f"length({_digits('c.found')}) >= 12", 3: f"length({_digits('c.found')}) >= 7"}.get(kind, "true")
-        fields = ", ".join(f"'{name}', {vote}" for name, vote in zip(("v1", "v2", "v3", "v4", "size"), votes, strict=True))
+        fields = ", ".join(f"'{name}', {vote}" for name, vote in zip(FIELDS, votes, strict=True))
         parts.append(f"transform(filter(found{n}, c -> {enough}), c -> named_struct('kind', {kind}, 'start', c.start, 'stop', c.stop, 'base', {kept}, {fields}))")
     return F.expr(f"concat({', '.join(parts)})")
 
@@ -102,9 +113,9 @@ def _candidates() -> Column:
 def reliabilities(counts: dict[tuple, int]) -> dict[tuple, float]:
     """Expectation-maximisation over vote patterns.
 
-    counts: rows of each (kind, v1, v2, v3, v4, size). Each labeler has, for each kind and for true and
-    false spans, a distribution of its votes; the M-step counts them with one added, the E-step gives
-    each pattern its posterior. It starts from majority votes, that of the format's own check counting
+    counts: rows of each (kind, v1, v2, v3, v4). Each labeler has, for each kind and for true and
+    false spans, a chance of voting for; the M-step counts its votes with one added, the E-step gives
+    each pattern its posterior, to which a labeler that abstains adds nothing. It starts from majority votes, that of the format's own check counting
     CHECK times.
     """
     posterior = {x: 1 / (1 + math.exp(-sum(x[1:5]) - (CHECK - 1) * x[1])) for x in counts}
@@ -114,10 +125,10 @@ def reliabilities(counts: dict[tuple, int]) -> dict[tuple, float]:
             for true, p in ((1, posterior[x]), (0, 1 - posterior[x])):
                 total[x[0], true] += n * p
                 for k in range(4):
-                    vote[x[0], k, true, x[1 + k]] += n * p
+                    vote[x[0], k, true, x[1 + k]] += n * p  # of those that abstain, nothing is asked
         moved = 0.0
         for x in counts:
-            logs = [math.log(total[x[0], true]) + sum(math.log(vote[x[0], k, true, x[1 + k]] / sum(vote[x[0], k, true, v] for v in (-1, 0, 1))) for k in range(4)) for true in (1, 0)]
+            logs = [math.log(total[x[0], true]) + sum(math.log(vote[x[0], k, true, x[1 + k]] / sum(vote[x[0], k, true, v] for v in (-1, 1))) for k in range(4) if x[1 + k]) for true in (1, 0)]
             now = 1 / (1 + math.exp(max(-50.0, min(50.0, logs[1] - logs[0]))))
             moved = max(moved, abs(now - posterior[x]))
             posterior[x] = now
@@ -126,52 +137,63 @@ def reliabilities(counts: dict[tuple, int]) -> dict[tuple, float]:
     return posterior
 
 
-def _features(x: tuple) -> list[tuple]:
-    return [("kind", x[0]), *(("vote", x[0], k, x[1 + k]) for k in range(4)), ("size", x[0], x[5])]
-
-
 def train(counts: dict[tuple, int], posterior: dict[tuple, float]) -> dict[tuple, float]:
-    """Weights of a logistic span classifier fitted to the posteriors, each pattern by the root of its
-    count, by gradient steps with a small penalty."""
-    weight: dict[tuple, float] = defaultdict(float)
-    scale = sum(math.sqrt(n) for n in counts.values()) or 1.0
+    """Weights of a logistic span classifier: (kind,) and (kind, field, value) to a number.
+
+    counts: rows of each (kind, *FIELDS); posterior: by (kind, v1, v2, v3, v4), the labelers' word, which the
+    classifier learns from all the fields, each pattern counting by the root of its rows, by gradient steps with a
+    small penalty. So a candidate's shape and neighbours weigh as they do where labelers are sure.
+    """
+    if not counts:
+        return {}
+    patterns = np.array(list(counts))
+    width = 1 + sum(VALUES)
+    starts = np.cumsum([1, *VALUES[:-1]])
+    shifted = patterns[:, 1:] + np.array([1, 1, 1, 1, 0, 0, 0, 0])
+    at = np.column_stack([patterns[:, 0] * width, patterns[:, :1] * width + starts + shifted])
+    target = np.array([posterior[x[:5]] for x in counts])
+    mass = np.sqrt(np.array(list(counts.values()), float))
+    mass /= mass.sum()
+    weight = np.zeros(width * len(KINDS))
     for _ in range(STEPS):
-        slope: dict[tuple, float] = defaultdict(float)
-        for x, n in counts.items():
-            features = _features(x)
-            error = posterior[x] - 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(weight[f] for f in features)))))
-            for f in features:
-                slope[f] += error * math.sqrt(n) / scale
-        for f, s in slope.items():
-            weight[f] += 4.0 * (s - 1e-4 * weight[f])
-    return dict(weight)
+        error = (target - 1 / (1 + np.exp(-np.clip(weight[at].sum(axis=1), -50, 50)))) * mass
+        weight += 4.0 * (np.bincount(at.ravel(), np.repeat(error, at.shape[1]), len(weight)) - 1e-4 * weight)
+    out = {}
+    for kind in range(len(KINDS)):
+        out[kind,] = float(weight[kind * width])
+        for n, values in enumerate(VALUES):
+            for v in range(values):
+                out[kind, n, v - (n < 4)] = float(weight[kind * width + starts[n] + v])
+    return out
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, base and added, arrays of struct<kind, start, stop> (KINDS by position).
 
     base: the matches of the definitions. added: further candidates that the classifier, trained on all
-    rows' votes, takes for personal data; none overlaps a base span. A first pass finds candidates with
-    their votes and checkpoints these alone; the counts of vote patterns, of which there are at most a few
-    thousand whatever the rows, reach the driver, which runs expectation-maximisation and fits the
-    classifier; a second pass over the checkpoint applies it as an expression. All row work is Spark SQL.
-    A null text is empty; a text without candidates gives empty arrays; repeated rows stay; other columns
-    are not read. An empty table gives an empty result.
+    rows' votes, takes for personal data; none overlaps a base span, and none another one: of those that do, the one
+    that begins first, then the longest, stays. A first pass finds candidates with their votes and features and
+    checkpoints these alone; the counts of their patterns, of which there are some ten thousand at most whatever the
+    rows (VALUES), reach the driver, which runs expectation-maximisation and fits the classifier; a second pass over
+    the checkpoint applies it as an expression. All row work is Spark SQL. A text costs a few passes, however long it
+    is. A null text is empty; a text without candidates gives empty arrays; a score of just zero adds nothing;
+    repeated rows stay; other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.select("doc_id", *(spans("text", p).alias(f"found{n}") for n, (_, _, p) in enumerate(PATTERNS)))
     rows = durable(rows.select("doc_id", _candidates().alias("found")))
-    names = ["kind", "v1", "v2", "v3", "v4", "size"]
-    patterns = rows.where("size(found) > 0").select(F.inline("found")).groupBy(*names).count()
-    counts = {tuple(r[:6]): r[6] for r in patterns.collect()}
-    weight = train(counts, reliabilities(counts))
+    patterns = rows.where("size(found) > 0").select(F.inline("found")).groupBy("kind", *FIELDS).count()
+    counts = {tuple(r[:-1]): r[-1] for r in patterns.collect()}
+    votes: dict[tuple, int] = defaultdict(int)
+    for x, n in counts.items():
+        votes[x[:5]] += n
+    weight = train(counts, reliabilities(votes))
     by_kind = []
     for kind in range(len(KINDS)):
-        terms = [f"{weight.get(('kind', kind), 0.0):.9f}D"]
-        for k in range(4):
-            w = [weight.get(("vote", kind, k, v), 0.0) for v in (-1, 0, 1)]
-            terms.append(f"element_at(array({', '.join(f'{y:.9f}D' for y in w)}), c.v{k + 1} + 2)")
-        terms.append(f"element_at(array({', '.join(f'{weight.get(("size", kind, s), 0.0):.9f}D' for s in range(4))}), c.size + 1)")
+        terms = [f"{weight.get((kind,), 0.0):.9f}D"]
+        for n, (field, values) in enumerate(zip(FIELDS, VALUES, strict=True)):
+            low = -1 if n < 4 else 0
+            terms.append(f"element_at(array({', '.join(f'{weight.get((kind, n, low + v), 0.0):.9f}D' for v in range(values))}), c.{field} + {1 - low})")
         by_kind.append(f"when c.kind = {kind} then {' + '.join(terms)}")
     score = f"case {' '.join(by_kind)} end"
     slim = "c -> named_struct('kind', c.kind, 'start', c.start, 'stop', c.stop)"
@@ -180,7 +202,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.expr(f"transform(filter(found, c -> c.base), {slim})").alias("base"),
         F.expr(f"transform(filter(found, c -> not c.base and {score} > 0 and {apart}), {slim})").alias("added"),
-    )
+    ).select("doc_id", "base", disjoint("added").alias("added"))
 
 
 def digest(found: DataFrame, kinds: list[str]) -> DataFrame:

@@ -52,6 +52,21 @@ def spans(text: str, pattern: str) -> Column:
                        b -> flatten(b.runs)))[0]))[0]""")
 
 
+def disjoint(array: str) -> Column:
+    """Those of array<struct<kind, start, stop>> that begin where all before them, by start and then from long to
+    short, have ended."""
+    of = f"array_sort(transform({array}, x -> named_struct('start', x.start, 'back', -x.stop, 'kind', x.kind)))"
+    none = "cast(array() as array<struct<kind:int,start:int,stop:int>>)"
+    return F.expr(f"""if(size({array}) < 2, {array}, transform(array({of}), s ->
+        aggregate(sequence(0, (size(s) - 1) div {RUN}), named_struct('at', 0, 'runs', cast(array() as array<array<struct<kind:int,start:int,stop:int>>>)),
+            (b, r) -> transform(array(
+                aggregate(slice(s, cast(r * {RUN} + 1 as int), {RUN}), named_struct('at', b.at, 'out', {none}),
+                    (a, x) -> named_struct('at', greatest(a.at, -x.back), 'out',
+                        if(x.start < a.at, a.out, concat(a.out, array(named_struct('kind', x.kind, 'start', x.start, 'stop', -x.back))))))
+                ), y -> named_struct('at', y.at, 'runs', concat(b.runs, array(y.out))))[0],
+            b -> flatten(b.runs)))[0])""")
+
+
 def listed(kinds: list[str], array: str) -> Column:
     """'kind:start:stop' of array<struct<kind int, start int, stop int, ...>>, by start, then by the kinds'
     order, then stop, joined by commas; kinds are named by position."""
