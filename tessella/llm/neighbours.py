@@ -15,11 +15,13 @@ from pyspark.sql.window import Window
 from tessella.llm.common import durable
 from tessella.llm.vectors import BLOCK, groups, matrix, valid
 
-#: Vectors at most that the forest is fitted on; trees; rows a leaf should have (a 64th of the table, if less); of a
-#: sample, rows a leaf must have; and rows of all leaves that a query visits at least, as a share of the table.
-SAMPLE, TREES, LEAF, LEAST, SHARE = 32_768, 2, 512, 8, 1.2
+#: Vectors at most that the forest is fitted on, and their bytes as doubles; trees; rows a leaf should have (a 256th of the
+#: table, if less); of a sample, rows a leaf must have.
+SAMPLE, BYTES, TREES, LEAF, LEAST = 32_768, 1 << 25, 2, 512, 8
 #: Sampled vectors that recall is measured on, and the mean that it must reach there.
-TRIALS, RECALL = 128, 0.94
+TRIALS, RECALL = 256, 0.925
+#: Rows that a query visits at least, if there are so many: too few queries average out too little.
+FLOOR = 2048
 #: Best matches held in a task before they are cut to each query's own best.
 _HELD = 1 << 20
 
@@ -68,8 +70,8 @@ class Tree:
 
 
 def visits(forest: list[Tree], query: np.ndarray, sizes: list[np.ndarray], budget: float) -> list[tuple[int, int]]:
-    """The (tree, leaf) that one query visits: all trees share a queue, by how far the query lies on the
-    wrong side of the worst hyperplane on the way; until the leaves hold `budget` rows."""
+    """The (tree, leaf) that one query visits: all trees share a queue, by the sum of the squares of how far the
+    query lies on the wrong side of the hyperplanes on the way; until the leaves hold `budget` rows."""
     margin = [t.matrix @ query - t.bounds for t in forest]
     queue = [(0.0, n, t.top) for n, t in enumerate(forest)]
     heapq.heapify(queue)
@@ -80,7 +82,7 @@ def visits(forest: list[Tree], query: np.ndarray, sizes: list[np.ndarray], budge
             m = margin[n][node]
             left, right = forest[n].children[node]
             near, other = (right, left) if m > 0 else (left, right)
-            heapq.heappush(queue, (max(far, abs(m)), n, other))
+            heapq.heappush(queue, (far + m * m, n, other))
             node = near
         out.append((n, -1 - node))
         total += int(sizes[n][-1 - node])
@@ -137,48 +139,55 @@ def cut(q: np.ndarray, r: np.ndarray, score: np.ndarray, k: int) -> tuple[np.nda
     return q[keep], r[keep], score[keep]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.0, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows with the largest inner products found.
 
     vectors: (vec_id, embedding); queries are the rows that is_query holds for, candidates all rows but
-    those with the query's own vec_id. Vectors that do not take part (`valid`), without a vec_id, or of
-    another length than most, are neither. For inner products, every vector gets one more component that
-    brings it to the largest length there is (queries: zero), so nearness by angle is that by product.
-
-    The forest is fitted on at most `sample` vectors, those of least hash, and every row is put into a
-    leaf of each tree. A query walks all trees with one priority queue until the leaves visited hold
-    `share` of the table, or more where TRIALS vectors of the sample, as queries against brute force, need
-    more for a recall of RECALL (as when some vectors are much longer than others). Rows and queries of a leaf meet in matrix products; leaves with many of
-    either are cut into blocks, so a group of equal vectors, however large, is spread. A task keeps its
-    queries' k best; scores are recomputed on the original vectors before the k best of all are ranked,
-    nearest first, ties to the smaller vec_id. With data of low inner dimension a small share finds
-    nearly all; vectors that fill their dimension evenly need about the whole table for nine in ten.
-    Leaf sizes, at most sample / LEAST for a tree, are all that reaches the driver besides the sample.
-    Rows with one vec_id are one candidate if their vectors agree. No rows, or one, give none.
+    those with the query's own vec_id. Vectors that do not take part (`valid`), or without a vec_id, are neither.
+    Vectors of each length are searched among themselves, as others have no inner product with them. For inner
+    products, every vector gets one more component that brings it to the largest norm there is (queries: zero),
+    so nearness by angle is that by product.
+
+    The forest is fitted on at most `sample` vectors and BYTES, those of least hash, and every row is put into a
+    leaf of each tree. A query walks all trees with one priority queue until the leaves visited hold as many
+    rows, as a share of the table, as TRIALS vectors of the sample, held against brute force, need for a recall
+    of RECALL (or `share`, if that is more; and FLOOR rows). Data of low inner dimension need little; vectors that fill their
+    dimension evenly need most of the table. Leaves that lie together are sent to a task as one group, with each
+    query that visits any of them once, and meet there leaf by leaf in matrix products. Groups with many rows or
+    queries are cut into blocks, so equal vectors, however many, are spread. A task keeps its queries' k best;
+    scores are recomputed on the original vectors before the k best of all are ranked, nearest first, ties to the
+    smaller vec_id. Leaf sizes, at most sample / LEAST for a tree, are all that reaches the driver besides the
+    sample. Rows with one vec_id are one candidate if their vectors agree. No rows, or one, give none; other
+    columns are not read.
     """
     rows = vectors.where(valid("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("asks"))
     shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + cast(x as double) * x)")).alias("square"))
-    top = shape.orderBy(F.desc("n"), F.desc("dim")).first()
-    out = "query_id bigint, rank int, vec_id bigint, score double"
-    if top is None:
-        return vectors.sparkSession.createDataFrame([], out)
-    rows = rows.where(F.size("embedding") == top.dim)
-    longest = top.square * (1 + 1e-12)
+    out = None
+    for some in shape.orderBy("dim").collect():
+        part = _search(rows.where(F.size("embedding") == some.dim), some.dim, some.n, some.square, k, share, trees, leaf, sample, seed, block)
+        out = part if out is None else out.unionAll(part)
+    return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double") if out is None else out
+
+
+def _search(rows: DataFrame, dim: int, n: int, square: float, k: int, share: float, trees: int, leaf: int, sample: int, seed: int, block: int) -> DataFrame:
+    """The search among rows (vec_id, embedding, asks) of one length."""
+    spark, longest = rows.sparkSession, square * (1 + 1e-12)
 
     def lifted(x: np.ndarray, asks: bool) -> np.ndarray:
         more = np.zeros(len(x)) if asks else np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
         return np.column_stack([x, more]) / math.sqrt(longest)
 
-    drawn = rows.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).collect()
-    fit = lifted(np.array([r.embedding for r in drawn], np.float64), False)
-    small = max(LEAST, math.ceil(min(leaf, max(LEAST, top.n / 64)) * len(fit) / top.n))
+    sample = max(2, min(sample, BYTES // (8 * dim)))
+    drawn = matrix(rows.select("embedding", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks())
+    fit = lifted(drawn, False)
+    small = max(LEAST, math.ceil(min(leaf, max(LEAST, n / 256)) * len(fit) / n))
     rng = np.random.default_rng(seed)
     forest = [Tree(fit, small, rng) for _ in range(trees)]
     if len(drawn) > 1:
         # Vectors of least hash are in random order.
         asks = np.arange(min(TRIALS, len(drawn)))
-        share = max(share, enough(forest, fit, lifted(np.array([drawn[n].embedding for n in asks], np.float64), True), asks, k, RECALL))
-    context = vectors.sparkSession.sparkContext
+        share = max(share, enough(forest, fit, lifted(drawn[asks], True), asks, k, RECALL))
+    context = spark.sparkContext
     shared = context.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,29 +203,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in indexed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r.tree][r.leaf] = r["count"]
-    sized, budget = context.broadcast(sizes), max(4.0 * k, share * top.n)
+    # Leaves in the order of the tree, as many as hold about `block` rows; a larger one is a group of its own.
+    group_of, count = [], 0
+    for held in sizes:
+        numbers, total = np.zeros(len(held), np.int64), 0
+        for n_, size in enumerate(held.tolist()):
+            if n_ and total + size > block:
+                count, total = count + 1, 0
+            numbers[n_], total = count, total + size
+        group_of.append(numbers)
+        count += 1
+    sized, grouped, budget = context.broadcast(sizes), context.broadcast(group_of), max(4.0 * k, FLOOR, share * n)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = pa.list_(pa.struct([("grp", pa.int64()), ("leaves", pa.list_(pa.int32()))]))
         for batch in batches:
             if batch.num_rows:
-                plans = [visits(shared.value, q, sized.value, budget) for q in lifted(matrix(batch.column(1)), True)]
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in plans])]).astype(np.int32)
-                pairs = np.array([n << 32 | x for p in plans for n, x in p], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))], names=["vec_id", "embedding", "places"])
-
-    asked = durable(indexed.where("asks").select("vec_id", "embedding").mapInArrow(ask, f"vec_id bigint, embedding {kind}, places array<bigint>"))
-    demand = asked.select(F.explode("places").alias("place")).groupBy("place").count().collect()  # a row a leaf at most
-    cuts = {r.place: (math.ceil(max(1, sizes[r.place >> 32][r.place & 0xFFFFFFFF]) / block), math.ceil(r["count"] / block)) for r in demand}
-    plan = vectors.sparkSession.createDataFrame([(p, a, b) for p, (a, b) in cuts.items()] or [(-1, 1, 1)], "place bigint, row_blocks int, ask_blocks int")
-    held = indexed.select(F.posexplode("leaves").alias("tree", "leaf"), "vec_id", "embedding").withColumn("place", F.shiftleft(F.col("tree").cast("long"), 32).bitwiseOR(F.col("leaf").cast("long")))
-    held = held.join(F.broadcast(plan), "place").select(
-        "place", F.pmod(F.xxhash64("vec_id"), "row_blocks").cast("int").alias("rb"), F.explode(F.expr("sequence(0, ask_blocks - 1)")).alias("ab"), F.lit(0).alias("side"), "vec_id", "embedding"
-    )
-    asking = asked.select(F.explode("places").alias("place"), "vec_id", "embedding").join(F.broadcast(plan), "place").select(
-        "place", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("rb"), F.pmod(F.xxhash64("vec_id"), "ask_blocks").cast("int").alias("ab"), F.lit(1).alias("side"), "vec_id", "embedding"
+                plans = []
+                for q in lifted(matrix(batch.column(1)), True):
+                    by: dict[int, list[int]] = {}
+                    for t, x in visits(shared.value, q, sized.value, budget):
+                        by.setdefault(int(grouped.value[t][x]), []).append(x)
+                    plans.append([{"grp": g, "leaves": sorted(those)} for g, those in by.items()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plans, where)], names=["vec_id", "embedding", "places"])
+
+    asked = durable(indexed.where("asks").select("vec_id", "embedding").mapInArrow(ask, f"vec_id bigint, embedding {kind}, places array<struct<grp:bigint,leaves:array<int>>>"))
+    demand = {r.grp: r["count"] for r in asked.select(F.inline("places")).groupBy("grp").count().collect()}  # a row a group at most
+    held = np.zeros(count, np.int64)
+    for numbers, size in zip(group_of, sizes, strict=True):
+        np.add.at(held, numbers, size)
+    plan = spark.createDataFrame([(g, max(1, math.ceil(int(held[g]) / block)), math.ceil(asks / block)) for g, asks in demand.items()] or [(-1, 1, 1)], "grp bigint, row_blocks int, ask_blocks int")
+    place = spark.createDataFrame([(t, x, int(g)) for t, numbers in enumerate(group_of) for x, g in enumerate(numbers)], "tree int, leaf int, grp bigint")
+    mine = indexed.select(F.posexplode("leaves").alias("tree", "leaf"), "vec_id", "embedding").join(F.broadcast(place.join(plan, "grp")), ["tree", "leaf"])
+    mine = mine.select(
+        "grp", F.pmod(F.xxhash64("vec_id"), "row_blocks").cast("int").alias("rb"), F.explode(F.expr("sequence(0, ask_blocks - 1)")).alias("ab"), F.lit(0).alias("side"), "vec_id", "embedding", F.array("leaf").alias("leaves")
     )
-    keys = ["place", "rb", "ab"]
-    dealt = held.union(asking).repartition(*keys).sortWithinPartitions(*keys, "side", "vec_id")
+    asking = asked.select(F.inline("places"), "vec_id", "embedding").join(F.broadcast(plan), "grp").select(
+        "grp", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("rb"), F.pmod(F.xxhash64("vec_id"), "ask_blocks").cast("int").alias("ab"), F.lit(1).alias("side"), "vec_id", "embedding", "leaves"
+    )
+    keys = ["grp", "rb", "ab"]
+    dealt = mine.union(asking).repartition(*keys).sortWithinPartitions(*keys, "side", "leaves", "vec_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -224,13 +250,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
         count = 0
         for group in groups(batches, 3):
             side, vid = np.asarray(group.column(3)), np.asarray(group.column(4))
-            n = int((side == 0).sum())
-            if not 0 < n < len(vid):
+            first = int((side == 0).sum())
+            if not 0 < first < len(vid):
                 continue
             x = matrix(group.column(5))
-            for at in range(n, len(vid), 256):
-                kept.append(best_of(x[at : at + 256], vid[at : at + 256], x[:n], vid[:n], k))
-                count += len(kept[-1][0])
+            leaf_of = np.asarray(group.column(6).slice(0, first).flatten())  # one each, and in order
+            lists = group.column(6).slice(first)
+            who, asks = np.repeat(np.arange(first, len(vid)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+            for at, end in _runs(leaf_of):
+                those = who[asks == leaf_of[at]]
+                for q in range(0, len(those), 256):
+                    some = those[q : q + 256]
+                    kept.append(best_of(x[some], vid[some], x[at:end], vid[at:end], k))
+                    count += len(kept[-1][0])
             if count > _HELD:
                 kept = [cut(*(np.concatenate(z) for z in zip(*kept, strict=True)), k)]
                 count = len(kept[0][0])
@@ -243,3 +275,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     found = dealt.mapInArrow(meet, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    ends = [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip([0, *ends[:-1]], ends, strict=True))
