@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Features: hashed n-grams of one to ORDER characters.
 FEATURES, ORDER = 1 << 15, 3
-#: Labelled rows for a language, languages, and landmarks at most that the classifier is fitted on.
-SAMPLE, LANGUAGES, LANDMARKS = 250, 64, 256
+#: Labelled rows that the classifier is fitted on, for a language and in all, at most (but one for every language), and
+#: landmarks, of which every language has one at least. A row is FEATURES bits there, whatever its text's length.
+SAMPLE, ROWS, LANDMARKS = 250, 8000, 256
 #: Penalty of the ridge regression.
 RIDGE = 1.0
 #: Characters that are turned into features together; bounds memory, not what is read of a text.
@@ -75,7 +77,11 @@ class Classifier:
 
 
 def fit(texts: list[str], labels: list[str]) -> Classifier:
-    """One-versus-rest kernel ridge regression on the normalised presence kernel.
+    return fit_presence(np.packbits(presence(texts), axis=1), labels)
+
+
+def fit_presence(bits: np.ndarray, labels: list[str]) -> Classifier:
+    """One-versus-rest kernel ridge regression on the normalised presence kernel; bits: packed rows of `presence`.
 
     k(x, z) counts the n-grams that both have, over the geometric mean of how many each has. Landmarks,
     drawn evenly from the labelled texts by language, give Nyström features K_nm K_mm^(-1/2), in which the
@@ -85,21 +91,22 @@ def fit(texts: list[str], labels: list[str]) -> Classifier:
     languages = sorted(set(labels))
     marks, at = [], 0
     by = {lang: [n for n, x in enumerate(labels) if x == lang] for lang in languages}
-    while len(marks) < min(LANDMARKS, len(texts)):
+    most = min(max(LANDMARKS, len(languages)), len(labels))
+    while len(marks) < most:
         marks += [rows[at] for rows in by.values() if at < len(rows)]
         at += 1
-    marks = marks[:LANDMARKS]
+    marks = marks[:most]
 
-    def unit(some: list[str]) -> np.ndarray:
-        x = presence(some).astype(np.float32)
+    def unit(some: list[int] | slice) -> np.ndarray:
+        x = np.unpackbits(bits[some], axis=1).astype(np.float32)
         return x / np.sqrt(np.maximum(1.0, x.sum(axis=1, keepdims=True)))
 
-    landmarks = np.concatenate([unit([texts[m] for m in marks[n : n + _ROWS]]) for n in range(0, len(marks), _ROWS)])
-    k_nm = np.concatenate([unit(texts[n : n + _ROWS]) @ landmarks.T for n in range(0, len(texts), _ROWS)]).astype(np.float64)
+    landmarks = np.concatenate([unit(marks[n : n + _ROWS]) for n in range(0, len(marks), _ROWS)])
+    k_nm = np.concatenate([unit(slice(n, n + _ROWS)) @ landmarks.T for n in range(0, len(labels), _ROWS)]).astype(np.float64)
     k_mm = (landmarks @ landmarks.T).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    phi = np.column_stack([k_nm @ root, np.ones(len(texts))])
+    phi = np.column_stack([k_nm @ root, np.ones(len(labels))])
     target = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in labels])
     # Every language counts the same, however many rows it has.
     weight = np.array([1.0 / len(by[x]) for x in labels])[:, None] * (len(labels) / len(languages))
@@ -110,24 +117,34 @@ def fit(texts: list[str], labels: list[str]) -> Classifier:
 
 
 def train(docs: DataFrame, where: Column, sample: int = SAMPLE) -> Classifier | None:
-    """Fits on at most `sample` rows of each of the LANGUAGES most frequent labels (those of least hash of
-    id and text, thinned before they are sorted), among rows with a label and a letter; None without any."""
-    rows = docs.where(where & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Fits on rows with a label and a letter: of every label, however many there are, at most `sample` distinct
+    rows (by id and text; those of least hash), and no more than ROWS for all but one of each; None without any.
+
+    A first pass estimates how many distinct rows each label has; a second keeps about four times what is wanted,
+    combined before the shuffle, so copies of a row are one and what is ranked is bounded. What reaches the driver
+    of a row are its label and FEATURES bits, so whole texts count, and ROWS * FEATURES / 8 bytes hold them.
+    """
+    rows = docs.where(where & F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit("draw")).alias("h"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return None
-    # Thinning keeps about four times what is wanted, so what is ranked within a language is bounded as well.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * (sample + 16) / r["count"]))])
-    drawn = rows.select("lang", "text", F.xxhash64("doc_id", F.lit("draw")).alias("h")).where(
-        F.col("text").rlike(r"\p{L}") & (F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    )
-    from pyspark.sql.window import Window
-
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-    got = drawn.select("lang", "text", "k").orderBy("lang", "k").collect()
+    sample = max(1, min(sample, ROWS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * (sample + 16) / n)) for lang, n in counts.items()], "lang string, share double")
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
+                bits = np.packbits(presence(some.column(2).to_pylist()), axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([x.tobytes() for x in bits], pa.binary())], names=["lang", "k", "bits"])
+
+    got = sorted((r["lang"], r.k, bytes(r.bits)) for r in drawn.select("lang", "k", "text").mapInArrow(run, "lang string, k int, bits binary").collect())
     if not got:
         return None
-    return fit([r.text for r in got], [r["lang"] for r in got])
+    return fit_presence(np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(len(got), -1), [r[0] for r in got])
 
 
 def not_held_out() -> Column:
@@ -135,31 +152,36 @@ def not_held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2
 
 
+def scored(c: Classifier | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a column."""
+    names, scores = [], []
+    for at in range(0, len(column), _ROWS):
+        texts = [x.as_py() or "" for x in column.slice(at, _ROWS)]
+        known = [c is not None and any(map(str.isalpha, t)) for t in texts]
+        if c is not None:
+            value = c.values(texts) * 4
+            share = np.exp(value - value.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+            best = value.argmax(axis=1)
+        names += [c.languages[best[n]] if ok else "und" for n, ok in enumerate(known)]
+        scores += [float(share[n, best[n]]) if ok else 0.0 for n, ok in enumerate(known)]
+    return names, scores
+
+
 def identify(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     """docs (doc_id, text) to doc_id, lang_pred, score: the language of each whole text.
 
     score is the softmax share of the best decision value (0 to 1). A text that is null or without a
     letter is `und` with score 0, as is every text if there was nothing to learn from. The classifier is
     broadcast (FEATURES x languages numbers); texts stream through Arrow batches without a shuffle.
-    Ties go to the language first in order; repeated rows stay; only doc_id and text are read.
+    Ties go to the language first in order; repeated rows stay; only doc_id and text are read. Long texts are
+    turned into features a slice at a time, whole. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
-            names, scores = [], []
-            for at in range(0, batch.num_rows, _ROWS):
-                texts = [x.as_py() or "" for x in batch.column(1).slice(at, _ROWS)]
-                known = [bool(c) and any(map(str.isalpha, t)) for t in texts]
-                if c:
-                    value = c.values(texts) * 4
-                    share = np.exp(value - value.max(axis=1, keepdims=True))
-                    share /= share.sum(axis=1, keepdims=True)
-                    best = value.argmax(axis=1)
-                for n, ok in enumerate(known):
-                    names.append(c.languages[best[n]] if ok else "und")
-                    scores.append(float(share[n, best[n]]) if ok else 0.0)
+            names, scores = scored(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
@@ -167,24 +189,15 @@ def identify(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """docs without those whose language is unknown or scores below `least`; learns from labelled rows that
-    are not held out. Rows are judged in one pass over the texts, which keep all their columns."""
-    classifier = train(docs, not_held_out())
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    are not held out. Rows are judged in one pass over the texts and keep all their columns, whatever their names;
+    null texts and those without a letter go, repeated rows stay or go together, as do rows that tie; a score of
+    `least` stays. An empty table, or one without a label, gives no row."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, not_held_out()))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
-            keep = []
-            for start in range(0, batch.num_rows, _ROWS):
-                texts = [x.as_py() or "" for x in batch.column(at).slice(start, _ROWS)]
-                known = np.array([any(map(str.isalpha, t)) for t in texts])
-                if c:
-                    value = c.values(texts) * 4
-                    share = np.exp(value - value.max(axis=1, keepdims=True))
-                    known &= (share.max(axis=1) / share.sum(axis=1)) >= least
-                keep.append(known)
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            names, scores = scored(shared.value, batch.column(at))
+            yield batch.filter(pa.array([n != "und" and x >= least for n, x in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
