@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -217,15 +216,16 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts, and remembers what it has seen up to a bound.
 
-    With the byte-level pattern, a text falls apart at each space that has no white space on both sides:
-    no match reaches over it from the left, so what follows, the space included, is encoded for itself
-    once and then remembered. Other texts and other patterns are split by the pattern alone.
+    With the byte-level pattern, a text falls apart at each space, if none of them has white space before it and
+    white space or the end after it: then no match reaches over a space from the left, so what follows, the space
+    included, is encoded for itself once and then remembered, whatever the vocabulary. Other texts and other
+    patterns are split by the pattern alone.
     """
 
     def __init__(self, v: Vocabulary):
         self.v, self.find = v, regex.compile(v.pattern).findall
         self.apart = v.pattern == BYTE_LEVEL
-        self.joined = re.compile(r" (?<=\s )\s").search
+        self.joined = regex.compile(r"\s \s|\s \Z").search
         self.forget()
 
     def forget(self) -> None:
