@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import durable
 
-#: Rules open at the starts of partitions that may be broadcast; above it, the equi-join is used.
-OPEN = 200_000
+#: Bytes of the rules open at the starts of partitions that may be broadcast; above it, they are shuffled to them.
+OPEN = 1 << 25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,12 +79,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     the longest, as host and path together, wins; where none fits, rule is null and the verdict `default`.
 
     Pages and rules are range-partitioned together by reversed-host key (rules first, pages further by
-    path and id, so one host's pages spread over many partitions) and checkpointed. A partition is swept
-    in order with a stack of open rules. Which rules are open where a partition starts follows from its
-    first key: those whose key begins it. These few (a key has no more such keys than labels) are looked
-    up by an equi-join and broadcast, if they are no more than OPEN; else every page looks up the keys
-    that begin its own, and the longest is an aggregate. Null urls, and those without ://, have an
-    empty host and path. Repeated rows stay; only the named columns are read; empty tables are fine.
+    path, id and chance, so one host's pages, and even one page repeated, spread over many partitions) and
+    checkpointed. A partition is swept in order with a stack of open rules. Which rules are open where a partition
+    starts follows from its first key: those whose key begins it (a key has no more such keys than labels), found
+    by an equi-join. They are broadcast if they take no more than OPEN bytes; else they are shuffled, with what is
+    swept, to the front of their partition's rows. Null urls, and those without ://, have an empty host and path;
+    urls of any length are judged whole. Repeated rows stay; of rules that tie in host and path, block comes before
+    allow, and of equally long ones the longer host; only the named columns are read; empty tables are fine.
     """
     url = F.col("url").cast("string")
     own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -93,31 +94,34 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     theirs = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").where("host is not null and path is not null and verdict is not null").distinct()
     theirs = theirs.select(key_of(F.col("host")).alias("key"), F.lit(0).alias("kind"), "path", F.lit(None).cast(page_type).alias("page_id"), "host", "verdict")
     count = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "kind", "path", "page_id"]
-    ranged = own.unionByName(theirs).repartitionByRange(count, *order).sortWithinPartitions(*order)
-    ranged = durable(ranged.withColumn("part", F.spark_partition_id()))
+    order = ["key", "kind", "path", "page_id", "tie"]
+    both = own.unionByName(theirs).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = durable(both.repartitionByRange(count, *order).sortWithinPartitions(*order).drop("tie").withColumn("part", F.spark_partition_id()))
 
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
     begins = firsts.select("part", F.explode(_beginnings("first")).alias("key"))
-    opened = begins.join(theirs, "key").select("part", "key", "path", "host", "verdict").limit(OPEN + 1).collect()
-    if len(opened) > OPEN:
-        return _by_lookup(own, theirs, default)
+    opened = durable(begins.join(theirs, "key").select("part", "key", "path", "host", "verdict"))
+    size = opened.agg(F.sum(F.octet_length("key") + 2 * F.octet_length("path") + F.octet_length("host") + 64)).first()[0] or 0
     seeds: dict[int, list[tuple[str, str, str, str]]] = {}
-    for r in sorted(opened):
-        seeds.setdefault(r.part, []).append((r.key, r.path, r.host + r.path, r.verdict))
+    if size <= OPEN:
+        for r in sorted(opened.collect()):
+            seeds.setdefault(r.part, []).append((r.key, r.path, r.host + r.path, r.verdict))
+    else:
+        before = opened.select("key", F.lit(-1).alias("kind"), "path", F.lit(None).cast(page_type).alias("page_id"), "host", "verdict", "part")
+        ranged = ranged.unionByName(before).repartition(count, "part").sortWithinPartitions("part", F.col("kind") >= 0, *order[:-1])
     shared = pages.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep, begun = Sweep(), False
+        sweep, now = Sweep(), None
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in (0, 1, 2, 4, 5, 6)]
             at, rule, verdict = [], [], []
             for n, (key, kind, path, host, said, part) in enumerate(zip(*columns, strict=True)):
-                if not begun:
-                    begun = True
+                if part != now:
+                    sweep, now = Sweep(), part
                     for seed in shared.value.get(part, ()):
                         sweep.open(*seed)
-                if kind == 0:
+                if kind <= 0:
                     sweep.open(key, path, host + path, said)
                 else:
                     hit = sweep.find(key, path)
@@ -133,12 +137,3 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
 def _beginnings(key: str) -> Column:
     """All keys that begin a key, itself included: a.b. has a. and a.b."""
     return F.expr(f"transform(sequence(1, size(split({key}, '[.]', -1)) - 1), n -> concat(substring_index({key}, '.', n), '.'))")
-
-
-def _by_lookup(own: DataFrame, theirs: DataFrame, default: str) -> DataFrame:
-    """The same by equi-joins on the keys that begin a page's own."""
-    own = durable(own.withColumn("nth", F.monotonically_increasing_id()))
-    asked = own.select("nth", F.col("path").alias("of"), F.explode(_beginnings("key")).alias("key"))
-    fits = asked.join(theirs, "key").where(F.col("of").startswith(F.col("path")))
-    best = fits.groupBy("nth").agg(F.max(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict")).alias("best"))
-    return own.join(best, "nth", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -226,15 +226,47 @@ def test_language_of_odd_texts(spark):
     assert kept.columns == docs.columns and kept.count() == sum(any(map(str.isalpha, t or "")) for _, t, *_ in cases.rows())
 
 
+def plain_grams(text):
+    """The n-grams of a text as whole strings: letters in lower case, each run of anything else as one blank."""
+    t = " " + re.sub(r"[^a-zà-ÿß]+", " ", text.lower()).strip() + " "
+    return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+
+
 def test_kernel_expansion_is_the_folded_product():
-    rows = sentences(60, 3)
-    c = language.fit([t for _, t, _ in rows], [lang for *_, lang in rows])
+    """Kernel ridge regression in its dual form, over sets of strings, gives the values of the folded matrix."""
+    rows = sentences(90, 3)
+    labels = [lang for *_, lang in rows]
+    c = language.fit([t for _, t, _ in rows], labels)
+    sets = [plain_grams(t) for _, t, _ in rows]
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    gram = np.array([[k(a, b) for b in sets] for a in sets])
+    n, count = len(rows), Counter(labels)
+    weight = np.array([n / len(count) / count[x] for x in labels])
+    system = np.block([[gram + np.diag(language.RIDGE / weight), np.ones((n, 1))], [np.ones((1, n)), -np.full((1, 1), 1e-9)]])
+    target = np.array([[1.0 if x == lang else -1.0 for lang in sorted(count)] for x in labels])
+    solved = np.linalg.solve(system, np.vstack([target, np.zeros((1, len(count)))]))
+    for text in ("the house with niño", "der Fluss, die straße", "el la 12 casa!", "of river dass"):
+        want = np.array([k(plain_grams(text), s) for s in sets]) @ solved[:n] + solved[n]
+        assert np.abs(c.values([text])[0] - want).max() < 0.02 and c.languages == sorted(count)
     text = "the house with niño"
     assert c.values([text])[0].argmax() == c.languages.index("en")
     for unit in ("ab ", "a   b", "abc", " 1 é"):
         assert (language.presence([unit * 700_000])[0] == language.presence([unit * 9])[0]).all()
 
 
+def test_language_learns_from_rows_whatever_their_ids(spark):
+    """Ids that are null or shared, a language that is one row many times over, and more labels than landmarks."""
+    rows = [(None, f"{t} {i}", lang) for i, t, lang in sentences(900, 5)] + [(7, "ala ma kota i psa a kot ma ale", "pl")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    c = language.train(docs, F.lit(True), sample=40)
+    assert c.languages == ["de", "en", "es", "pl"]
+    many = [(i, " ".join(f"{chr(0x4E00 + 7 * (i % 300) + k)}{chr(0x4E00 + 7 * (i % 300) + 2 * k % 7)}" for k in range(7)), f"l{i % 300:03}") for i in range(1200)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    c = language.train(docs, F.lit(True))
+    assert len(c.languages) == 300
+    assert np.mean([r.lang_pred == many[r.doc_id][2] for r in language.identify(docs, c).collect()]) > 0.9
+
+
 # BPE
 
 
@@ -260,6 +292,28 @@ def test_bpe(spark, encoding):
     assert bpe.decode(bpe.encode(cases.empty(spark), path, pattern), path, pattern).count() == 0
 
 
+def test_bpe_of_white_space_in_another_vocabulary(tmp_path):
+    """Runs of white space may be tokens; texts are cut at spaces only where the pattern cuts them too."""
+    import base64
+    import itertools
+
+    import regex
+
+    extra = [b"  ", b"\n ", b" \n", b" a", b"   ", b"\t ", b"a ", b" \n "]
+    tokens = [bytes([n]) for n in range(256)] + extra
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(n).encode() for n, t in enumerate(tokens)))
+    v = bpe.vocabulary(str(path), bpe.BYTE_LEVEL)
+    e, plain = bpe.Encoder(v), regex.compile(bpe.BYTE_LEVEL)
+    texts = ["".join(t) for n in range(1, 7) for t in itertools.product("a \n\t", repeat=n)] + ["a\x1c \x1c", "a\u3000 \u3000b ", "x \x85 y \x85"]
+    ids, counts = e.encode(texts)
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        want = [x for piece in plain.findall(text) for x in bpe.merge(v, [piece.encode()])[0]]
+        assert ids[at : at + n].tolist() == want, text
+        at += n
+
+
 def test_bpe_of_random_texts(encoding):
     import random
 

@@ -85,6 +85,41 @@ def test_scan_of_all_is_exact(spark):
     assert {(r.query_id, r["rank"], r.vec_id) for r in a} == {(r.query_id, r["rank"], r.vec_id) for r in b}
 
 
+def test_neighbours_of_each_length(spark):
+    """Vectors of every length are queries and candidates among those of their own."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal([3, 5, 8, 1][i % 4]).tolist()) for i in range(200)] + [(1000, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, 7, share=9.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    v = dict(rows)
+    for q in range(0, 200, 20):
+        want = sorted((-float(np.dot(v[q], v[i])), i) for i in v if i != q and len(v[i]) == len(v[q]))[:7]
+        assert sorted(got[q]) == [(k, i) for k, (_, i) in enumerate(want, 1)]
+    assert set(got) == set(range(0, 200, 20))
+
+
+def test_recall_on_many_vectors(spark):
+    """Measured against brute force: on vectors that fill their dimension, by leaves that hold less than the table, and on
+    such that do not, by few of them."""
+    rng = np.random.default_rng(5)
+    for x, most in ((rng.standard_normal((12_000, 48)), 1.0), (rng.standard_normal((12_000, 4)) @ rng.standard_normal((4, 48)), 0.25)):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+        got = {}
+        for r in neighbours.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        asked = np.arange(0, len(x), 20)
+        product = x[asked].astype(float) @ x.T.astype(float)
+        product[np.arange(len(asked)), asked] = -np.inf
+        best = np.argpartition(-product, 20, axis=1)[:, :20]
+        assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(asked.tolist(), best.tolist(), strict=True)]) >= 0.9
+        fit = x.astype(float)
+        forest = [neighbours.Tree(fit, 47, rng) for _ in range(2)]
+        assert neighbours.enough(forest, fit, fit[:64], np.arange(64), 20, neighbours.RECALL) < most
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://Example.ORG/es/x?q#f", "https://a.b.example.org/en/12", "http://example.org", "http://example.org?x=/es/", "x://y://z/p", "http://notexample.org/es/",
     "http://www.com/de/1", "http://com/fr/", "http://a.com/fr", "http://org/", "ftp://u:p@a.org:80/x", "http://a..org/x", "http://.org/", "http://ex.org#/es/", "http://É.Org/Ä", "http://x.net/a/b/c",
@@ -101,7 +136,7 @@ def plain(url, rules, default):
     return host, path, best and best[1], best[2] if best else default
 
 
-@pytest.mark.parametrize("opened", [0, 200_000])
+@pytest.mark.parametrize("opened", [0, 1 << 25])  # seeds are shuffled, or broadcast
 def test_url_rules(spark, monkeypatch, opened):
     from tessella.llm.queries import URL_RULES
 
