@@ -21,7 +21,7 @@ from tessella.llm.common import dealt, durable, text_of
 BLOCK, TEMPER = 1 << 16, 0.5
 #: Slots that are scheduled together; bytes of a bucket of rows on average; bits of the number of buckets at most; times
 #: the average from which a bucket is hot, and dealt out further.
-SEGMENT, BUCKET, BITS, HOT = 256, 1 << 22, 20, 16
+SEGMENT, BUCKET, BITS, HOT = 256, 1 << 20, 20, 16
 #: What shares add up to where the weights have no smaller exact form, in bits.
 PRECISION = 62
 
@@ -215,7 +215,7 @@ def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int) -> Da
         wanted = [float(r.bytes) ** TEMPER for r in sources]
     blocks = [-(-r.bytes // block) for r in sources]
     total = sum(r.bytes for r in sources)
-    bits = min(BITS, max(4, ceil(log2(max(1.0, total / BUCKET)))))
+    bits = min(BITS, max(8, ceil(log2(max(1.0, total / BUCKET)))))
     bucket = F.shiftright("fine", BITS - bits).alias("bucket")
     sums = sums.groupBy("cls", bucket).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).withColumn("sub", F.lit(0))
     rows = rows.withColumn("bucket", F.shiftright("fine", BITS - bits)).withColumn("sub", F.lit(0))
