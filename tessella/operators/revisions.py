@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.errors import EngineError, invalid
 from tessella.functions.canonical import canonical, decode, revision_id
@@ -130,9 +131,13 @@ def write(revisions: DataFrame, operations: list[dict[str, Any]], atomic: bool =
         results.append({"id": op["id"], "revision": row["revision_id"], "replayed": False})
     if not new:
         return revisions, results
-    kinds = revisions.schema
-    added = revisions.sparkSession.createDataFrame([tuple(row.get(f.name) for f in kinds.fields) for row in new], kinds)
-    return revisions.unionByName(added), results
+    return revisions.unionByName(_rows_of(revisions, new)), results
+
+
+def _rows_of(revisions: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
+    """Rows in the shape of revisions; what they lack is null."""
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in revisions.schema.fields])
+    return revisions.sparkSession.createDataFrame([tuple(r.get(f.name) for f in shape.fields) for r in rows], shape)
 
 
 def resolve(revisions: DataFrame, document_id: str, expected: list[str], keep: str, body: Any = None) -> DataFrame:
@@ -147,8 +152,7 @@ def resolve(revisions: DataFrame, document_id: str, expected: list[str], keep: s
         child = row | {"parent_revision": leaf, "deleted": leaf != keep, "body": text}
         child["revision_id"] = revision_id(document_id, row["history_id"], leaf, leaf != keep, None if text is None else json.loads(text))
         rows.append(child)
-    kinds = revisions.schema
-    return revisions.unionByName(revisions.sparkSession.createDataFrame([tuple(r.get(f.name) for f in kinds.fields) for r in rows], kinds))
+    return revisions.unionByName(_rows_of(revisions, rows))
 
 
 def missing(wanted: DataFrame, revisions: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:

@@ -686,14 +686,15 @@ def sub_snapshot(spark, sf_dir):
 
 @_registered("""
 WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS last FROM events GROUP BY 1)
-SELECT 0 AS place, 'reset' AS event_type, CAST(200 AS BIGINT) AS sequence, NULL AS id
-UNION ALL SELECT 1, 'snapshot', NULL, CAST(user_id AS VARCHAR) FROM l WHERE kind = 'error'
-UNION ALL SELECT 2, 'caught_up', (SELECT max(event_id) FROM events), NULL""")
+SELECT 0 AS place, 'reset' AS event_type, CAST(200 AS BIGINT) AS sequence, '-' AS id
+UNION ALL SELECT 1, 'snapshot', -1, CAST(user_id AS VARCHAR) FROM l WHERE kind = 'error'
+UNION ALL SELECT 2, 'caught_up', (SELECT max(event_id) FROM events), '-'""")
 def sub_reset(spark, sf_dir):
     """A subscriber whose place in the feed is gone: a reset, the members anew, and that it has caught up."""
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id")
     now = log.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-    return subscription.events(Documents(now, "user_id"), Documents(log, "user_id"), {"selector": {"/event_type": "error"}}, 100, "event_id", floor=200, most=None)
+    sent = subscription.events(Documents(now, "user_id"), Documents(log, "user_id"), {"selector": {"/event_type": "error"}}, 100, "event_id", floor=200, most=None)
+    return sent.select("place", "event_type", F.coalesce("sequence", F.lit(-1)).alias("sequence"), F.coalesce("id", F.lit("-")).alias("id"))
 
 
 @_registered("""
