@@ -232,6 +232,18 @@ def frontier(peers: DataFrame, current: int, floor: int, now_ms: int, enabled: b
     return {"candidate_floor": candidate, "floor_advanced": candidate > floor, "active_peers": row.n}
 
 
+def compact(revisions: DataFrame, changes: DataFrame, peers: DataFrame, current: int, floor: int, depth: int, now_ms: int, enabled: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """One maintenance pass: the revisions and changes (sequence, document_id) that stay, and the new floor of history,
+    up to which all active peers have read (`frontier`). Changes at or below the floor go, and the revisions that
+    `compaction` names for it; without an advance, nothing does."""
+    edge = frontier(peers, current, floor, now_ms, enabled)
+    if not edge["floor_advanced"]:
+        return revisions, changes, floor
+    low = edge["candidate_floor"]
+    gone = compaction(revisions, changes.select("document_id", "sequence"), low, depth)
+    return revisions.join(gone, ["document_id", "revision_id"], "left_anti").select(*revisions.columns), changes.where(F.col("sequence") > low), low
+
+
 def check(revisions: DataFrame, changes: DataFrame | None = None, floor: int = 0) -> DataFrame:
     """Violations as (rule, document_id, revision_id); none if all is well."""
 

@@ -173,23 +173,22 @@ def _exact(df: DataFrame, view: View, level: int) -> DataFrame:
     exact, combined before the shuffle and does not care for order; a group then has a few thousand
     numbers at most, which are added as rationals.
     """
-    names = [f"key{n}" for n in range(level)]
+    names = [f"key{n}" for n in range(level)] or ["all"]
     x = F.col("num")
     power = F.when(x == 0, 0).otherwise(F.greatest(F.lit(-1074), F.floor(F.log2(F.abs(x))).cast("int") - 54))
     # In two steps, as 2^-power itself may be out of range.
     half = (power / 2).cast("int")
     whole = (x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)).cast("decimal(20,0)")
-    parts = df.where(x.isNotNull()).select(*names, power.alias("power"), whole.alias("whole"), x.alias("x"))
-    high = F.floor(F.col("whole") / 10**9).cast("decimal(20,0)")
-    low = F.col("whole") - high * 10**9
-    parts = parts.withColumn("h", high).withColumn("l", low.cast("decimal(20,0)"))
-    by = parts.groupBy(*names, "power").agg(
-        F.sum("whole").alias("s"), F.sum((F.col("h") * F.col("h")).cast("decimal(38,0)")).alias("hh"), F.sum((F.col("h") * F.col("l")).cast("decimal(38,0)")).alias("hl"),
-        F.sum((F.col("l") * F.col("l")).cast("decimal(38,0)")).alias("ll"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-    )
-    held = by.groupBy(*names).agg(
-        F.collect_list(F.struct("power", *(F.col(c).cast("string").alias(c) for c in ("s", "hh", "hl", "ll")))).alias("parts"), F.sum("n").alias("count"), F.min("lo").alias("min"), F.max("hi").alias("max")
-    )
+    # Rows without a number have no power, so a group is there even if none has one.
+    parts = df.withColumn("all", F.lit(0)).select(*names, F.when(x.isNotNull(), power).alias("power"), whole.alias("whole"), x.alias("x"))
+    sums = {"s": F.sum("whole")}
+    if view.reducer == "_stats":
+        high = F.floor(F.col("whole") / 10**9).cast("decimal(20,0)")
+        parts = parts.withColumn("h", high).withColumn("l", (F.col("whole") - high * 10**9).cast("decimal(20,0)"))
+        sums |= {a + b: F.sum((F.col(a) * F.col(b)).cast("decimal(38,0)")) for a, b in ("hh", "hl", "ll")}
+    by = parts.groupBy(*names, "power").agg(*(c.alias(n) for n, c in sums.items()), F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    part = F.when(F.col("power").isNotNull(), F.struct("power", *(F.col(c).cast("string").alias(c) for c in sums)))
+    held = by.groupBy(*names).agg(F.collect_list(part).alias("parts"), F.sum("n").alias("count"), F.min("lo").alias("min"), F.max("hi").alias("max"))
 
     def add(parts: pd.Series) -> pd.DataFrame:
         from fractions import Fraction
@@ -200,7 +199,8 @@ def _exact(df: DataFrame, view: View, level: int) -> DataFrame:
             for p in group:
                 unit = Fraction(2) ** p["power"]
                 s += int(p["s"]) * unit
-                q += (int(p["hh"]) * 10**18 + 2 * int(p["hl"]) * 10**9 + int(p["ll"])) * unit * unit
+                if "hh" in p:
+                    q += (int(p["hh"]) * 10**18 + 2 * int(p["hl"]) * 10**9 + int(p["ll"])) * unit * unit
             sums.append(_rounded(s))
             squares.append(_rounded(q))
         return pd.DataFrame({"sum": sums, "sumsqr": squares})
@@ -211,18 +211,11 @@ def _exact(df: DataFrame, view: View, level: int) -> DataFrame:
         except OverflowError:
             return float("inf")
 
-    summed = held.withColumn("added", F.pandas_udf(add, "sum double, sumsqr double")("parts"))
-    every = df.groupBy(*names or [F.lit(0).alias("all")]).count().drop("count", "all" if not names else "count")
-    joined = every.join(summed, names, "left") if names else _one(every, summed)
-    total = F.coalesce(F.col("added.sum"), F.lit(0.0)).alias("sum")
+    out = held.withColumn("added", F.pandas_udf(add, "sum double, sumsqr double")("parts"))
+    keys = names if level else []
     if view.reducer == "_sum":
-        return joined.select(*names, total)
-    return joined.select(*names, F.coalesce("count", F.lit(0)).alias("count"), total, "min", "max", F.coalesce(F.col("added.sumsqr"), F.lit(0.0)).alias("sumsqr"))
-
-
-def _one(every: DataFrame, summed: DataFrame) -> DataFrame:
-    """A single group: summed has a row at most."""
-    return every.withColumn("_k", F.lit(0)).join(summed.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+        return out.select(*keys, F.col("added.sum").alias("sum"))
+    return out.select(*keys, "count", F.col("added.sum").alias("sum"), "min", "max", F.col("added.sumsqr").alias("sumsqr"))
 
 
 def finite(df: DataFrame) -> DataFrame:

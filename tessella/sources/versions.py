@@ -6,7 +6,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import EngineError
@@ -65,11 +65,6 @@ class Versions:
                 raise EngineError("checkpoint_conflict", "another writer was first", version=state["version"]) from e
             raise
 
-    def _write(self, df: DataFrame, part: str = "rows") -> str:
-        folder = f"{self.path}/{self.name}/{uuid.uuid4()}"
-        df.write.parquet(f"{folder}/{part}")
-        return folder
-
     def rows(self, layer: dict[str, Any]) -> DataFrame:
         return self.spark.read.parquet(layer["folder"] + "/rows")
 
@@ -99,10 +94,11 @@ class Versions:
         return self._point([self._layer(df)], self.state()["version"], kept)
 
     def _layer(self, df: DataFrame, ids: DataFrame | None = None) -> dict[str, Any]:
-        folder = self._write(df)
+        folder, seen = f"{self.path}/{self.name}/{uuid.uuid4()}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder + "/rows")
         if ids is not None:
             ids.write.parquet(folder + "/ids")
-        return {"folder": folder, "rows": self.spark.read.parquet(folder + "/rows").count()}
+        return {"folder": folder, "rows": seen.get["rows"]}
 
     def _point(self, layers: list[dict[str, Any]], version: int, kept: dict[str, Any]) -> dict[str, Any]:
         state = {"version": version + 1, "layers": layers} | kept

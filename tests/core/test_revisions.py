@@ -1,5 +1,6 @@
 """Revision trees, changes, replication, retention, integrity, canonical JSON."""
 
+import hashlib
 import json
 import math
 import struct
@@ -8,6 +9,7 @@ import uuid
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.errors import EngineError
 from tessella.functions.canonical import canonical, decode, number, revision_id
@@ -120,6 +122,57 @@ def test_retention(spark):
     assert revisions.frontier(peers.limit(0), 90, 10, 50)["candidate_floor"] == 90 and not revisions.frontier(peers, 90, 10, 50, enabled=False)["floor_advanced"]
 
 
+def test_a_maintenance_pass(spark):
+    rows = chain("a", 4) + chain("gone", 3, deleted_last=True) + chain("new", 4)
+    log = spark.createDataFrame([(3, "a"), (4, "gone"), (9, "new")], "sequence long, document_id string")
+    peers = spark.createDataFrame([(5, None), (1, 10)], "safe_sequence long, expires_ms long")
+    kept, left, floor = revisions.compact(frame(spark, rows), log, peers, 9, 2, 1, now_ms=50)
+    assert floor == 5 and [r.sequence for r in left.collect()] == [9]
+    assert sorted(r.revision_id for r in kept.collect()) == sorted(r[1] for r in rows[2:4] + rows[7:])
+    assert revisions.check(kept.where("document_id = 'new'")).count() == 0
+    same, _, floor = revisions.compact(frame(spark, rows), log, peers, 9, 2, 1, now_ms=5)
+    assert floor == 2 and same.count() == len(rows)
+
+
+def test_shadow_reads(spark, tmp_path):
+    import shutil
+
+    from tessella.operators.shadow import Shadow
+    from tessella.plans.binding import Documents
+
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string")
+    source, shadow = Documents(df, "k"), Shadow(spark, str(tmp_path / "s"))
+    got = lambda ids, generation="g1", **more: (lambda rows, meta: ([r and r["v"] for r in rows], meta.get("watermark")))(*shadow.get(source, ids, generation, **more))
+    assert got(["1"]) == (["v1"], None)  # there is no copy yet
+    shadow.build(Documents(df.where("k < 4").withColumn("v", F.lit("old")), "k"), "g1", 3)
+    assert got(["1", "5", "9", "1"]) == (["old", "v5", None, "old"], 3) and got(["1"], consistency="primary") == (["v1"], None) and got(["1"], "g2") == (["v1"], None)
+    shadow.refresh(Documents(df.where("k = 1"), "k"), "g1", 7)
+    assert got(["1", "2"]) == (["v1", "old"], 7)
+    with pytest.raises(EngineError):
+        shadow.refresh(source, "g2", 9)
+    with pytest.raises(EngineError):
+        shadow.get(source, ["1"], "g1", "sometimes")
+    shutil.rmtree(tmp_path / "s" / "shadow")
+    assert got(["2"]) == (["v2"], None) and shadow.retired
+
+
+def test_backup_manifest(spark, tmp_path):
+    from tessella.sources import backup
+
+    (tmp_path / "d" / "blobs").mkdir(parents=True)
+    for name, data in (("one", b"1"), ("blobs/two", b"22"), ("empty", b"")):
+        (tmp_path / "d" / name).write_bytes(data)
+    path = str(tmp_path / "d")
+    made = {(r.file, r.length, r.digest) for r in backup.manifest(spark, path).collect()}
+    assert made == {(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in (("one", b"1"), ("blobs/two", b"22"))}
+    kept = spark.createDataFrame(sorted(made), "file string, length long, digest string")
+    assert backup.verify(spark, path, kept).count() == 0 and backup.summary(kept) == backup.summary(backup.manifest(spark, path)) and backup.summary(kept)["bytes"] == 3
+    (tmp_path / "d" / "one").write_bytes(b"2")
+    (tmp_path / "d" / "blobs" / "two").unlink()
+    (tmp_path / "d" / "new").write_bytes(b"x")
+    assert {tuple(r) for r in backup.verify(spark, path, kept).collect()} == {("one", "changed"), ("blobs/two", "missing"), ("new", "unexpected")}
+
+
 def test_integrity(spark):
     rows = chain("a", 3) + chain("b", 2)
     log = spark.createDataFrame([(1, "a", rows[2][1], False), (2, "b", rows[4][1], False)], "sequence long, document_id string, winning_revision string, winning_deleted boolean")
