@@ -23,7 +23,7 @@ from tessella.streaming.materialized import MaterializedView
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_IDS = {"orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "customer": "c_custkey", "supplier": "s_suppkey", "documents": "doc_id"}
+_IDS = {"orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "customer": "c_custkey", "supplier": "s_suppkey", "documents": "doc_id", "nation": "n_nationkey"}
 
 
 def _registered(sql: str | None = None):
@@ -816,3 +816,64 @@ def or_union_dedup(spark, sf_dir):
         _where(_docs(spark, sf_dir, "part"), {"$or": [{"/p_size": 1}, {"/p_size": {"$in": [1, 50]}}]}).agg(F.lit("part").alias("name"), F.count("*").alias("n")),
     ]
     return reduce(DataFrame.union, counts)
+
+
+def _codes(spark: SparkSession, cases: dict[str, Callable[[], Any]]) -> DataFrame:
+    """name and code of what each case raises."""
+    found = []
+    for name, case in cases.items():
+        try:
+            case()
+            found.append((name, "none"))
+        except EngineError as e:
+            found.append((name, e.code))
+    return spark.createDataFrame(found, "name string, code string")
+
+
+@_registered("""
+SELECT * FROM (VALUES ('operand', 'invalid_request'), ('depth', 'invalid_request'), ('regex_flags', 'invalid_request'), ('branches', 'invalid_request'), ('limit', 'invalid_request'), ('unknown_field', 'invalid_request'),
+  ('no_token', 'invalid_request'), ('rank_and_sort', 'invalid_request'), ('scan', 'index_required'), ('hint', 'invalid_index_hint'), ('candidates', 'resource_limit'), ('other_query', 'invalid_bookmark'), ('stale', 'bookmark_stale'),
+  ('broken', 'invalid_bookmark'), ('fine', 'none')) v(name, code)""")
+def request_errors(spark, sf_dir):
+    """Requests that are refused, and by which code."""
+    docs, texts = _docs(spark, sf_dir, "nation"), _docs(spark, sf_dir, "documents")
+    deep: dict[str, Any] = {"/x": 1}
+    for _ in range(40):
+        deep = {"$not": deep}
+    ask = lambda **request: lambda: query.execute(docs, request)
+    find = lambda text, **more: lambda: query.execute(texts, {"search": {"query": text, "fields": ["/text"]} | more})
+    mark = query.execute(docs, {"limit": 3})["bookmark"]
+    changed = Documents(docs.df, docs.id, version="another")
+    return _codes(spark, {
+        "operand": ask(selector={"/x": {"$gt": None}}), "depth": ask(selector=deep), "regex_flags": ask(selector={"/x": {"$regex": "(?i)a"}}), "branches": ask(selector={"$or": []}), "limit": ask(limit=501), "unknown_field": ask(what=1),
+        "no_token": find(" ,"), "rank_and_sort": lambda: query.execute(texts, {"search": {"query": "a", "fields": ["/text"]}, "sort": ["/lang"]}), "scan": ask(scan_threshold=5), "hint": ask(index="none"), "candidates": find("the", max_candidates=3),
+        "other_query": ask(limit=3, bookmark=mark, sort=["/n_name"]), "stale": lambda: query.execute(changed, {"limit": 3, "bookmark": mark}), "broken": ask(bookmark="???"), "fine": ask(limit=3, bookmark=mark),
+    })
+
+
+@_registered("""
+SELECT * FROM (VALUES ('equal and range', 'single', 'pier_state_length'), ('hint', 'single', 'pier'), ('two branches', 'union', 'pier,state'), ('a branch without', 'bounded_scan', ''), ('not equal', 'bounded_scan', ''), ('text', 'full_text', 'words')) v(name, plan_kind, indexes)""")
+def plan_choices(spark, sf_dir):
+    """Which indexes a plan names for a selector."""
+    catalog = views.Catalog()
+    for name, fields in (("pier", ["/pier"]), ("state", ["/state"]), ("pier_state_length", ["/pier", "/state", "/length"])):
+        catalog.create_index({"name": name, "type": "structured", "fields": fields})
+    catalog.create_index({"name": "words", "type": "full_text", "fields": ["/boat"]})
+    docs = Documents(spark.createDataFrame([], "id string, pier string, state string, length double, boat string"), "id")
+    asked = {
+        "equal and range": {"selector": {"/pier": "a", "/state": "b", "/length": {"$gt": 1}}}, "hint": {"selector": {"/pier": "a"}, "index": "pier"}, "two branches": {"selector": {"$or": [{"/pier": "a"}, {"/state": "b"}]}},
+        "a branch without": {"selector": {"$or": [{"/pier": "a"}, {"/boat": "b"}]}}, "not equal": {"selector": {"/pier": {"$ne": "a"}}}, "text": {"search": {"query": "heron", "fields": ["/boat"]}},
+    }
+    plans = {n: query.plan(docs, r, catalog.list_indexes()) for n, r in asked.items()}
+    return spark.createDataFrame([(n, p["plan_kind"], ",".join(p["selected_indexes"])) for n, p in plans.items()], "name string, plan_kind string, indexes string")
+
+
+@_registered("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_nationkey = 7")
+def json_lines_selected(spark, sf_dir):
+    """Documents written as JSON lines and read again, as bodies, by a selector."""
+    at = scratch(spark, "json")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("id", F.col("c_custkey").cast("string"))
+    source.write_json(Documents(customers, "id"), at + "/lines")
+    docs = source.json_lines(spark, at + "/lines")
+    rows = docs.df.where(condition(parse({"/c_nationkey": 7}), docs))
+    return rows.select("id", docs.at(("c_name",)).string().alias("c_name"), docs.at(("c_nationkey",)).number().cast("bigint").alias("nation"))
