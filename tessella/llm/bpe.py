@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ LONG = 256
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Marks that stand alone as a piece after a word.
+_MARKS = frozenset(".,;:!?")
+
+
 @dataclass
 class Vocabulary:
     """Tokens by rank, and for adjacent tokens the rank of their union; of fixed size, so broadcast."""
@@ -213,6 +218,19 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class _Index(dict):
+    """Numbers what it is asked for, as it is first seen."""
+
+    def __missing__(self, key: object) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def _latin(word: str) -> bool:
+    """Letters alone, and such as every version of Unicode has as letters."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Encoder:
     """Encodes texts, and remembers what it has seen up to a bound.
 
@@ -229,7 +247,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[object, int] = {}  # words without the space before them; pieces as tuples
+        self.index = _Index()  # words without the space before them; pieces as tuples
         self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def split(self, text: str) -> list[object]:
@@ -238,27 +256,34 @@ class Encoder:
         first, *rest = text.split(" ")
         return [(p,) for p in self.find(first)] + rest
 
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of a word with a space before it. Latin words, and those with one mark after them, need no search."""
+        if _latin(word):
+            return [" " + word]
+        if word[-1:] in _MARKS and _latin(word[:-1]):
+            return [" " + word[:-1], word[-1]]
+        return self.find(" " + word)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32), and how many each text has."""
         parts = [self.split(t) for t in texts]
-        index = self.index
-        new = list(dict.fromkeys(p for those in parts for p in those if p not in index))
+        index, known = self.index, len(self.index)
+        where = np.fromiter(map(index.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        new = list(islice(index, known, None))
         if new:
-            pieces = [p if type(p) is tuple else self.find(" " + p) for p in new]
+            pieces = [p if type(p) is tuple else self.pieces(p) for p in new]
             flat = [p for those in pieces for p in those]
             at = {p: n for n, p in enumerate(dict.fromkeys(flat))}
             merged = merge(self.v, [p.encode("utf-8", "surrogatepass") for p in at])
             ids = [merged[at[those[0]]] if len(those) == 1 else [x for p in those for x in merged[at[p]]] for those in pieces]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.pool = np.concatenate([self.pool, np.fromiter((x for one in ids for x in one), np.int32, int(lengths.sum()))])
-        at = np.fromiter((index[p] for those in parts for p in those), np.int64, sum(map(len, parts)))
-        lengths = self.lengths[at]
+        lengths = self.lengths[where]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         ends = sums[np.cumsum([len(those) for those in parts])] if parts else np.zeros(0, np.int64)
-        ids = self.pool[_ranges(self.starts[at], lengths)]
+        ids = self.pool[_ranges(self.starts[where], lengths)]
         if len(index) > MEMORY:
             self.forget()
         return ids, np.diff(ends, prepend=0)
@@ -282,7 +307,8 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     Every match of the pattern is merged for itself, by ranks, leftmost first among equals; special
     tokens are ordinary text. A text that is null or empty has no ids. The vocabulary, whose size is
     fixed by its file, is broadcast; texts stream through Arrow batches without a shuffle, so a lost
-    executor costs its own partitions. Repeated rows are encoded alike; only doc_id and text are read.
+    executor costs its own partitions. Repeated rows are encoded alike; only doc_id and text are read. Long texts go
+    through alone, whole; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
 
