@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import durable
 from tessella.llm.components import connected_components
+from tessella.llm.signatures import most_apart, near_links, roots
 from tessella.llm.vectors import BLOCK, groups, matrix, unit, valid
 
 #: Chance at most that a pair exactly at the threshold meets in no table; vectors of a label a bucket should have.
 MISS, WANTED = 1e-6, 256
 #: Bits of a signature, besides the tables'; chance at most that a pair at the threshold differs in too many of them.
 SIGN, LOST = 128, 1e-9
-#: One class in so many is counted to see which buckets are large. No result depends on it.
-COUNTED = 64
 
 
 def tables_for(rows: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -29,94 +28,13 @@ def tables_for(rows: int, threshold: float, miss: float = MISS) -> tuple[int, in
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - alike))) if alike < 1 else 1
 
 
-def most_bits(threshold: float, lost: float = LOST) -> int:
-    """Bits of SIGN at most in which a pair at the threshold differs, but for a chance of `lost`."""
-    p, left = math.acos(min(1.0, threshold)) / math.pi, 1.0
-    for d in range(SIGN + 1):
-        left -= math.comb(SIGN, d) * p**d * (1 - p) ** (SIGN - d)
-        if left <= lost:
-            return d
-    return SIGN
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row that links join to each of n rows."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _alike(signs: np.ndarray, most: int, own: np.ndarray | None) -> np.ndarray:
-    """For each row of signatures, one that differs in at most `most` bits from it, or from one that does, and so on.
-
-    own: compare only rows with different ones."""
-    n = len(signs)
-    root = np.arange(n)
-    for at in range(0, n, 256):
-        far = np.bitwise_count(signs[at : at + 256, None, :] ^ signs[None, :, :]).sum(axis=2, dtype=np.int16)
-        near = far <= most
-        if own is not None:
-            near &= own[at : at + 256, None] != own[None, :]
-        a, b = np.nonzero(near)
-        keep = root[a + at] != root[b]  # what is joined already needs no link
-        joined = _roots(n, np.concatenate([a[keep] + at, np.arange(n)]), np.concatenate([b[keep], root]))
-        root = joined
-    return root
-
-
-def candidates(signed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
-    """signed (cid, lab, codes, s1, s2) to links (u, v): classes of one label that share a table's code, and whose
-    signatures differ in at most `most` bits, are joined by these links.
-
-    A row of a table is a key, an id and two numbers, and goes through one shuffle. A group gives a link a class at
-    most. Buckets of more than `block` classes, which copies make, are seen in a count of one class in COUNTED,
-    and cut by hash into blocks, each pair of which is a group of its own; any that escape it are compared a few
-    rows at a time where they are.
-    """
-    met = signed.select("cid", "s1", "s2", "lab", F.posexplode("codes").alias("tab", "code")).select(F.xxhash64("lab", "tab", "code").alias("key"), "cid", "s1", "s2")
-    large = met.where(F.pmod(F.xxhash64("cid"), F.lit(COUNTED)) == 0).groupBy("key").count().where(F.col("count") * COUNTED > block)
-    large = durable(large.select("key", F.ceil(F.col("count") * COUNTED / block).cast("int").alias("blocks")))
-
-    def compare(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        for group in groups(batches, keys):
-            if group.num_rows < 2:
-                continue
-            cid, signs = np.asarray(group.column(keys)), np.column_stack([np.asarray(group.column(keys + n)) for n in (1, 2)])
-            own = np.asarray(group.column(keys + 3)) if keys > 1 and group.column(1)[0] != group.column(2)[0] else None
-            root = _alike(signs, most, own)
-            some = np.flatnonzero(root != np.arange(len(root)))
-            us.append(cid[some])
-            vs.append(cid[root[some]])
-            if len(us) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
-                us, vs = [], []
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
-
-    if large.isEmpty():
-        dealt = met.repartition("key").sortWithinPartitions("key")
-        return dealt.mapInArrow(lambda batches: compare(batches, 1), "u bigint, v bigint").distinct()
-    met = met.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    met = met.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "s1", "s2", "own")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(lambda batches: compare(batches, 3), "u bigint, v bigint").distinct()
-
-
 def link_classes(classes: DataFrame, dim: int, threshold: float, bits: int, tables: int, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """classes (cid, label, n, embedding) of one dimension to (cid, links, root): parts of how many other
     vectors a class links with, and a class that it is joined with, summed and joined by the caller.
 
-    Every class has a code of hyperplane signs in each table, and a signature of further ones. `candidates` joins
-    what may be near into components, without the vectors. Then each vector is sent to its component, once: all
+    Every class has a code of hyperplane signs in each table, and a signature of further ones. Classes of one label
+    that share a table's code, and whose signatures may be those of a pair at the threshold, are joined into
+    components (`near_links`), without the vectors: a row of a table is a key, an id and two numbers. Then each vector is sent to its component, once: all
     pairs of one are tried, by products of matrices, so a near pair that meets in any table counts exactly once. A
     component beyond `block` classes is cut into blocks by hash, and each pair of blocks is a group of its own.
     Pairs stay inside: a group returns two numbers for each class.
@@ -136,7 +54,9 @@ def link_classes(classes: DataFrame, dim: int, threshold: float, bits: int, tabl
 
     rows = classes.select("cid", F.xxhash64("label").alias("lab"), "embedding")
     signed = durable(rows.mapInArrow(sign, "cid bigint, lab bigint, codes array<int>, s1 bigint, s2 bigint"))
-    near = durable(connected_components(candidates(signed, most_bits(threshold), block)))
+    met = signed.select("cid", "s1", "s2", "lab", F.posexplode("codes").alias("tab", "code")).select(F.xxhash64("lab", "tab", "code").alias("key"), "cid", "s1", "s2")
+    apart = most_apart(SIGN, math.acos(min(1.0, threshold)) / math.pi, LOST)
+    near = durable(connected_components(near_links(met, apart, block=block)))
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     met = near.join(sizes, "root").withColumnRenamed("node", "cid").join(classes.select("cid", F.xxhash64("label").alias("lab"), "n", "embedding"), "cid")
     met = met.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -155,7 +75,7 @@ def link_classes(classes: DataFrame, dim: int, threshold: float, bits: int, tabl
             a, b = np.nonzero(close)
             if len(a):
                 links = np.bincount(a, n[b], len(cid)) + np.bincount(b, n[a], len(cid))
-                root, some = _roots(len(cid), a, b), np.flatnonzero(links)
+                root, some = roots(len(cid), a, b), np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some].astype(np.int64)), pa.array(cid[root[some]])], names=["cid", "links", "root"])
 
     return dealt.mapInArrow(pairs, "cid bigint, links bigint, root bigint")

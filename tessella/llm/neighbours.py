@@ -22,6 +22,8 @@ SAMPLE, BYTES, TREES, LEAF, LEAST = 32_768, 1 << 25, 2, 512, 8
 TRIALS, RECALL = 256, 0.925
 #: Rows that a query visits at least, if there are so many: too few queries average out too little.
 FLOOR = 2048
+#: Blocks of rows that a block of queries is as large as: a row is sent once for each of those.
+ASKS = 4
 #: Best matches held in a task before they are cut to each query's own best.
 _HELD = 1 << 20
 
@@ -232,7 +234,7 @@ def _search(rows: DataFrame, dim: int, n: int, square: float, k: int, share: flo
     held = np.zeros(count, np.int64)
     for numbers, size in zip(group_of, sizes, strict=True):
         np.add.at(held, numbers, size)
-    plan = spark.createDataFrame([(g, max(1, math.ceil(int(held[g]) / block)), math.ceil(asks / block)) for g, asks in demand.items()] or [(-1, 1, 1)], "grp bigint, row_blocks int, ask_blocks int")
+    plan = spark.createDataFrame([(g, max(1, math.ceil(int(held[g]) / block)), math.ceil(asks / (ASKS * block))) for g, asks in demand.items()] or [(-1, 1, 1)], "grp bigint, row_blocks int, ask_blocks int")
     place = spark.createDataFrame([(t, x, int(g)) for t, numbers in enumerate(group_of) for x, g in enumerate(numbers)], "tree int, leaf int, grp bigint")
     mine = indexed.select(F.posexplode("leaves").alias("tree", "leaf"), "vec_id", "embedding").join(F.broadcast(place.join(plan, "grp")), ["tree", "leaf"])
     mine = mine.select(

@@ -206,10 +206,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame, kinds: list[str]) -> DataFrame:
-    """Counts and digests of base and added arrays."""
+    """Counts and digests of base and added arrays, and how many spans there are in all."""
     return found.select(
         "doc_id",
         *(F.expr(f"cast(size(filter(base, x -> x.kind = {n})) as bigint)").alias(f"n_{k}") for n, k in enumerate(kinds)),
         F.sha2(listed(kinds, "base"), 256).alias("base_sha256"),
         listed(kinds, "array_distinct(concat(base, added))").alias("spans"),
+        F.expr("cast(size(array_distinct(concat(base, added))) as bigint)").alias("n_spans"),
     )

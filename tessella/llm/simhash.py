@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import durable, fresh, text_of
 from tessella.llm.components import connected_components
+from tessella.llm.signatures import codes_apart, most_apart, near_links
 from tessella.llm.vectors import groups
 
 BITS = 64
@@ -23,9 +24,13 @@ HOT = 64
 _CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of the whole text as a signed 64-bit integer; 0 where the text has no word."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only, for case and white space
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z in lower case; as bytes, so that only ASCII counts for case and white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(found: list[bytes], words: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's words as a signed 64-bit integer; 0 if there are none."""
     if not found:
         return 0
     if len(found) < words:
@@ -46,7 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            fp = np.fromiter((fingerprint(x.as_py(), words, seed) for x in texts), np.int64, len(texts))
+            fp = np.fromiter((fingerprint(words_of(x.as_py()), words, seed) for x in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
@@ -224,15 +229,21 @@ def _forest(near: np.ndarray) -> np.ndarray:
 #: Least hashes that a band of `band_keys` joins; the chance at most that a pair just at the similarity meets in no band;
 #: classes of a candidate component that are compared in one group at most.
 ROWS, LOST, TOGETHER = 4, 1e-6, 512
+#: Chance at most that the signatures of a pair just at the similarity differ in too many places.
+THINNED = 1e-8
 
 
-def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles; a text of fewer words is one shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(found) < words:
-        found, words = [b" ".join(found)], 1
-    digest, last = xxhash.xxh64_intdigest, len(found) - words + 1
-    return np.unique(np.fromiter((digest(b" ".join(x), seed) for x in zip(*(found[k : last + k] for k in range(words)), strict=True)), np.uint64, last))
+def shingle_set(found: list[bytes], words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text's words, each mixed from those of its words in order; fewer
+    words are one shingle."""
+    words = min(words, len(found)) or 1
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found or [b""]), np.uint64, max(1, len(found)))
+    last = len(h) - words + 1
+    out = np.full(last, words, np.uint64)
+    for k in range(words):
+        out = (out ^ h[k : last + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def band_count(similarity: float, miss: float) -> int:
@@ -240,15 +251,19 @@ def band_count(similarity: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - similarity**ROWS)))
 
 
-def band_keys(shingles: np.ndarray, bands: int, seed: int = 3) -> np.ndarray:
-    """A key for each band, of the least of ROWS hashes over the set."""
+def band_keys(shingles: np.ndarray, bands: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band, of the least of ROWS hashes over the set; and as a signature two bits of each least hash,
+    32 to a number."""
     rng = np.random.default_rng(seed)
     mask, odd = rng.integers(0, 2**63, (2, bands * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(bands * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
         x = (shingles[at : at + 4096] ^ mask) * odd
         least = np.minimum(least, (x ^ x >> np.uint64(32)).min(axis=1))
-    return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(bands, ROWS))), np.uint64, bands).view(np.int64)
+    keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(bands, ROWS))), np.uint64, bands).view(np.int64)
+    codes = np.zeros(-(-len(least) // 32) * 32, np.uint64)
+    codes[: len(least)] = least & np.uint64(3)
+    return keys, (codes.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -287,7 +302,7 @@ def verified(members: DataFrame, similarity: float, words: int, block: int = TOG
             own, fp, texts = np.asarray(group.column(3))[once], np.asarray(group.column(5))[once], group.column(6)
             if len(once) < 2 or (group.column(1)[0] != group.column(2)[0] and len(np.unique(own)) < 2):
                 continue
-            near = alike([shingle_set(texts[int(n)].as_py(), words) for n in once], similarity)
+            near = alike([shingle_set(words_of(texts[int(n)].as_py()), words) for n in once], similarity)
             if group.column(1)[0] != group.column(2)[0]:
                 near &= own[:, None] != own[None, :]
             root = fp[_forest(near)]
@@ -301,9 +316,10 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near
 
     Documents are linked if their fingerprints over shingles of `near_words` lie within `radius` bits
     (`link_fingerprints`), or if their sets of shingles of `words` have the Jaccard similarity, exactly.
-    Candidates for the second are texts that agree in a band of least hashes; a pair just at the similarity
-    agrees in none with a chance of `miss` at most. A component of candidates is compared as a whole, from
-    the texts (`verified`).
+    Candidates for the second are texts that agree in a band of least hashes, and whose signatures of two bits of
+    each least hash are near enough (`near_links`), so that texts that share passages alone do not chain; a pair
+    just at the similarity is missed with a chance of `miss` and THINNED at most. A component of candidates is
+    compared as a whole, from the texts (`verified`).
 
     What goes is decided by row, that is by id and text, and of each group one row stays: the one of least
     doc_id (rows without an id come last), then of least text checksum; of rows that agree in id and text, any
@@ -315,28 +331,32 @@ def first_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, cid, keys = [], [], []
+            fp, cid, keys, signs = [], [], [], []
             for x in batch.column(1):
-                text = x.as_py()
-                fp.append(fingerprint(text, near_words))
-                shingles = shingle_set(text, words)
+                found = words_of(x.as_py())
+                fp.append(fingerprint(found, near_words))
+                shingles = shingle_set(found, words)
                 cid.append(xxhash.xxh64_intdigest(shingles.tobytes(), fp[-1] & 0xFFFFFFFFFFFFFFFF))
-                keys.append(band_keys(shingles, bands))
-            ends = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * bands)
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(np.array(cid, np.uint64).view(np.int64)), lists], names=["doc_id", "crc", "fp", "cid", "keys"])
+                own, sign = band_keys(shingles, bands)
+                keys.append(own)
+                signs.append(sign)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (keys, signs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(np.array(cid, np.uint64).view(np.int64)), *lists], names=["doc_id", "crc", "fp", "cid", "keys", "signs"])
 
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(text_of()).alias("crc"))
-    prints = durable(texts.mapInArrow(run, f"doc_id {kind}, crc bigint, fp bigint, cid bigint, keys array<bigint>"))
+    prints = durable(texts.mapInArrow(run, f"doc_id {kind}, crc bigint, fp bigint, cid bigint, keys array<bigint>, signs array<bigint>"))
     # One row, by id and text, stands for all of a class.
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("pick")
-    classes = durable(prints.groupBy("cid", "fp").agg(pick, F.first("keys").alias("keys")))
+    classes = durable(prints.groupBy("cid", "fp").agg(pick, F.first("keys").alias("keys"), F.first("signs").alias("signs")))
     nodes = durable(classes.groupBy("fp").agg(F.min("pick").alias("least")))
 
     held = classes.select("cid", F.explode("keys").alias("key"))
-    stars = held.groupBy("key").agg(F.min("cid").alias("u"), F.max("cid").alias("w")).where("u != w").select("key", "u")
-    candidates = durable(connected_components(held.join(stars, "key").where("cid != u").select("u", F.col("cid").alias("v")).distinct()))
+    shared = held.groupBy("key").agg(F.min("cid").alias("u"), F.max("cid").alias("w")).where("u != w").select("key")
+    signs = [F.col("signs")[n].alias(f"s{n}") for n in range(-(-bands * ROWS // 32))]
+    met = durable(held.join(shared, "key").join(classes.select("cid", *signs), "cid").select("key", "cid", *(f"s{n}" for n in range(len(signs)))))
+    apart = most_apart(bands * ROWS, (1 - similarity) * 3 / 4, THINNED)
+    candidates = durable(connected_components(near_links(met, apart, codes_apart)))
     sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     wanted = candidates.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "fp", "pick"), "node")
     wanted = wanted.select("root", F.col("node").alias("cid"), "fp", "blocks", F.col("pick.doc_id").alias("_id"), F.col("pick.crc").alias("_crc"))

@@ -519,8 +519,8 @@ def test_queries_have_the_columns_asked_for(spark):
 
     wanted = {
         "op1_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
-        "op2_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-        "op4_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+        "op2_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
+        "op4_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"],
         "op6_language": ["doc_id", "held_out", "lang_pred", "score"],
         "op7_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op10_simhash": ["doc_id", "fingerprint", "component_id"],
