@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,10 @@ from tessella.sources.versions import Versions
 K1, B = 1.2, 0.75
 #: Documents that a search may find at most where a whole answer is asked for.
 CANDIDATES = 10_000
+#: Tokens that are inverted at once, and rows of a batch of what comes of them.
+PART, ROWS = 500_000, 50_000
+#: Documents whose entries give the ends of an index's ranges, and entries that a range holds at least.
+SAMPLE, SHARE = 500, 250_000
 MODES = ("all", "any", "phrase", "prefix")
 NO_TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -111,19 +119,109 @@ def _bounded(hits: DataFrame, most: int | None) -> DataFrame:
 
 def postings(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
     """An inverted index: token, id, tf, positions; write it partitioned or sorted by token to reuse it."""
-    rows = docs.df.select(docs.id_column().alias("id"), F.posexplode(tokenize(content(docs, fields))).alias("at", "token"))
-    return rows.groupBy("token", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return _inverted(*_by_id(docs, fields)[:2])
 
 
 def entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
     """The postings, and one more row of each document: the empty token, whose tf is the document's length."""
-    tokens = tokenize(content(docs, fields))
-    places = F.transform(tokens, lambda t, n: F.struct(t.alias("token"), n.alias("at")))
-    length = F.array(F.struct(F.lit("").alias("token"), F.size(tokens).alias("at")))
-    rows = docs.df.select(docs.id_column().alias("id"), F.inline(F.concat(places, length)))
-    out = rows.groupBy("token", "id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
+    return _inverted(*_by_id(docs, fields)[:2], lengths=True)
+
+
+def arranged(df: DataFrame) -> DataFrame:
+    """Entries in ranges of tokens, and sorted; rows of a frequent token are spread."""
+    return df.repartitionByRange(F.col("token"), F.xxhash64("id")).sortWithinPartitions("token", "id")
+
+
+def arranged_entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """The entries, arranged. Spark's own ranges would take inverting every document twice, once for its sample of
+    keys; here the ends of ranges are of the entries of some SAMPLE documents, and all documents are inverted once."""
+    single, shared, count = _by_id(docs, fields)
+    if shared is not None:
+        return arranged(_inverted(single, shared, lengths=True))
+    every = max(1, count // SAMPLE)
+    drawn = single.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    keys = sorted((r.token, r.h) for r in _inverted(drawn, None, lengths=True).select("token", F.xxhash64("id").alias("h")).collect())
+    most = max(int(docs.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(keys) * every // (8 * SHARE))
+    parts = min(most, 1 + len(keys) * every // SHARE)
+    ends = [keys[len(keys) * n // parts] for n in range(1, parts)] if keys else []
+    return _inverted(single, None, lengths=True, ends=ends).repartitionById(len(ends) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "id")
+
+
+def _by_id(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> tuple[DataFrame, DataFrame | None, int]:
+    """(id, tokens) of documents whose id no other has, which need no shuffle to be grouped; of the others, if there
+    are any; and how many documents there are. Ids alone are read to tell."""
+    rows = docs.df.select(docs.id_column().alias("id"), tokenize(content(docs, fields)).alias("tokens"))
+    ids = docs.df.groupBy(docs.id_column().alias("_id")).agg(F.count("*").alias("n"))
+    seen = ids.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if seen.all is None or seen.most == 1:
+        return rows, None, seen.all or 0
+    repeated, same = ids.where("n > 1").select("_id"), F.col("id").eqNullSafe(F.col("_id"))
+    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi"), seen.all
+
+
+def _inverted(single: DataFrame, shared: DataFrame | None, lengths: bool = False, ends: list[tuple[str, int]] | None = None) -> DataFrame:
+    """token, id, tf, positions of (id, tokens): documents with an id of their own are inverted where they are read,
+    those that share one are exploded and grouped. lengths: as in `entries`. ends: those of ranges of (token, hash of
+    id), of which each row's number is added as `part`."""
+    schema = "token string, id string, tf bigint, positions array<int>" + (", part int" if ends is not None else "")
+    out = single.select("id", "tokens", F.xxhash64("id").alias("h")).mapInArrow(lambda batches: _invert(batches, lengths, ends), schema)
+    if shared is None:
+        return out
+    places = F.transform("tokens", lambda t, n: F.struct(t.alias("token"), n.alias("at")))
+    if lengths:
+        places = F.concat(places, F.array(F.struct(F.lit("").alias("token"), F.size("tokens").alias("at"))))
+    rows = shared.select("id", F.inline(places)).groupBy("token", "id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
     own = F.col("token") == ""
-    return out.select("token", "id", F.when(own, F.col("at")[0].cast("long")).otherwise(F.col("n")).alias("tf"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("at")).alias("positions"))
+    return out.unionByName(rows.select("token", "id", F.when(own, F.col("at")[0].cast("long")).otherwise(F.col("n")).alias("tf"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("at")).alias("positions")))
+
+
+def _invert(batches: Iterator[pa.RecordBatch], lengths: bool, ends: list[tuple[str, int]] | None) -> Iterator[pa.RecordBatch]:
+    """_inverted, of documents with an id of their own: (document, token) as one number is sorted, in parts of some
+    PART tokens (a document is never cut)."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+        last = np.cumsum(sizes)
+        cuts = np.unique([0, *np.searchsorted(last, np.arange(PART, last[-1] if len(last) else 0, PART)).tolist(), len(sizes)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids, tokens, h = (batch.column(n)[a:b] for n in range(3))
+            yield from _invert_part(ids.cast(pa.string()), tokens.flatten(), np.asarray(h), sizes[a:b], lengths, ends)
+
+
+def _invert_part(ids: pa.Array, tokens: pa.Array, h: np.ndarray, sizes: np.ndarray, lengths: bool, ends: list[tuple[str, int]] | None) -> Iterator[pa.RecordBatch]:
+    coded = tokens.dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.string()), np.asarray(coded.indices)
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = document * max(1, len(words)) + codes
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    bounds, kept = np.append(first, len(key)), order[first]
+    word, owner = codes[kept], document[kept]
+    columns = [words.take(pa.array(word)), ids.take(pa.array(owner)), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at[order], pa.int32()))]
+    if ends is not None:
+        columns.append(_parts(words.to_pylist(), word, h[owner], ends))
+    yield from _rows(columns)
+    if lengths:
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(ids) + 1), pa.int32()), pa.array([], pa.int32()))
+        columns = [pa.array([""] * len(ids), pa.string()), ids, pa.array(sizes, pa.int64()), none]
+        yield from _rows(columns if ends is None else [*columns, _parts([""], np.zeros(len(ids), int), h, ends)])
+
+
+def _rows(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    out = pa.RecordBatch.from_arrays(columns, ["token", "id", "tf", "positions", "part"][: len(columns)])
+    yield from (out.slice(n, ROWS) for n in range(0, len(out), ROWS))
+
+
+def _parts(words: list[str], word: np.ndarray, h: np.ndarray, ends: list[tuple[str, int]]) -> pa.Array:
+    """The range of each (words[word], h): how many ends are less. By words, and by h for those that are ends."""
+    tokens, hashes = [t for t, _ in ends], np.array([x for _, x in ends], np.int64)
+    low = np.array([bisect_left(tokens, w) for w in words], np.int64)
+    out = low[word]
+    for n in [n for n, w in enumerate(words) if low[n] < len(tokens) and tokens[low[n]] == w]:
+        mine = word == n
+        out[mine] += np.searchsorted(hashes[low[n] : bisect_right(tokens, words[n])], h[mine])
+    return pa.array(out, pa.int32())
 
 
 def search_postings(index: DataFrame, words: list[str], mode: str = "all") -> DataFrame:
@@ -143,13 +241,10 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str, fields: list[str]):
         self.fields = tuple(pointer.parse(f) for f in fields)
         self.versions = Versions(spark, path, "postings")
-        self.versions.arranged = self._sorted
-
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartitionByRange(F.col("token"), F.xxhash64("id")).sortWithinPartitions("token", "id")
+        self.versions.arranged = arranged
 
     def rebuild(self, docs: Documents, sequence: int = 0) -> None:
-        self.versions.write(self._sorted(entries(docs, self.fields)), sequence=sequence)
+        self.versions.write(arranged_entries(docs, self.fields), sequence=sequence)
 
     def refresh(self, changed: Documents, sequence: int, deleted: str | None = None) -> None:
         """changed: the documents that changed up to `sequence`, as they are now; those deleted are marked."""
@@ -157,7 +252,7 @@ class SearchIndex:
             return
         ids = changed.df.select(changed.id_column().alias("id")).distinct()
         live = Documents(changed.df.where(~F.col(deleted)) if deleted else changed.df, changed.id, changed.body, json=changed.json)
-        self.versions.append(self._sorted(entries(live, self.fields)), ids, sequence=sequence)
+        self.versions.append(arranged_entries(live, self.fields), ids, sequence=sequence)
 
     def read(self) -> DataFrame:
         index = self.versions.read()
