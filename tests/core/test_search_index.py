@@ -60,3 +60,24 @@ def test_ranges_are_in_order_and_frequent_tokens_are_spread(spark, monkeypatch):
     assert all(r == sorted(r) for r in ranges) and sum(map(len, ranges)) == 3600 and len(ranges) == 4
     assert all(a[-1][0] <= b[0][0] for a, b in zip(ranges, ranges[1:], strict=False))
     assert max(map(len, ranges)) < 1600
+
+
+def jobs_shuffled(spark, run):
+    """Records that a run writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda x: [x.apply(n) for n in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_a_refresh_shuffles_an_entry_once(spark, tmp_path):
+    rows = [(str(n), f"a{n} b{n} c d e f g h") for n in range(300)]
+    index = search.SearchIndex(spark, str(tmp_path), ["/text"])
+    assert jobs_shuffled(spark, lambda: index.rebuild(docs(spark, rows), 1)) < 1.5 * 9 * 300
+    new = docs(spark, [(id, "of the new") for id, _ in rows[::3]])
+    assert jobs_shuffled(spark, lambda: index.refresh(new, 2)) < 5 * 4 * 100
+    assert {r.id for r in index.search("the new", "phrase").collect()} == {id for id, _ in rows[::3]}
+    assert {r.id for r in index.search("c d e", "phrase").collect()} == {id for id, _ in rows} - {id for id, _ in rows[::3]}
