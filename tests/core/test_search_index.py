@@ -81,3 +81,13 @@ def test_a_refresh_shuffles_an_entry_once(spark, tmp_path):
     assert jobs_shuffled(spark, lambda: index.refresh(new, 2)) < 5 * 4 * 100
     assert {r.id for r in index.search("the new", "phrase").collect()} == {id for id, _ in rows[::3]}
     assert {r.id for r in index.search("c d e", "phrase").collect()} == {id for id, _ in rows} - {id for id, _ in rows[::3]}
+
+
+def test_phrases_of_a_built_index(spark, tmp_path):
+    """Positions are those in the whole text, also of a text that is cut into parts or repeats its words."""
+    rows = [("1", "x licensed under the y"), ("2", "licensed under licensed under the"), ("3", "under the licensed"), ("4", "licensed, under. THE"), ("5", "licensed under a the")]
+    index = search.SearchIndex(spark, str(tmp_path), ["/text"])
+    shuffled = jobs_shuffled(spark, lambda: index.rebuild(docs(spark, rows + [(f"n{n}", "the " * 9 + "end") for n in range(200)])))
+    assert shuffled < 1.5 * (200 * 3 + 25)
+    assert {r.id for r in index.search("licensed under the", "phrase").collect()} == {"1", "2", "4"}
+    assert index.search("the the end", "phrase").count() == 200
