@@ -486,14 +486,16 @@ w AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY deleted, CA
 
 
 def _revisions(spark, sf_dir) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
-    rows = rows.select(
-        "user_id", "i", "event_id", F.col("user_id").cast("string").alias("document_id"), F.concat_ws("-", F.expr("i div 2 + 1"), F.sha2(F.col("event_id").cast("string"), 256)).alias("revision_id"),
-        ((F.col("event_id") % 7 == 0) | (F.col("user_id") % 10 == 3)).alias("deleted"), F.lit("h").alias("history_id"),
+    """One window: a revision's parent is the first of the generation before, two or three events back."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("document_id"))
+    own = Window.partitionBy("document_id").orderBy("event_id")
+    rows = rows.select("*", (F.row_number().over(own) - 1).alias("i"), F.lag("event_id", 2).over(own).alias("second"), F.lag("event_id", 3).over(own).alias("third"))
+    name = lambda g, event: F.concat_ws("-", F.expr(g), F.sha2(event.cast("string"), 256))
+    parent = F.when((F.col("i") >= 2) & F.col("document_id").isNotNull(), name("i div 2", F.when(F.col("i") % 2 == 0, F.col("second")).otherwise(F.col("third"))))
+    return rows.select(
+        "document_id", name("i div 2 + 1", F.col("event_id")).alias("revision_id"), parent.alias("parent_revision"), F.lit("h").alias("history_id"),
+        ((F.col("event_id") % 7 == 0) | (F.col("document_id").cast("bigint") % 10 == 3)).alias("deleted"), "i", "event_id",
     )
-    parents = rows.where("i % 2 = 0").select("user_id", F.expr("i div 2 + 1").alias("g"), F.col("revision_id").alias("parent_revision"))
-    return rows.withColumn("g", F.expr("i div 2")).join(parents, ["user_id", "g"], "left").select("document_id", "revision_id", "parent_revision", "history_id", "deleted", "i", "event_id")
 
 
 @_registered(_REVISIONS + "SELECT document_id, revision_id FROM leaf")

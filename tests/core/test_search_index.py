@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from shuffled import jobs_shuffled
 
 from tessella.operators import search
 from tessella.plans.binding import Documents
@@ -62,17 +63,6 @@ def test_ranges_are_in_order_and_frequent_tokens_are_spread(spark, monkeypatch):
     assert max(map(len, ranges)) < 1600
 
 
-def jobs_shuffled(spark, run):
-    """Records that a run writes to shuffles."""
-    store = spark.sparkContext._jsc.sc().statusStore()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda x: [x.apply(n) for n in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
-    before = stages()
-    run()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    return sum(n for k, n in stages().items() if k not in before)
-
-
 def test_a_refresh_shuffles_an_entry_once(spark, tmp_path):
     rows = [(str(n), f"a{n} b{n} c d e f g h") for n in range(300)]
     index = search.SearchIndex(spark, str(tmp_path), ["/text"])
