@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +25,8 @@ from tessella.functions.canonical import canonical, decode, revision_id
 from tessella.sources.checkpoints import durable
 
 BULK = 500
+#: Revisions of a document whose chains one task walks at most, and rows of a block of documents.
+WALK, BLOCK = 200_000, 50_000
 
 
 def generation(c: str = "revision_id") -> Column:
@@ -180,10 +187,93 @@ def ancestors(revisions: DataFrame, starts: DataFrame, most: int | None = None)
     """(document_id, leaf, revision_id, depth) from each start (document_id, revision_id) to its root, or at most
     `most` steps.
 
-    By doubling: each round knows, of every revision of the starts' documents, the ancestor so many steps away, adds
-    those of what is found, and squares the steps. So a chain of n generations takes log n rounds of equi-joins, each
-    a checkpoint; a document that holds most revisions is spread over many tasks, as keys are revisions.
+    Documents of up to WALK revisions come together once, by document, and their chains are walked in Arrow batches,
+    all of a block a step at a time. Larger ones are spread over many tasks, as there keys are revisions (`_doubled`).
     """
+    large = revisions.groupBy("document_id").agg(F.count("*").alias("_n")).where(F.col("_n") > WALK).select("document_id")
+    rest = [] if large.isEmpty() else [_doubled(*(x.join(large, "document_id", "left_semi") for x in (revisions, starts)), most)]
+    if rest:
+        revisions, starts = (x.join(large, "document_id", "left_anti") for x in (revisions, starts))
+    own = revisions.select("document_id", "revision_id", "parent_revision").join(starts.select("document_id").distinct(), "document_id", "left_semi")
+    asked = starts.select("document_id", "revision_id", F.lit(None).cast("string").alias("parent_revision"), F.lit(True).alias("start"))
+    # By a number: if own and asked are in partitions by document_id already, Spark leaves a repartition by that out, and
+    # adaptive execution then joins partitions of the one without those of the other.
+    rows = own.withColumn("start", F.lit(False)).unionByName(asked).repartition(F.xxhash64("document_id")).sortWithinPartitions("document_id")
+    walked = rows.mapInArrow(lambda batches: _walk(batches, most), "document_id string, leaf string, revision_id string, depth int")
+    return reduce(DataFrame.unionByName, rest, walked)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """document_id, leaf, revision_id, depth of rows (document_id, revision_id, parent_revision, start) in order of
+    documents, by blocks of whole documents."""
+    held: list[pa.RecordBatch] = []
+    count, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = batch.column(0).to_pylist()
+        cut = len(names)  # what is before belongs to documents that end in this batch
+        while cut and names[cut - 1] == names[-1]:
+            cut -= 1
+        if count >= BLOCK and names[0] != last:
+            yield from _climb(pa.Table.from_batches(held), most)
+            held, count = [], 0
+        last = names[-1]
+        if cut and count + cut >= BLOCK:
+            yield from _climb(pa.Table.from_batches([*held, batch[:cut]]), most)
+            held, count = [batch[cut:]], len(names) - cut
+        else:
+            held.append(batch)
+            count += len(names)
+    if held:
+        yield from _climb(pa.Table.from_batches(held), most)
+
+
+def _climb(rows: pa.Table, most: int | None) -> Iterator[pa.RecordBatch]:
+    """_walk, of whole documents: (document, revision) is one number, and a link leads from one to its parent's."""
+    rows = rows.combine_chunks()
+    documents = pa.chunked_array(rows["document_id"].chunks, pa.string()).combine_chunks().dictionary_encode("encode")
+    named = pa.concat_arrays([c.cast(pa.string()) for n in ("revision_id", "parent_revision") for c in rows[n].chunks]).dictionary_encode()
+    name = np.asarray(pc.fill_null(named.indices, -1)).astype(np.int64)
+    document, width = np.asarray(documents.indices).astype(np.int64), len(named.dictionary) + 1  # the last for null
+    own, up = name[: len(rows)], name[len(rows) :]
+    start = np.asarray(rows["start"])
+    real = pc.is_valid(documents.dictionary).to_numpy(zero_copy_only=False)[document]
+    key, above = document * width + own % width, document * width + up
+    stored = real & ~start & (own >= 0)
+    linked = stored & (up >= 0) & np.isin(above, key[stored])
+    links = np.unique(np.stack([key[linked], above[linked]], 1), axis=0)
+    child, parent = links[:, 0].copy(), links[:, 1].copy()
+    at = leaf = key[start]
+    found, size, depth = [(leaf, at, 0)], len(at), 0
+    labels = pa.concat_arrays([named.dictionary, pa.nulls(1, pa.string())])
+
+    def out() -> pa.RecordBatch:
+        leaves, ats = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+        depths = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+        columns = [documents.dictionary.take(pa.array(ats // width)), labels.take(pa.array(leaves % width)), labels.take(pa.array(ats % width)), pa.array(depths, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["document_id", "leaf", "revision_id", "depth"])
+
+    while len(at) and (most is None or depth < most):
+        low, high = np.searchsorted(child, at, "left"), np.searchsorted(child, at, "right")
+        n = high - low
+        at = parent[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        leaf, depth = np.repeat(leaf, n), depth + 1
+        if size + len(at) > BLOCK and size:
+            yield out()
+            found, size = [], 0
+        if len(at):
+            found.append((leaf, at, depth))
+            size += len(at)
+    if size:
+        yield out()
+
+
+def _doubled(revisions: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+    """`ancestors` by doubling: each round knows, of every revision of the starts' documents, the ancestor so many
+    steps away, adds those of what is found, and squares the steps. So a chain of n generations takes log n rounds of
+    equi-joins, each a checkpoint; a document that holds most revisions is spread over many tasks, as keys are
+    revisions."""
     own = revisions.select("document_id", "revision_id", "parent_revision").join(starts.select("document_id").distinct(), "document_id", "left_semi")
     stored = own.select("document_id", F.col("revision_id").alias("parent_revision"))
     jump = durable(own.where("parent_revision is not null").join(stored, ["document_id", "parent_revision"], "left_semi").select("document_id", "revision_id", F.col("parent_revision").alias("up")).distinct())
