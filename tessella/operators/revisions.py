@@ -304,7 +304,8 @@ def compaction(revisions: DataFrame, latest: DataFrame, floor: int, depth: int)
     a document whose leaves are all deleted (reason retired). A revision's place in the winning chain is
     the winner's generation less its own, as a chain loses one each step."""
     settled = latest.groupBy("document_id").agg(F.max("sequence").alias("sequence")).where(F.col("sequence") <= floor).select("document_id")
-    rows = durable(revisions.join(settled, "document_id", "left_semi"))  # read by each of the steps below
+    rows = revisions.select("document_id", "revision_id", "parent_revision", "deleted")
+    rows = durable(rows.join(settled, "document_id", "left_semi"))  # read by each of the steps below
     won = winners(rows)
     dead = won.where("deleted").select("document_id")  # a live leaf would have won
     kept = ancestors(rows, won.select("document_id", "revision_id"), depth).select("document_id", "revision_id").distinct()
