@@ -54,11 +54,16 @@ def replicate(source: DataFrame, target: DataFrame, changes: DataFrame, checkpoi
     new = since(changes, checkpoint, floor=floor)
     touched = new.select("document_id").distinct()
     wanted = source.join(touched, "document_id", "left_semi")
-    lacking = wanted.join(rev.missing(wanted, target), ["document_id", "revision_id"], "left_semi")
+    lacking = _lacking(wanted, target)
     last = new.agg(F.max("sequence").alias("m")).first().m
     return rev.merge(target, lacking.select(*target.columns)), checkpoint if last is None else int(last)
 
 
+def _lacking(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """The whole rows that `revisions.missing` names, by one join; it names none without an id."""
+    return wanted.where("revision_id is not null").join(held.select("document_id", "revision_id"), ["document_id", "revision_id"], "left_anti")
+
+
 def reconcile(ours: list[dict[str, Any]], theirs: list[dict[str, Any]]) -> int:
     """The greatest sequence that both checkpoint histories (session_id, sequence) have; 0 if none."""
     mine = {(x["session_id"], x["sequence"]) for x in ours}
@@ -104,7 +109,7 @@ def follow(stream: DataFrame, source: Callable[[], DataFrame], target: str, reco
         at = session._jvm.org.apache.hadoop.fs.Path(target)
         there = at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at)
         have = session.read.schema(held.schema).parquet(target) if there else session.createDataFrame([], held.schema)
-        lacking = durable(wanted.join(rev.missing(wanted, have), ["document_id", "revision_id"], "left_semi").select(*held.columns))
+        lacking = durable(_lacking(wanted, have).select(*held.columns))
         rev.merge(have.join(df.select("document_id").distinct(), "document_id", "left_semi"), lacking)  # refuses parents that neither has
         lacking.write.mode("append").parquet(target)
         version, value = records.get("replication", name)
