@@ -24,7 +24,7 @@ K1, B = 1.2, 0.75
 #: Documents that a search may find at most where a whole answer is asked for.
 CANDIDATES = 10_000
 #: Tokens that are inverted at once, and rows of a batch of what comes of them.
-PART, ROWS = 500_000, 50_000
+PART, ROWS = 2_000_000, 50_000
 #: Documents whose entries give the ends of an index's ranges, and entries that a range holds at least.
 SAMPLE, SHARE = 500, 250_000
 MODES = ("all", "any", "phrase", "prefix")
@@ -144,7 +144,11 @@ def arranged_entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> Da
     most = max(int(docs.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(keys) * every // (8 * SHARE))
     parts = min(most, 1 + len(keys) * every // SHARE)
     ends = [keys[len(keys) * n // parts] for n in range(1, parts)] if keys else []
-    return _inverted(single, None, lengths=True, ends=ends).repartitionById(len(ends) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "id")
+    length, rows = F.col("token") == "", _inverted(single, None, lengths=True, ends=ends)
+    rows = rows.select("token", "id", F.when(length, F.array(F.col("tf").cast("int"))).otherwise(F.col("positions")).alias("positions"), "part")  # they say tf
+    rows = rows.repartitionById(len(ends) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "id")
+    tf = F.when(length, F.col("positions")[0]).otherwise(F.size("positions")).cast("long")
+    return rows.select("token", "id", tf.alias("tf"), F.when(length, F.array().cast("array<int>")).otherwise(F.col("positions")).alias("positions"))
 
 
 def _by_id(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> tuple[DataFrame, DataFrame | None, int]:
@@ -176,7 +180,7 @@ def _inverted(single: DataFrame, shared: DataFrame | None, lengths: bool = False
 
 
 def _invert(batches: Iterator[pa.RecordBatch], lengths: bool, ends: list[tuple[str, int]] | None) -> Iterator[pa.RecordBatch]:
-    """_inverted, of documents with an id of their own: (document, token) as one number is sorted, in parts of some
+    """_inverted, of documents with an id of their own: (token, document) as one number is sorted, in parts of some
     PART tokens (a document is never cut)."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
@@ -192,7 +196,7 @@ def _invert_part(ids: pa.Array, tokens: pa.Array, h: np.ndarray, sizes: np.ndarr
     words, codes = coded.dictionary.cast(pa.string()), np.asarray(coded.indices)
     document = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = document * max(1, len(words)) + codes
+    key = codes * max(1, len(sizes)) + document  # by word, so that what is alike lies together when it is shuffled
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])

@@ -95,7 +95,7 @@ class Versions:
 
     def _layer(self, df: DataFrame, ids: DataFrame | None = None) -> dict[str, Any]:
         folder, seen = f"{self.path}/{self.name}/{uuid.uuid4()}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder + "/rows")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(folder + "/rows")
         if ids is not None:
             ids.write.parquet(folder + "/ids")
         return {"folder": folder, "rows": seen.get["rows"]}
