@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import Any
 
 import numpy as np
@@ -23,8 +23,8 @@ from tessella.sources.versions import Versions
 K1, B = 1.2, 0.75
 #: Documents that a search may find at most where a whole answer is asked for.
 CANDIDATES = 10_000
-#: Tokens that are inverted at once, and rows of a batch of what comes of them.
-PART, ROWS = 2_000_000, 50_000
+#: Bytes of text that are inverted at once, and rows of a batch of what comes of them.
+PART, ROWS = 8_000_000, 50_000
 #: Documents whose entries give the ends of an index's ranges, and entries that a range holds at least.
 SAMPLE, SHARE = 500, 250_000
 MODES = ("all", "any", "phrase", "prefix")
@@ -117,9 +117,10 @@ def _bounded(hits: DataFrame, most: int | None) -> DataFrame:
     return hits
 
 
-def postings(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """An inverted index: token, id, tf, positions; write it partitioned or sorted by token to reuse it."""
-    return _inverted(*_by_id(docs, fields)[:2])
+def postings(docs: Documents, fields: tuple[tuple[str, ...], ...], positions: bool = True) -> DataFrame:
+    """An inverted index: token, id, tf and, if they are wanted, positions; write it partitioned or sorted by token to
+    reuse it."""
+    return _inverted(*_by_id(docs, fields)[:2], positions=positions)
 
 
 def entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> DataFrame:
@@ -145,16 +146,15 @@ def arranged_entries(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> Da
     parts = min(most, 1 + len(keys) * every // SHARE)
     ends = [keys[len(keys) * n // parts] for n in range(1, parts)] if keys else []
     length, rows = F.col("token") == "", _inverted(single, None, lengths=True, ends=ends)
-    rows = rows.select("token", "id", F.when(length, F.array(F.col("tf").cast("int"))).otherwise(F.col("positions")).alias("positions"), "part")  # they say tf
     rows = rows.repartitionById(len(ends) + 1, F.col("part")).drop("part").sortWithinPartitions("token", "id")
     tf = F.when(length, F.col("positions")[0]).otherwise(F.size("positions")).cast("long")
     return rows.select("token", "id", tf.alias("tf"), F.when(length, F.array().cast("array<int>")).otherwise(F.col("positions")).alias("positions"))
 
 
 def _by_id(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> tuple[DataFrame, DataFrame | None, int]:
-    """(id, tokens) of documents whose id no other has, which need no shuffle to be grouped; of the others, if there
+    """(id, lower-cased text) of documents whose id no other has, which need no shuffle to be grouped; of the others, if there
     are any; and how many documents there are. Ids alone are read to tell."""
-    rows = docs.df.select(docs.id_column().alias("id"), tokenize(content(docs, fields)).alias("tokens"))
+    rows = docs.df.select(docs.id_column().alias("id"), F.lower(content(docs, fields)).alias("text"))
     ids = docs.df.groupBy(docs.id_column().alias("_id")).agg(F.count("*").alias("n"))
     seen = ids.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
     if seen.all is None or seen.most == 1:
@@ -163,68 +163,121 @@ def _by_id(docs: Documents, fields: tuple[tuple[str, ...], ...]) -> tuple[DataFr
     return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi"), seen.all
 
 
-def _inverted(single: DataFrame, shared: DataFrame | None, lengths: bool = False, ends: list[tuple[str, int]] | None = None) -> DataFrame:
-    """token, id, tf, positions of (id, tokens): documents with an id of their own are inverted where they are read,
+def _inverted(single: DataFrame, shared: DataFrame | None, lengths: bool = False, ends: list[tuple[str, int]] | None = None, positions: bool = True) -> DataFrame:
+    """token, id, tf, positions of (id, text): documents with an id of their own are inverted where they are read,
     those that share one are exploded and grouped. lengths: as in `entries`. ends: those of ranges of (token, hash of
-    id), of which each row's number is added as `part`."""
-    schema = "token string, id string, tf bigint, positions array<int>" + (", part int" if ends is not None else "")
-    out = single.select("id", "tokens", F.xxhash64("id").alias("h")).mapInArrow(lambda batches: _invert(batches, lengths, ends), schema)
+    id), of which each row's number is `part`, in place of the tf; the empty token's position is the length then.
+    Without positions, what only reads them is left out."""
+    schema = "token string, id string, " + ("positions array<int>, part int" if ends is not None else "tf bigint, positions array<int>" if positions else "tf bigint")
+    runs = _letters(single.sparkSession)
+    out = single.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lambda batches: _invert(batches, runs, lengths, ends, positions), schema)
     if shared is None:
         return out
     places = F.transform("tokens", lambda t, n: F.struct(t.alias("token"), n.alias("at")))
     if lengths:
         places = F.concat(places, F.array(F.struct(F.lit("").alias("token"), F.size("tokens").alias("at"))))
-    rows = shared.select("id", F.inline(places)).groupBy("token", "id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
+    rows = shared.select("id", tokenize(F.col("text")).alias("tokens")).select("id", F.inline(places))
+    rows = rows.groupBy("token", "id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
     own = F.col("token") == ""
-    return out.unionByName(rows.select("token", "id", F.when(own, F.col("at")[0].cast("long")).otherwise(F.col("n")).alias("tf"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("at")).alias("positions")))
-
-
-def _invert(batches: Iterator[pa.RecordBatch], lengths: bool, ends: list[tuple[str, int]] | None) -> Iterator[pa.RecordBatch]:
-    """_inverted, of documents with an id of their own: (token, document) as one number is sorted, in parts of some
-    PART tokens (a document is never cut)."""
+    return out.unionByName(rows.select("token", "id", F.when(own, F.col("at")[0].cast("long")).otherwise(F.col("n")).alias("tf"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("at")).alias("positions")).select(out.columns))
+
+
+@lru_cache(maxsize=1)
+def _letters(spark: SparkSession) -> np.ndarray:
+    """The code points that NO_TOKEN lets stand, by the engine's own rule: where their runs begin and end, in turn."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(map(chr, every[n : n + 0x4000])),) for n in range(0, len(every), 0x4000)], "s string")
+    stand = np.zeros(0x110000 + 1, bool)
+    stand[[ord(c) for r in rows.select(F.regexp_replace("s", NO_TOKEN, "").alias("s")).collect() for c in r.s]] = True
+    return np.flatnonzero(np.diff(stand, prepend=False)).astype(np.int32)
+
+
+def _tokens(texts: pa.Array, letter: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-cased texts, as `tokenize` has them, one text's after the other's; and how many each has.
+    letter: by code point, whether it stands. Works on the bytes of all texts together."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset :][: len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    keep = np.append(letter[:128], np.zeros(128, bool))[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    width = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int32) & (0x7F >> width)
+    for k in range(1, 4):
+        longer = np.flatnonzero(width > k)
+        code[longer] = code[longer] << 6 | data[lead[longer] + k] & 0x3F
+    stands = letter[code]
+    for k in range(4):
+        keep[lead[width > k] + k] = stands[width > k]
+    begins = keep.copy()
+    begins[1:] &= ~keep[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begins[first] = keep[first]
+    kept, at = data[keep], np.flatnonzero(begins[keep])
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(kept)).astype(np.int32)), pa.py_buffer(kept))
+    return words, np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+
+
+def _invert(batches: Iterator[pa.RecordBatch], runs: np.ndarray, lengths: bool, ends: list[tuple[str, int]] | None, positions: bool) -> Iterator[pa.RecordBatch]:
+    """_inverted, of documents with an id of their own, in parts of some PART bytes (a document is never cut)."""
+    letter = np.repeat(np.arange(len(runs) + 1) % 2 == 1, np.diff(runs, prepend=0, append=0x110000))
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
-        last = np.cumsum(sizes)
-        cuts = np.unique([0, *np.searchsorted(last, np.arange(PART, last[-1] if len(last) else 0, PART)).tolist(), len(sizes)])
+        last = np.cumsum(np.asarray(pc.binary_length(batch.column(1))).astype(np.int64))
+        cuts = np.unique([0, *np.searchsorted(last, np.arange(PART, last[-1] if len(last) else 0, PART)).tolist(), len(last)])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ids, tokens, h = (batch.column(n)[a:b] for n in range(3))
-            yield from _invert_part(ids.cast(pa.string()), tokens.flatten(), np.asarray(h), sizes[a:b], lengths, ends)
+            part = batch.slice(a, b - a)
+            ids, texts, h = part.take(pc.sort_indices(part.column(0))).columns
+            yield from _invert_part(ids.cast(pa.string()), *_tokens(texts, letter), np.asarray(h), lengths, ends, positions)
 
 
-def _invert_part(ids: pa.Array, tokens: pa.Array, h: np.ndarray, sizes: np.ndarray, lengths: bool, ends: list[tuple[str, int]] | None) -> Iterator[pa.RecordBatch]:
+def _invert_part(ids: pa.Array, tokens: pa.Array, sizes: np.ndarray, h: np.ndarray, lengths: bool, ends: list[tuple[str, int]] | None, positions: bool) -> Iterator[pa.RecordBatch]:
+    """(word, place in the part) as one number is sorted. Documents come, and words are numbered, in the order of an
+    index, so rows leave in it: what is alike lies together when it is shuffled, and a sort after that finds long runs."""
     coded = tokens.dictionary_encode()
-    words, codes = coded.dictionary.cast(pa.string()), np.asarray(coded.indices)
-    document = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = codes * max(1, len(sizes)) + document  # by word, so that what is alike lies together when it is shuffled
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    bounds, kept = np.append(first, len(key)), order[first]
-    word, owner = codes[kept], document[kept]
-    columns = [words.take(pa.array(word)), ids.take(pa.array(owner)), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at[order], pa.int32()))]
+    order = pc.sort_indices(coded.dictionary)
+    words, rank = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    rank[np.asarray(order)] = np.arange(len(order))
+    bits = len(tokens).bit_length()
+    key = rank[np.asarray(coded.indices)]
+    key <<= bits
+    key |= np.arange(len(tokens))
+    key.sort()
+    place = (key & (1 << bits) - 1).astype(np.int32)
+    key >>= bits
+    document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[place]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (document[1:] != document[:-1])
+    first = np.flatnonzero(new)
+    word, owner, bounds = key[first], document[first], np.append(first, len(key)).astype(np.int32)
+    at = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place - (np.cumsum(sizes) - sizes).astype(np.int32)[document])) if positions else None
+    found, own = [words.take(pa.array(word)), ids.take(pa.array(owner))], pa.array([""] * len(ids), pa.string())
     if ends is not None:
-        columns.append(_parts(words.to_pylist(), word, h[owner], ends))
-    yield from _rows(columns)
+        yield from _rows([*found, at, _parts(words.to_pylist(), word, h[owner], ends)])
+        if lengths:
+            yield from _rows([own, ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1), pa.int32()), pa.array(sizes, pa.int32())), _parts([""], np.zeros(len(ids), int), h, ends)])
+        return
+    yield from _rows([*found, pa.array(np.diff(bounds), pa.int64()), *([at] if positions else [])])
     if lengths:
         none = pa.ListArray.from_arrays(pa.array(np.zeros(len(ids) + 1), pa.int32()), pa.array([], pa.int32()))
-        columns = [pa.array([""] * len(ids), pa.string()), ids, pa.array(sizes, pa.int64()), none]
-        yield from _rows(columns if ends is None else [*columns, _parts([""], np.zeros(len(ids), int), h, ends)])
+        yield from _rows([own, ids, pa.array(sizes, pa.int64()), *([none] if positions else [])])
 
 
 def _rows(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    out = pa.RecordBatch.from_arrays(columns, ["token", "id", "tf", "positions", "part"][: len(columns)])
+    names = ["token", "id", *(["positions", "part"] if pa.types.is_list(columns[2].type) else ["tf", "positions"])]
+    out = pa.RecordBatch.from_arrays(columns, names[: len(columns)])
     yield from (out.slice(n, ROWS) for n in range(0, len(out), ROWS))
 
 
 def _parts(words: list[str], word: np.ndarray, h: np.ndarray, ends: list[tuple[str, int]]) -> pa.Array:
-    """The range of each (words[word], h): how many ends are less. By words, and by h for those that are ends."""
+    """The range of each (words[word], h): how many ends are less. By words, which are in order, and by h for those
+    that are ends."""
     tokens, hashes = [t for t, _ in ends], np.array([x for _, x in ends], np.int64)
-    low = np.array([bisect_left(tokens, w) for w in words], np.int64)
-    out = low[word]
-    for n in [n for n, w in enumerate(words) if low[n] < len(tokens) and tokens[low[n]] == w]:
+    after = [bisect_right(words, t) for t in tokens]
+    out = np.searchsorted(after, np.arange(len(words)), "right")[word]
+    for n in {n - 1 for n, t in zip(after, tokens, strict=True) if n and words[n - 1] == t}:
         mine = word == n
-        out[mine] += np.searchsorted(hashes[low[n] : bisect_right(tokens, words[n])], h[mine])
+        out[mine] += np.searchsorted(hashes[bisect_left(tokens, words[n]) : bisect_right(tokens, words[n])], h[mine])
     return pa.array(out, pa.int32())
 
 

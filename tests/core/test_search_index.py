@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from shuffled import jobs_shuffled
@@ -81,3 +82,31 @@ def test_phrases_of_a_built_index(spark, tmp_path):
     assert shuffled < 1.5 * (200 * 3 + 25)
     assert {r.id for r in index.search("licensed under the", "phrase").collect()} == {"1", "2", "4"}
     assert index.search("the the end", "phrase").count() == 200
+
+
+ODD = ["Ünï Straße ΟΔΥΣΣΕΎΣ ΣΑΣ. İstanbul", "中文字 123٤٥ ⅷ² ȧb été", "𝒜𝟘 𐐀𐐨😀x 😀", "ǅ ª º _-'’a", "  x​y\0z�", "é", "😀", "", None, "ﬁ ŉ ẞ K Å", "a", "é😀", "𐐀"]
+
+
+def test_tokens_on_bytes_are_the_engines(spark):
+    """Cut on the bytes of many texts together, tokens are those of the regular expression, code point by code point."""
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    rows = [(t,) for t in ODD * 2 + ["x".join(points[n : n + 300]) for n in range(0, len(points), 300)]]
+    df = spark.createDataFrame(rows, "text string").coalesce(1).select(F.coalesce(F.lower("text"), F.lit("")).alias("low"), F.coalesce(search.tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    table = df.toArrow()
+    runs = search._letters(spark)
+    letter = np.repeat(np.arange(len(runs) + 1) % 2 == 1, np.diff(runs, prepend=0, append=0x110000))
+    low = table["low"].combine_chunks()
+    for a, b in ((0, len(low)), (3, len(ODD)), (5, 6), (7, 8), (0, 0)):
+        words, sizes = search._tokens(low[a:b], letter)
+        want = table["tokens"].to_pylist()[a:b]
+        assert words.to_pylist() == [t for ts in want for t in ts] and sizes.tolist() == [len(ts) for ts in want]
+
+
+def test_tokens_are_made_where_they_are_inverted(spark):
+    """A text goes to be inverted as it is, not as an array of its tokens, and rows come in the order of an index."""
+    rows = [(str(n), f"the w{n % 7} the a") for n in range(40)]
+    df = search.postings(docs(spark, rows), (("text",),))
+    assert "split(" not in df._jdf.queryExecution().executedPlan().toString()
+    found = [(r.token, r.id) for r in spark.createDataFrame(df.toArrow()).collect()]
+    one = search.postings(Documents(spark.createDataFrame(rows, "id string, text string").coalesce(1), "id"), (("text",),)).collect()
+    assert [(r.token, r.id) for r in one] == sorted(found)
