@@ -418,7 +418,7 @@ def fts_bm25_topk(spark, sf_dir):
 @_registered(f"""
 SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY 1""")
 def fts_postings(spark, sf_dir):
-    index = search.postings(_docs(spark, sf_dir, "documents"), (("text",),))
+    index = search.postings(_docs(spark, sf_dir, "documents"), (("text",),), positions=False)
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from shuffled import jobs_shuffled
 
+from tessella import queries
 from tessella.operators import search
 from tessella.plans.binding import Documents
 
@@ -110,3 +111,15 @@ def test_tokens_are_made_where_they_are_inverted(spark):
     found = [(r.token, r.id) for r in spark.createDataFrame(df.toArrow()).collect()]
     one = search.postings(Documents(spark.createDataFrame(rows, "id string, text string").coalesce(1), "id"), (("text",),)).collect()
     assert [(r.token, r.id) for r in one] == sorted(found)
+
+
+@pytest.mark.parametrize("rows", [TEXTS, TEXTS + REPEATED])
+def test_postings_without_positions(spark, rows):
+    df = search.postings(docs(spark, rows), (("text",),), positions=False)
+    found = [(r.token, r.id, r.tf) for r in df.collect()]
+    assert df.columns == ["token", "id", "tf"] and sorted(map(str, found)) == sorted(str((*k, n)) for k, (n, _) in model(rows)[0].items())
+
+
+def test_the_postings_query_makes_no_positions(spark):
+    df = queries.QUERIES["fts_postings"](spark, "/root/testdata/sf0.001")
+    assert "positions" not in df._jdf.queryExecution().toString()
