@@ -123,3 +123,9 @@ def test_postings_without_positions(spark, rows):
 def test_the_postings_query_makes_no_positions(spark):
     df = queries.QUERIES["fts_postings"](spark, "/root/testdata/sf0.001")
     assert "positions" not in df._jdf.queryExecution().toString()
+
+
+def test_an_index_is_built_from_texts(spark):
+    """Also for an index the JVM makes no arrays of tokens."""
+    plan = search.arranged_entries(docs(spark, TEXTS), (("text",),))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "MapInArrow" in plan
