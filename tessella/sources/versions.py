@@ -27,6 +27,8 @@ class Versions:
 
     def __init__(self, spark: SparkSession, path: str, name: str):
         self.spark, self.path, self.name = spark, path.rstrip("/"), name
+        #: How many rows a layer's stored ones are, where `opened` makes several of one.
+        self.count = F.count(F.lit(1))
 
     def _at(self, path: str) -> tuple[Any, Any]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,23 +67,23 @@ class Versions:
                 raise EngineError("checkpoint_conflict", "another writer was first", version=state["version"]) from e
             raise
 
-    def rows(self, layer: dict[str, Any]) -> DataFrame:
-        return self.spark.read.parquet(layer["folder"] + "/rows")
+    def rows(self, layer: dict[str, Any], **how: Any) -> DataFrame:
+        return self.opened(self.spark.read.parquet(layer["folder"] + "/rows"), **how)
 
     def ids(self, layer: dict[str, Any]) -> DataFrame:
         return self.spark.read.parquet(layer["folder"] + "/ids")
 
-    def read(self, state: dict[str, Any] | None = None) -> DataFrame | None:
+    def read(self, state: dict[str, Any] | None = None, **how: Any) -> DataFrame | None:
         """All rows of a version (the last, if none is given), or None if there is none. Filters on columns
-        reach the layers' scans."""
+        reach the layers' scans, or are given to `opened`, if that takes any."""
         layers = (state or self.state())["layers"]
         if not layers:
             return None
         if len(layers) == 1:
-            return self.rows(layers[0])
+            return self.rows(layers[0], **how)
         touched, out = None, None
         for n, layer in enumerate(layers):
-            mine = self.rows(layer).withColumn("_layer", F.lit(n))
+            mine = self.rows(layer, **how).withColumn("_layer", F.lit(n))
             out = mine if out is None else out.unionByName(mine)
             if n:
                 own = self.ids(layer).select("id", F.lit(n).alias("_n"))
@@ -95,7 +97,7 @@ class Versions:
 
     def _layer(self, df: DataFrame, ids: DataFrame | None = None) -> dict[str, Any]:
         folder, seen = f"{self.path}/{self.name}/{uuid.uuid4()}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(folder + "/rows")
+        df.observe(seen, F.coalesce(self.count, F.lit(0)).alias("rows")).write.option("compression", "zstd").parquet(folder + "/rows")
         if ids is not None:
             ids.write.parquet(folder + "/ids")
         return {"folder": folder, "rows": seen.get["rows"]}
@@ -117,6 +119,10 @@ class Versions:
             layers = [self._layer(self.arranged(self.read({"layers": layers})))]
         return self._point(layers, before["version"], kept) | {"layer": layer, "before": before}
 
+    def opened(self, df: DataFrame) -> DataFrame:
+        """Rows from those that a layer has stored; the same, unless set otherwise."""
+        return df
+
     def arranged(self, df: DataFrame) -> DataFrame:
         """How a base is laid out; as it comes, unless set otherwise."""
         return df

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from shuffled import jobs_shuffled
@@ -10,6 +11,7 @@ from shuffled import jobs_shuffled
 from tessella import queries
 from tessella.operators import search
 from tessella.plans.binding import Documents
+from tessella.sources.versions import Versions
 
 TEXTS = [("1", "b a b"), ("2", None), ("3", ""), ("4", "the Émile the, 9 the"), ("5", "a " * 40 + "z"), ("6", "...")]
 REPEATED = [("7", "a b"), ("7", "b c"), (None, "a"), (None, "d d")]
@@ -129,3 +131,62 @@ def test_an_index_is_built_from_texts(spark):
     """Also for an index the JVM makes no arrays of tokens."""
     plan = search.arranged_entries(docs(spark, TEXTS), (("text",),))._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan and "MapInArrow" in plan
+
+
+def test_an_index_is_shuffled_and_stored_in_blocks(spark, tmp_path):
+    """Neither a shuffle nor a table has a row of each word and document."""
+    rows = [(str(n), f"a b c d e f g h w{n % 5}") for n in range(300)]
+    index = search.SearchIndex(spark, str(tmp_path), ["/text"])
+    assert jobs_shuffled(spark, lambda: index.rebuild(docs(spark, rows), 1)) < 2 * 300 < 10 * 300 / 4
+    (layer,) = index.versions.state()["layers"]
+    assert layer["rows"] == 10 * 300 and spark.read.parquet(layer["folder"] + "/rows").count() < 100
+    words, lengths = model(rows)
+    assert got(index.read()) == words | lengths
+    assert got(index.read(F.col("token") == "w3")) == {k: v for k, v in words.items() if k[0] == "w3"}
+
+
+def test_blocks_hold_the_entries(spark, monkeypatch):
+    """Through bytes and ranges, whatever is cut: ids that are null, wide or empty, words that are frequent, long texts."""
+    for name, most in {"BLOCK": 3, "PLACES": 4, "ROWS": 5, "PART": 60}.items():
+        monkeypatch.setattr(search, name, most)
+    rows = [*TEXTS, (None, "a b"), ("", "b Ünï"), ("é" * 300, "the a"), ("8", "x " * 300 + "the"), *((f"n{n}", "the a b") for n in range(20))]
+    runs = search._letters(spark)
+    hashes = np.random.default_rng(5).permutation(len(rows)).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.string()), pa.array([(t or "").lower() for _, t in rows]), pa.array(hashes)], ["id", "text", "h"])
+    words, lengths = model(rows)
+    for ends in ([], [("", 9), ("b", 4), ("b", 11), ("the", 7), ("zz", 0)]):
+        sent, found, seen = list(search._send(iter([batch, batch.slice(0, 0)]), runs, ends)), {}, []
+        for part in range(len(ends) + 1):
+            mine = [x.filter(pa.array([p == part for p in x["part"].to_pylist()])) for x in sent]
+            blocks = list(search._receive(iter(mine)))
+            assert all(b["entries"].to_numpy().max() <= 3 for b in blocks)
+            tokens = [t for b in blocks for t in b["token"].to_pylist()]
+            assert tokens == sorted(tokens)
+            for r in (r for b in search._open(iter(blocks)) for r in b.to_pylist()):
+                assert (r["token"], r["id"]) not in found
+                found[r["token"], r["id"]] = r["tf"], r["positions"]
+                seen.append((part, r["token"], int(hashes[[i for i, _ in rows].index(r["id"])])))
+        assert found == words | lengths
+        assert all(part == sum(e < (t, h) for e in ends) for part, t, h in seen)
+
+
+def test_numbers_of_every_width():
+    rows = [[0, 255], [], [256, 1], [70_000], [2**31 - 1, 5, 0]]
+    column = pa.array([search._narrow(np.array(r, np.int64)).tobytes() for r in rows], pa.binary())
+    for a, b in ((0, 5), (1, 4), (1, 2)):
+        assert search._numbers(column[a:b], np.array([len(r) for r in rows[a:b]])).tolist() == [n for r in rows[a:b] for n in r]
+
+
+def test_layers_in_blocks_are_merged(spark, tmp_path):
+    """Layers are counted by entries; a base that is made of them, or was written as entries, is read like any other."""
+    rows = [(str(n), "the a b the") for n in range(20)] + [("x", None)]
+    Versions(spark, str(tmp_path), "postings").write(search.arranged_entries(docs(spark, rows), (("text",),)), sequence=1)
+    index = search.SearchIndex(spark, str(tmp_path), ["/text"])
+    assert got(index.read()) == (lambda w, n: w | n)(*model(rows)) and index.search("b the", "phrase").count() == 20
+    new = [("1", "b the"), ("y", "the b"), ("x", "a")]
+    index.refresh(docs(spark, new), 2)
+    assert [x["rows"] for x in index.versions.state()["layers"]] == [81, 8]
+    index.refresh(docs(spark, [(str(n), "c c") for n in range(2, 20)]), 3)
+    after = [("0", "the a b the"), *new, *((str(n), "c c") for n in range(2, 20))]
+    assert len(index.versions.state()["layers"]) == 1 and got(index.read()) == (lambda w, n: w | n)(*model(after))
+    assert {r.id for r in index.search("b the", "phrase").collect()} == {"0", "1"} and index.search("c c", "phrase").count() == 18
